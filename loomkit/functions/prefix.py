@@ -69,24 +69,32 @@ def bucket_of(col: Column, cuts: list) -> Column:
 
 
 def prefix_sums(df: DataFrame, key: str, value_cols: list[str],
-                prefix: str = "before_", buckets: int | None = None) -> DataFrame:
-    """Add ``<prefix><c>`` = sum of ``c`` over all rows whose ``key`` is smaller.
-
-    ``key`` must be unique in ``df``.  Exact; no step runs the whole table in
-    one task.
+                prefix: str = "before_", buckets: int | None = None,
+                group_cols: list[str] | None = None) -> DataFrame:
+    """Add ``<prefix><c>`` = sum of ``c`` over rows of the same group whose
+    ``key`` is smaller.
+
+    ``key`` must be unique inside each group.  Exact; no step runs a whole
+    group (or the whole table) in one task: the range buckets of ``key`` cut
+    every group, the per-(group, bucket) totals are a table of at most
+    groups x buckets rows.
     """
+    g = list(group_cols or [])
     nb = _bucket_count(df, buckets)
     cuts = _boundaries(df, key, nb)
     tagged = df.withColumn("_bkt", bucket_of(F.col(key), cuts))
-    totals = tagged.groupBy("_bkt").agg(*[F.sum(c).alias(f"_tot_{c}") for c in value_cols])
-    # at most len(cuts)+1 rows: a single-partition window here is tiny by construction
-    w_all = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    totals = tagged.groupBy(*g, "_bkt").agg(*[F.sum(c).alias(f"_tot_{c}") for c in value_cols])
+    w_all = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_bkt",
+        *g, "_bkt",
         *[F.coalesce(F.sum(f"_tot_{c}").over(w_all), F.lit(0)).alias(f"_off_{c}")
           for c in value_cols])
-    w_in = Window.partitionBy("_bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = tagged.join(F.broadcast(offsets), "_bkt", "left")
+    w_in = Window.partitionBy(*g, "_bkt").orderBy(key).rowsBetween(
+        Window.unboundedPreceding, -1)
+    # offsets holds at most groups x buckets rows; without groups it is
+    # bounded by the bucket count and is broadcast explicitly
+    off = F.broadcast(offsets) if not g else offsets
+    out = tagged.join(off, [*g, "_bkt"], "left")
     for c in value_cols:
         out = out.withColumn(
             f"{prefix}{c}",
