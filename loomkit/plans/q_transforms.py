@@ -212,3 +212,81 @@ def q_decode_label(spark, sf):
     li = load_table(spark, sf, "lineitem")
     return li.select(*_LI_OUT, TF.decode_label(F.col("l_linenumber") - 1, ["A", "N", "R"], True)
                      .alias("label"))
+
+
+# ---------------------------------------------------------------- whole plans on orders
+
+_ORD_TRAIN = f"(SELECT * FROM orders WHERE {sql_hash(42, 'o_orderkey')} < {TRAIN_CUT!r})"
+_STATUS = ["F", "O", "P"]
+_PRIORITY = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _safe(n):
+    import re
+    return '"' + re.sub(r"[^0-9A-Za-z_]", "_", n) + '"'
+
+
+def _plan_sql(explicit: bool) -> str:
+    """The oracle of a whole plan on orders, assembled from the per-op SQL."""
+    stats = [f"CAST(sum(CAST(o_totalprice AS DECIMAL(38,10))) AS DOUBLE) / count(*) AS m_tp",
+             "stddev_pop(o_totalprice) AS s_tp"]
+    for n, e in _PARTS_SQL.items():
+        if n == "hour":
+            continue
+        e = e.format(c="o_orderdate")
+        stats.append(f"CAST(sum(CAST({e} AS DECIMAL(38,10))) AS DOUBLE) / count(*) AS m_{n}, "
+                     f"stddev_pop({e}) AS s_{n}")
+    outs = []
+    if explicit:
+        outs.append("round((o_totalprice - m_tp) / CASE WHEN s_tp = 0 THEN 1 ELSE s_tp END, 6) AS "
+                    + _safe("0_standard_scale_o_totalprice__o_totalprice"))
+        outs.append("round(ln(1 + o_totalprice), 6) AS " + _safe("1_log_o_totalprice__o_totalprice"))
+        outs.append("round(CAST(CASE o_orderpriority " + " ".join(
+            f"WHEN '{v}' THEN {i}" for i, v in enumerate(_PRIORITY)) + " ELSE -1 END AS DOUBLE), 6) AS "
+            + _safe("4_ordinal_o_orderpriority__o_orderpriority"))
+    else:
+        for c in ("o_orderkey", "o_custkey", "o_totalprice"):
+            outs.append(f"round(CAST({c} AS DOUBLE), 6) AS " + _safe(f"auto_passthrough__{c}"))
+    cats = [("o_orderstatus", _STATUS)] + ([] if explicit else [("o_orderpriority", _PRIORITY)])
+    for c, vals in cats:
+        for v in vals:
+            outs.append(f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END AS "
+                        + _safe(f"auto_onehot__{c}_{v}"))
+    for n, e in _PARTS_SQL.items():
+        if n == "hour":
+            continue
+        e = e.format(c="o_orderdate")
+        outs.append(f"round(({e} - m_{n}) / CASE WHEN s_{n} = 0 THEN 1 ELSE s_{n} END, 6) AS "
+                    + _safe(f"auto_datefeat_o_orderdate__o_orderdate_{n}"))
+    return (f"WITH s AS (SELECT {', '.join(stats)} FROM {_ORD_TRAIN}) "
+            f"SELECT o_orderkey AS id, {', '.join(outs)} FROM orders, s")
+
+
+PLAN_CONFIG = [
+    {"column": "o_totalprice", "op": "standard_scale"},
+    {"column": "o_totalprice", "op": "log"},
+    {"column": "o_orderkey", "op": "drop"},
+    {"column": "o_custkey", "op": "drop"},
+    {"column": "o_orderpriority", "op": "ordinal"},
+]
+
+
+def _plan_query(spark, sf, config):
+    from loomkit.operators.profile import coarse_schema_dict
+    from loomkit.plans.features import build_feature_pipeline
+    o = load_table(spark, sf, "orders")
+    train = _train(o, "o_orderkey")
+    schema = coarse_schema_dict(train)
+    model = build_feature_pipeline(train, config, schema)
+    out = model._transform(o.withColumn("id", F.col("o_orderkey")), keep=["id"], assemble=False)
+    return out.select("id", *[r6(c).alias(c) for c in out.columns if c != "id"])
+
+
+@register("build_feature_pipeline", _plan_sql(explicit=True))
+def q_build_feature_pipeline(spark, sf):
+    return _plan_query(spark, sf, PLAN_CONFIG)
+
+
+@register("tf_defaults", _plan_sql(explicit=False))
+def q_tf_defaults(spark, sf):
+    return _plan_query(spark, sf, [])
