@@ -115,8 +115,8 @@ def forecast(df: DataFrame, series_cols: list[str], actual: str, pred: str) -> D
     den = (F.abs(a) + F.abs(f)) / 2.0
     den = F.when(den == 0, F.lit(1e-12)).otherwise(den)
     return df.groupBy(*series_cols).agg(
-        r6(F.avg(F.abs(a - f)), 4).alias("mae"),
-        r6(F.sqrt(F.avg((a - f) * (a - f))), 4).alias("rmse"),
+        r6(exact_avg(F.abs(a - f), 10), 4).alias("mae"),
+        r6(F.sqrt(exact_avg((a - f) * (a - f), 10)), 4).alias("rmse"),
         r6(100.0 * F.avg(F.abs(a - f) / den), 6).alias("smape"))
 
 
