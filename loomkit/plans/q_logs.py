@@ -187,3 +187,75 @@ SELECT user_id, status, ts AS since FROM o WHERE rn = 1"""
 @register("status_transition", STATUS_TRANSITION_SQL)
 def q_status_transition(spark, sf):
     return LG.status_transition(status_events(spark, sf), "user_id", "status", "ts", ["event_id"])
+
+
+# ---------------------------------------------------------------- stream forms
+# The events table file is the stream source (a folder scan filtered to that
+# file); each query runs with availableNow into a checkpointed parquet sink
+# and the sink is read back.  Stream results must equal the batch results.
+
+def _event_stream(spark, sf):
+    from loomkit.streaming.audit import file_stream
+    schema = load_table(spark, sf, "events").schema
+    return file_stream(spark, sf, schema, glob="events.parquet")
+
+
+def _stream_log(spark, sf):
+    ev = _event_stream(spark, sf)
+    rq = ev.select(
+        "event_type", "ts", "value", "user_id", "event_id", "props",
+        F.when(F.col("event_id") % 4 == 0, "/predict/batch").otherwise("/predict").alias("path"),
+        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
+        F.concat(F.lit('{"label": "'), F.col("event_type"), F.lit('"}')).alias("response"))
+    return LG.audit_record(rq, "event_type", "ts", "value", "path", "status", "event_id", "props",
+                           "response", F.col("user_id") % 2 == 0)
+
+
+@register("audit_ingest", f"""SELECT deployment_id, received_at, latency_ms, mode, status_code, trace_id
+FROM {_LOG_SQL}""")
+def q_audit_ingest(spark, sf):
+    from loomkit.streaming.audit import audit_ingest, run_available
+    out = run_available(audit_ingest(_stream_log(spark, sf)), "audit_ingest")
+    return out.select("deployment_id", F.col("received_at").cast("timestamp_ntz").alias("received_at"),
+                      "latency_ms", "mode", "status_code", "trace_id")
+
+
+def _latency_sql() -> str:
+    from loomkit.plans.registry import ORACLES
+    return ORACLES["audit_latency_summary"]
+
+
+@register("audit_latency_summary_stream", _latency_sql())
+def q_audit_latency_summary_stream(spark, sf):
+    from loomkit.streaming.audit import latency_summary_stream, run_available
+    out = run_available(latency_summary_stream(_stream_log(spark, sf), "1 hour", "2 hours"),
+                        "latency_summary", mode="update", keys=["deployment_id", "window_start"])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
+              .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+@register("quota_fixed_window_stream", """
+SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n,
+  count(*) > 2 AS over_limit, greatest(count(*) - 2, 0) AS rejected
+FROM events GROUP BY user_id, time_bucket(INTERVAL 1 HOUR, ts)""")
+def q_quota_fixed_window_stream(spark, sf):
+    from loomkit.streaming.audit import quota_window_stream, run_available
+    ev = _event_stream(spark, sf).select("user_id", "event_id", "ts")
+    out = run_available(quota_window_stream(ev, "user_id", "ts", "1 hour", "10 minutes", 2),
+                        "quota", mode="update", keys=["user_id", "window_start"])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
+              .withColumn("rejected", F.col("rejected").cast("bigint"))
+
+
+@register("status_transition_stream", STATUS_TRANSITION_SQL)
+def q_status_transition_stream(spark, sf):
+    from loomkit.streaming.audit import run_available, status_stream
+    ev = _event_stream(spark, sf)
+    st = (F.when(F.col("event_type") == "signup", "queued")
+           .when(F.col("event_type").isin("view", "click"), "running")
+           .when(F.col("event_type") == "purchase", "succeeded").otherwise("failed"))
+    events = ev.select("user_id", "event_id", "ts", st.alias("status"))
+    final = run_available(status_stream(events, "user_id", "status", "ts", "event_id"),
+                          "status", mode="update", keys=["key"])
+    return final.select(F.col("key").cast("bigint").alias("user_id"), "status",
+                        F.col("since").cast("timestamp_ntz").alias("since"))
