@@ -93,16 +93,33 @@ def profile_shape(df: DataFrame) -> DataFrame:
 
 
 def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Unpivot to ``(column_name, value string)`` with NaN and NULL removed."""
+    """Unpivot to ``(column_name, lv, dv, sv)`` with NaN and NULL removed.
+
+    Integral and datetime values travel as longs, floats as doubles (-0.0
+    folded into 0.0), everything else as text: no per-row number formatting.
+    """
     pairs = []
+    null_l, null_d, null_s = (F.lit(None).cast("long"), F.lit(None).cast("double"),
+                              F.lit(None).cast("string"))
     for c in columns:
+        dt = df.schema[c].dataType
         v = _clean(df, c)
-        if is_float_type(df.schema[c].dataType):
-            v = v + F.lit(0.0)  # -0.0 and 0.0 are one value
-        pairs.append(F.struct(F.lit(c).alias("column_name"), v.cast("string").alias("value")))
+        lv, dv, sv = null_l, null_d, null_s
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            lv = v.cast("long")
+        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            lv = F.unix_micros(v.cast("timestamp"))
+        elif isinstance(dt, T.DateType):
+            lv = F.unix_date(v).cast("long")
+        elif is_float_type(dt):
+            dv = v.cast("double") + F.lit(0.0)
+        else:
+            sv = v.cast("string")
+        pairs.append(F.struct(F.lit(c).alias("column_name"), lv.alias("lv"), dv.alias("dv"),
+                              sv.alias("sv")))
     return (df.select(F.explode(F.array(*pairs)).alias("kv"))
-              .select("kv.column_name", "kv.value")
-              .where(F.col("value").isNotNull()))
+              .select("kv.*")
+              .where(F.col("lv").isNotNull() | F.col("dv").isNotNull() | F.col("sv").isNotNull()))
 
 
 def profile_unique(df: DataFrame, columns: list[str] | None = None,
@@ -113,7 +130,7 @@ def profile_unique(df: DataFrame, columns: list[str] | None = None,
         row = df.agg(*[F.approx_count_distinct(_clean(df, c)).alias(c) for c in columns])
         return _unpivot_row(row, columns, "unique_count")
     long = _long_values(df, columns)
-    return (long.select("column_name", "value").distinct()
+    return (long.distinct()
                 .groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count")))
 
 
@@ -221,10 +238,17 @@ def coarse_schema(df: DataFrame, user_types: dict[str, str] | None = None) -> Da
     """``(column_name, coarse_type)`` by the trainer's rule, overrides first."""
     user_types = {k: v for k, v in (user_types or {}).items() if v in SEMANTIC_TYPES}
     cols = df.columns
-    base = _stats_long(df, cols) \
-        .select("column_name", "n_rows") \
-        .join(profile_unique(df, cols), "column_name", "left") \
-        .withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
+    # only text-like columns need a distinct count; the rest is decided by type
+    other = [c for c in cols if c not in user_types
+             and _physical_kind(df.schema[c].dataType) == "other"]
+    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    base = names.crossJoin(F.broadcast(n))  # one-row side
+    if other:
+        base = base.join(profile_unique(df, other), "column_name", "left")
+    else:
+        base = base.withColumn("unique_count", F.lit(None).cast("long"))
+    base = base.withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
     out = None
     for c in cols:
         if c in user_types:

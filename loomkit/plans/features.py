@@ -92,8 +92,16 @@ class FeatureModel(Transformer):
 def build_feature_pipeline(train: DataFrame, transforms: list[dict],
                            schema: dict[str, str]) -> FeatureModel:
     """Fit the declarative plan on ``train`` (one aggregate pass)."""
+    from pyspark import StorageLevel
+
     ops, kept = plan_ops(transforms, schema)
-    fit_ops(train.select(*sorted(set(kept))), ops)
+    # the fit makes up to three passes (statistics, date scaling, categories):
+    # keep only the used columns, once, spilling to disk if memory is short
+    cols = train.select(*sorted(set(kept))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fit_ops(cols, ops)
+    finally:
+        cols.unpersist()
     return FeatureModel(ops, kept)
 
 
