@@ -48,8 +48,10 @@ def selection_rates(df: DataFrame, y: str, p: str, sensitive: list[str]) -> Data
     truth = F.col(y) == 1
     return df.groupBy(*sensitive).agg(
         F.avg(pos.cast("double")).alias("selection_rate"),
-        (F.sum((pos & truth).cast("double")) / F.sum(truth.cast("double"))).alias("tpr"),
-        (F.sum((pos & ~truth).cast("double")) / F.sum((~truth).cast("double"))).alias("fpr"))
+        F.try_divide(F.sum((pos & truth).cast("double")), F.sum(truth.cast("double")))
+        .alias("tpr"),
+        F.try_divide(F.sum((pos & ~truth).cast("double")), F.sum((~truth).cast("double")))
+        .alias("fpr"))
 
 
 def demographic_parity(df: DataFrame, p: str, sensitive: list[str], y: str | None = None

@@ -54,8 +54,8 @@ def q_fairness_demographic_parity(spark, sf):
 
 @register("fairness_equalized_odds", f"""
 WITH r AS (SELECT lang,
-  sum(CASE WHEN p = 1 AND y = 1 THEN 1.0 ELSE 0.0 END) / sum(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END) AS tpr,
-  sum(CASE WHEN p = 1 AND y <> 1 THEN 1.0 ELSE 0.0 END) / sum(CASE WHEN y <> 1 THEN 1.0 ELSE 0.0 END) AS fpr
+  sum(CASE WHEN p = 1 AND y = 1 THEN 1.0 ELSE 0.0 END) / nullif(sum(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END), 0) AS tpr,
+  sum(CASE WHEN p = 1 AND y <> 1 THEN 1.0 ELSE 0.0 END) / nullif(sum(CASE WHEN y <> 1 THEN 1.0 ELSE 0.0 END), 0) AS fpr
   FROM {_SRC_SQL} GROUP BY lang)
 SELECT round(greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)), 6) AS equalized_odds_difference,
   round(greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)), 6) AS equal_opportunity_difference FROM r""")
