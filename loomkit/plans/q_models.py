@@ -105,3 +105,174 @@ def q_fit_naive_bayes(spark, sf):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_price_cents"]
     out = SV.predict_gaussian_nb(li, params, _NB_FEATS, "l_returnflag", keys)
     return out.drop("l_price_cents")
+
+
+# ---------------------------------------------------------------- attribution
+
+def _li_lr(spark, sf, feats):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    li = load_table(spark, sf, "lineitem")
+    va = VectorAssembler(inputCols=feats, outputCol="features")
+    model = LinearRegression(labelCol="l_extendedprice", solver="normal").fit(va.transform(li))
+    return li, va, model
+
+
+@register("shap_linear", """
+SELECT 'l_quantity' AS feature, round(abs(regr_slope(l_extendedprice, l_quantity)) *
+  avg(abs(l_quantity - (SELECT avg(l_quantity) FROM lineitem))), 2) AS importance FROM lineitem""")
+def q_shap_linear(spark, sf):
+    from loomkit.functions.exprs import r6
+    from loomkit.operators.explain import shap_linear
+    li, _va, model = _li_lr(spark, sf, ["l_quantity"])
+    out = shap_linear(li, {"l_quantity": float(model.coefficients[0])})
+    return out.withColumn("importance", r6("importance", 2))
+
+
+_SHAP_VALUES_SQL = """(SELECT feature, cls, (x - m) * w AS value FROM (
+  SELECT 'l_quantity' AS feature, l_quantity AS x, (SELECT avg(l_quantity) FROM lineitem) AS m FROM lineitem
+  UNION ALL SELECT 'l_discount', l_discount, (SELECT avg(l_discount) FROM lineitem) FROM lineitem
+  UNION ALL SELECT 'l_tax', l_tax, (SELECT avg(l_tax) FROM lineitem) FROM lineitem) v,
+  (SELECT * FROM (VALUES ('A', 1.0), ('N', -1.0), ('R', 0.5)) t(cls, w)) c)"""
+
+
+def _shap_values(spark, sf):
+    li = load_table(spark, sf, "lineitem")
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    means = li.agg(*[F.avg(c).alias(c) for c in feats])
+    j = li.select(*feats).crossJoin(F.broadcast(means.select(
+        *[F.col(c).alias(f"m_{c}") for c in feats])))  # one-row side
+    per_f = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) - F.col(f"m_{c}")).alias("d"))
+                      for c in feats])
+    cls = F.array(*[F.struct(F.lit(k).alias("cls"), F.lit(w).alias("w"))
+                    for k, w in [("A", 1.0), ("N", -1.0), ("R", 0.5)]])
+    return j.select(F.explode(per_f).alias("f"), cls.alias("cs")) \
+            .select("f.*", F.explode("cs").alias("c")) \
+            .select("feature", "c.cls", (F.col("d") * F.col("c.w")).alias("value"))
+
+
+@register("shap_aggregate", f"""
+SELECT feature, round(avg(abs(value)), 6) AS importance FROM {_SHAP_VALUES_SQL} GROUP BY feature""")
+def q_shap_aggregate(spark, sf):
+    from loomkit.functions.exprs import r6
+    from loomkit.operators.explain import shap_aggregate
+    return shap_aggregate(_shap_values(spark, sf)).withColumn("importance", r6("importance"))
+
+
+@register("importance_top20", """
+WITH g AS (SELECT p_brand AS feature, avg(l_discount) AS a FROM lineitem JOIN part ON l_partkey = p_partkey
+           GROUP BY p_brand),
+i AS (SELECT feature, round(abs(a - (SELECT avg(l_discount) FROM lineitem)), 6) AS importance FROM g)
+SELECT * FROM i ORDER BY importance DESC, feature LIMIT 20""")
+def q_importance_top20(spark, sf):
+    from loomkit.functions.exprs import r6
+    from loomkit.operators.explain import importance_top
+    li = load_table(spark, sf, "lineitem")
+    part = load_table(spark, sf, "part").select("p_partkey", "p_brand")
+    g = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+        F.col("p_brand").alias("feature")).agg(F.avg("l_discount").alias("a"))
+    overall = li.agg(F.avg("l_discount").alias("o"))
+    imp = g.crossJoin(F.broadcast(overall)).select(  # one-row side
+        "feature", r6(F.abs(F.col("a") - F.col("o"))).alias("importance"))
+    return importance_top(imp, 20)
+
+
+@register("importance_permutation")
+def q_importance_permutation(spark, sf):
+    from loomkit.operators import metrics as M
+    from loomkit.operators.explain import permutation_importance
+    from loomkit.plans.q_splits import LI_KEY, lineitem_keyed
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    _li, va, model = _li_lr(spark, sf, feats)
+    li = lineitem_keyed(spark, sf)
+
+    def score(scored):
+        return M.regression(scored, "l_extendedprice", "prediction").select("r2")
+
+    return permutation_importance(model, li, feats, LI_KEY, va.transform, score)
+
+
+@register("shap_sampled")
+def q_shap_sampled(spark, sf):
+    from loomkit.operators.explain import shap_aggregate, shap_sampled
+    from loomkit.operators.splits import sample_head_capped
+    from loomkit.plans.q_splits import LI_KEY, lineitem_keyed
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    _li, va, model = _li_lr(spark, sf, feats)
+    li = lineitem_keyed(spark, sf)
+    # the reference explains at most 200 rows against 50 background rows
+    explain = sample_head_capped(li, LI_KEY, 200, seed=1)
+    background = sample_head_capped(li, LI_KEY, 50, seed=2)
+    vals = shap_sampled(model, explain, background, feats, va.transform, n_permutations=10)
+    return shap_aggregate(vals)
+
+
+# ---------------------------------------------------------------- search
+
+@register("hpo_search")
+def q_hpo_search(spark, sf):
+    from loomkit.plans.search import hpo_search
+    train, val = model_data(spark, sf, "binary")
+    space = {"max_depth": {"type": "int", "low": 2, "high": 6},
+             "min_samples_leaf": {"type": "int", "low": 1, "high": 50, "log": True}}
+    table, _best, _value = hpo_search("decision_tree", "classification", train, val, space,
+                                      n_trials=4, seed=42, parallelism=2)
+    return table
+
+
+@register("rank_trials", """
+WITH t AS (SELECT l_orderkey AS run_id, CASE l_returnflag WHEN 'A' THEN 'r2' WHEN 'N' THEN 'mae'
+    ELSE 'accuracy' END AS metric, l_linenumber AS trial, l_quantity AS value, l_partkey, l_suppkey,
+    l_extendedprice FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id, metric ORDER BY
+    CASE WHEN metric = 'mae' THEN -value ELSE value END DESC, trial, l_partkey, l_suppkey,
+    l_extendedprice) AS rn FROM t)
+SELECT run_id, metric, trial, value FROM r WHERE rn = 1""")
+def q_rank_trials(spark, sf):
+    from loomkit.plans.search import rank_trials
+    li = load_table(spark, sf, "lineitem")
+    t = li.select(F.col("l_orderkey").alias("run_id"),
+                  F.when(F.col("l_returnflag") == "A", "r2").when(F.col("l_returnflag") == "N", "mae")
+                  .otherwise("accuracy").alias("metric"), F.col("l_linenumber").alias("trial"),
+                  F.col("l_quantity").alias("value"), "l_partkey", "l_suppkey", "l_extendedprice")
+    out = rank_trials(t, ["run_id"], "metric", "value",
+                      ["trial", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return out.select("run_id", "metric", "trial", "value")
+
+
+# ---------------------------------------------------------------- scoring
+
+@register("score_batch")
+def q_score_batch(spark, sf):
+    from loomkit.operators.scoring import score_batch
+    _li, va, model = _li_lr(spark, sf, ["l_quantity", "l_discount", "l_tax"])
+    rows = load_table(spark, sf, "lineitem").withColumn("prediction", F.lit("input column"))
+    return score_batch(model, rows, prepare=va.transform)
+
+
+@register("score_with_labels", f"""
+WITH e AS (SELECT greatest({', '.join(f'var_pop({c})' for c in _NB_FEATS)}) * 1e-9 AS eps FROM {_NB_TRAIN}),
+p AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS cls,
+        ln(count(*) / (SELECT count(*) FROM {_NB_TRAIN})) AS lp,
+        {', '.join(f'avg({c}) AS mu_{c}, var_pop({c}) + (SELECT eps FROM e) AS var_{c}' for c in _NB_FEATS)}
+      FROM {_NB_TRAIN} GROUP BY l_returnflag),
+s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cls,
+        lp {''.join(f' - 0.5 * ln(2 * pi() * var_{c}) - pow({c} - mu_{c}, 2) / (2 * var_{c})' for c in _NB_FEATS)} AS ll
+      FROM lineitem, p),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey
+        ORDER BY ll DESC, cls) AS rn FROM s)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(cls AS BIGINT) AS prediction,
+  ['A', 'N', 'R'][cls + 1] AS label FROM r WHERE rn = 1""")
+def q_score_with_labels(spark, sf):
+    from loomkit.operators.profile import target_classes
+    from loomkit.operators.scoring import score_with_labels
+    from loomkit.operators.transforms import encode_target
+    li = lineitem_keyed(spark, sf)
+    classes_df = target_classes(li, "l_returnflag")
+    enc = encode_target(li, "l_returnflag", classes_df, out="cls")
+    train = enc.where(hash_unit(42, *LI_KEY) < 0.7)
+    params = SV.fit_gaussian_nb(train, _NB_FEATS, "cls")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    pred = SV.predict_gaussian_nb(enc, params, _NB_FEATS, "cls", keys)
+    classes = [r.class_label for r in classes_df.orderBy("class_index").collect()]
+    return score_with_labels(pred, classes, encoded=True)
