@@ -287,3 +287,52 @@ def kmeans_labels(model, df: DataFrame, array_col: str) -> DataFrame:
 __all__ = ["cluster_kmeans", "cluster_minibatch_kmeans", "cluster_gmm", "gmm_predict",
            "cluster_agglomerative", "assign_nearest", "cluster_counts", "kmeans_labels",
            "with_vector", "vector_to_array", "pd"]
+
+
+def knn_predict(df: DataFrame, array_col: str, reference: DataFrame, ref_array: str,
+                ref_label: str, ref_id: str, k: int = 5, weights: str = "uniform",
+                p: float = 2.0) -> DataFrame:
+    """k-nearest-neighbour vote against a size-checked reference set.
+
+    Minkowski distance of order ``p``; ``uniform`` or ``distance`` (1/d)
+    weights; ties in the vote -> smallest label; ties in distance -> smallest
+    reference id.  The reference (at most ``MAX_REFERENCE_ROWS`` rows) is
+    broadcast once; each Arrow batch is scored with numpy in bounded chunks."""
+    spark = df.sparkSession
+    n_ref = reference.count()
+    if n_ref > MAX_REFERENCE_ROWS:
+        raise ValueError(f"reference has {n_ref} rows; k-NN ships at most {MAX_REFERENCE_ROWS}")
+    ship_package(spark)
+    ref = reference.select(ref_id, ref_label, F.col(ref_array).cast("array<double>").alias("v")) \
+                   .orderBy(ref_id).toPandas()
+    mat = np.vstack(ref["v"].to_numpy())
+    bc = spark.sparkContext.broadcast((mat, ref[ref_label].to_numpy()))
+    label_type = reference.schema[ref_label].dataType
+    out_schema = T.StructType(df.schema.fields + [T.StructField("prediction", label_type)])
+    kk = min(k, len(ref))
+
+    def score(batches):
+        m, labels = bc.value
+        uniq = np.unique(labels)
+        for pdf in batches:
+            preds = []
+            if len(pdf):
+                x = np.vstack(pdf[array_col].map(lambda a: np.asarray(a, float)).to_numpy())
+                step = max(1, int(4_000_000 // max(1, m.size)))
+                for a in range(0, len(x), step):
+                    diff = np.abs(x[a:a + step, None, :] - m[None, :, :])
+                    d = (diff ** p).sum(-1) ** (1.0 / p)
+                    idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
+                    for r in range(len(idx)):
+                        dd = d[r, idx[r]]
+                        w = np.ones(kk) if weights == "uniform" else 1.0 / np.maximum(dd, 1e-300)
+                        if weights != "uniform" and (dd == 0).any():
+                            w = (dd == 0).astype(float)
+                        votes = {u: w[labels[idx[r]] == u].sum() for u in uniq}
+                        best = max(votes.values())
+                        preds.append(min(u for u, v in votes.items() if v == best))
+            out = pdf.copy()
+            out["prediction"] = preds
+            yield out
+
+    return df.mapInPandas(score, out_schema)

@@ -83,3 +83,14 @@ def q_cluster_agglomerative(spark, sf):
     e = _emb(spark, sf)
     return C.cluster_counts(C.cluster_agglomerative(e, "embedding", k=5, linkage="ward",
                                                     micro=50))
+
+
+@register("fit_knn", _ASSIGN_SQL.replace("row_number() OVER (PARTITION BY vec_id ORDER BY dist, rid)",
+                                         "row_number() OVER (PARTITION BY vec_id ORDER BY dist, rid)") + """,
+v AS (SELECT vec_id, label, count(*) AS votes FROM b WHERE rn <= 5 GROUP BY vec_id, label),
+w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) AS r2 FROM v)
+SELECT vec_id, label AS prediction FROM w WHERE r2 = 1""")
+def q_fit_knn(spark, sf):
+    out = C.knn_predict(_queries(spark, sf), "embedding", _emb(spark, sf), "embedding",
+                        "label", "vec_id", k=5)
+    return out.select("vec_id", "prediction")

@@ -259,3 +259,17 @@ def q_status_transition_stream(spark, sf):
                           "status", mode="update", keys=["key"])
     return final.select(F.col("key").cast("bigint").alias("user_id"), "status",
                         F.col("since").cast("timestamp_ntz").alias("since"))
+
+
+@register("stream_prediction_log", """SELECT event_id, ts, user_id, event_type, value, props FROM events""")
+def q_stream_prediction_log(spark, sf):
+    """Prediction events arrive as JSON-lines files; the stream appends them
+    to the audit table (file source -> checkpointed parquet sink)."""
+    from loomkit.plans.q_sources import scratch
+    from loomkit.streaming.audit import file_stream, run_available
+    ev = load_table(spark, sf, "events")
+    inbox = scratch(spark, "prediction_inbox")
+    micros = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    ev.write.options(**micros).json(inbox)  # the batches producers drop into the folder
+    stream = file_stream(spark, inbox, ev.schema, fmt="json", options=micros)
+    return run_available(stream, "prediction_log")

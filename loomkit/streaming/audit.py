@@ -31,8 +31,9 @@ def stream_folder(spark: SparkSession, name: str) -> str:
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None,
-                fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).format(fmt)
+                fmt: str = "parquet", max_files: int | None = None,
+                options: dict | None = None) -> DataFrame:
+    r = spark.readStream.schema(schema).format(fmt).options(**(options or {}))
     if glob:
         r = r.option("pathGlobFilter", glob)
     if max_files:
