@@ -190,8 +190,8 @@ def build_estimator(name: str, task: str, hp: dict, n: int, std_pop: float, std_
         return LogisticRegression(regParam=reg, standardization=False,
                                   maxIter=int(hp.get("max_iter", 100)))
     if name == "svm":
-        if hp.get("kernel", "linear") == "sigmoid":
-            raise ValueError("the sigmoid kernel has no Spark counterpart")
+        if hp.get("kernel", "linear") in ("sigmoid", "rbf"):
+            raise ValueError(f"the {hp.get('kernel')} kernel is not offered (linear, poly)")
         if not cls:
             return LinearRegression(loss="huber", regParam=1.0 / (float(hp.get("C", 1.0)) * n))
         svc = LinearSVC(regParam=1.0 / (float(hp.get("C", 1.0)) * n))
@@ -255,7 +255,15 @@ def fit_model(name: str, task: str, train: DataFrame, val: DataFrame, hp: dict |
         if isinstance(est, tuple):
             d = len(train.select("features").first()[0])
             est = MultilayerPerceptronClassifier(layers=[d, *est[1], k], maxIter=est[2], seed=42)
-        model = est.fit(train)
+        if name == "svm" and hp.get("kernel") == "poly":
+            from pyspark.ml import Pipeline
+            from pyspark.ml.feature import PolynomialExpansion
+            est.setFeaturesCol("_poly") if hasattr(est, "setFeaturesCol") else None
+            poly = PolynomialExpansion(degree=int(hp.get("degree", 3)), inputCol="features",
+                                       outputCol="_poly")
+            model = Pipeline(stages=[poly, est]).fit(train)
+        else:
+            model = est.fit(train)
     scored = model.transform(val)
     if cls:
         mets = M.accuracy(scored, "label", "prediction").crossJoin(
