@@ -258,7 +258,7 @@ def fit_model(name: str, task: str, train: DataFrame, val: DataFrame, hp: dict |
         if name == "svm" and hp.get("kernel") == "poly":
             from pyspark.ml import Pipeline
             from pyspark.ml.feature import PolynomialExpansion
-            est.setFeaturesCol("_poly") if hasattr(est, "setFeaturesCol") else None
+            est.setFeaturesCol("_poly")
             poly = PolynomialExpansion(degree=int(hp.get("degree", 3)), inputCol="features",
                                        outputCol="_poly")
             model = Pipeline(stages=[poly, est]).fit(train)

@@ -92,10 +92,10 @@ WITH e AS (SELECT greatest({', '.join(f'var_pop({c})' for c in _NB_FEATS)}) * 1e
 p AS (SELECT l_returnflag AS cls, ln(count(*) / (SELECT count(*) FROM {_NB_TRAIN})) AS lp,
         {', '.join(f'avg({c}) AS mu_{c}, var_pop({c}) + (SELECT eps FROM e) AS var_{c}' for c in _NB_FEATS)}
       FROM {_NB_TRAIN} GROUP BY l_returnflag),
-s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cls,
+s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, cls,
         lp {''.join(f' - 0.5 * ln(2 * pi() * var_{c}) - pow({c} - mu_{c}, 2) / (2 * var_{c})' for c in _NB_FEATS)} AS ll
       FROM lineitem, p),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
         ORDER BY ll DESC, cls) AS rn FROM s)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cls AS prediction FROM r WHERE rn = 1""")
 def q_fit_naive_bayes(spark, sf):
@@ -256,10 +256,10 @@ p AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS cls
         ln(count(*) / (SELECT count(*) FROM {_NB_TRAIN})) AS lp,
         {', '.join(f'avg({c}) AS mu_{c}, var_pop({c}) + (SELECT eps FROM e) AS var_{c}' for c in _NB_FEATS)}
       FROM {_NB_TRAIN} GROUP BY l_returnflag),
-s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cls,
+s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, cls,
         lp {''.join(f' - 0.5 * ln(2 * pi() * var_{c}) - pow({c} - mu_{c}, 2) / (2 * var_{c})' for c in _NB_FEATS)} AS ll
       FROM lineitem, p),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
         ORDER BY ll DESC, cls) AS rn FROM s)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(cls AS BIGINT) AS prediction,
   ['A', 'N', 'R'][cls + 1] AS label FROM r WHERE rn = 1""")
