@@ -95,3 +95,23 @@ def slugify(c) -> Column:
     dashed = F.regexp_replace(low, r"[^\p{L}\p{N}_-]", "-")
     stripped = F.regexp_replace(dashed, r"^-+|-+$", "")
     return F.when(stripped == "", F.lit("model")).otherwise(stripped)
+
+
+def with_scalars(df, one_row, prefix: str = ""):
+    """Attach the values of a one-row aggregate frame to every row of ``df``
+    as typed literals (no join).  The aggregate is evaluated once; a frame
+    with more than one row is an error."""
+    import datetime as _dt
+
+    rows = one_row.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("with_scalars expects a one-row frame")
+    out = df
+    for field in one_row.schema.fields:
+        v = rows[0][field.name] if rows else None
+        if isinstance(v, (_dt.datetime, _dt.date)):
+            lit = F.lit(v.isoformat(sep=" ") if isinstance(v, _dt.datetime) else v.isoformat())
+        else:
+            lit = F.lit(v)
+        out = out.withColumn(prefix + field.name, lit.cast(field.dataType))
+    return out

@@ -80,13 +80,21 @@ def shap_sampled(model, explain: DataFrame, background: DataFrame, feature_cols:
     ex = explain.select(F.monotonically_increasing_id().alias("_row"),
                         F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("_x"))
     bg = background.select(F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("_z"))
-    bg = bg.withColumn("_b", F.monotonically_increasing_id())
-    perms = explain.sparkSession.range(n_permutations).withColumnRenamed("id", "_perm")
-    perms = perms.withColumn("_order", F.shuffle(F.sequence(F.lit(0), F.lit(d - 1)), seed))
+    # background rows numbered 0..n-1 (the background is a small, capped sample)
+    bg = bg.withColumn("_b", F.row_number().over(Window.orderBy(F.xxhash64("_z"), "_z")) - 1)
+    # the seeded permutations (n_permutations x d, bounded) travel as a literal array
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    orders = [rng.permutation(d).tolist() for _ in range(n_permutations)]
+    perms = F.array(*[F.struct(F.lit(i).alias("_perm"),
+                               F.array(*[F.lit(int(v)) for v in o]).alias("_order"))
+                      for i, o in enumerate(orders)])
     # one background row per (row, permutation), picked by hash
     n_bg = bg.count()
-    pairs = ex.crossJoin(F.broadcast(perms)).withColumn(
-        "_b", F.pmod(F.xxhash64("_row", "_perm", F.lit(seed)), F.lit(n_bg)))
+    pairs = ex.select("*", F.explode(perms).alias("_pp")).select("*", "_pp._perm", "_pp._order") \
+              .drop("_pp").withColumn("_b", F.pmod(F.xxhash64("_row", "_perm", F.lit(seed)),
+                                                   F.lit(n_bg)))
     pairs = pairs.join(F.broadcast(bg), "_b")
     steps = pairs.select("*", F.posexplode(F.sequence(F.lit(0), F.lit(d))).alias("_k", "_kk"))
     # coalition after k steps: features order[0..k-1] from x, the rest from z

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomkit.functions.exprs import with_scalars
+
 from loomkit.functions.exprs import r6
 
 GROUP_CAP = 200
@@ -36,7 +38,7 @@ def by_group(df: DataFrame, y: str, p: str, sensitive: list[str],
     groups = df.groupBy(*sensitive).agg(_metric_expr(yy, pp, metric).alias("value"),
                                         F.count(F.lit(1)).alias("support"))
     overall = df.agg(_metric_expr(yy, pp, metric).alias("overall"))
-    out = groups.crossJoin(F.broadcast(overall))  # one-row side
+    out = with_scalars(groups, overall)
     return out.select(*sensitive, group_label(sensitive).alias("group"),
                       F.lit(metric).alias("metric"), r6("value").alias("value"),
                       F.col("support"), r6("overall").alias("overall"),
@@ -74,7 +76,7 @@ def cap_groups(groups: DataFrame, sensitive: list[str], cap: int = GROUP_CAP) ->
     ``groups_truncated``.  The sort is a per-partition top-``cap``."""
     total = groups.agg(F.count(F.lit(1)).alias("groups_total"))
     kept = groups.orderBy(*sensitive).limit(cap)
-    return kept.crossJoin(F.broadcast(total)).withColumn(  # one-row side
+    return with_scalars(kept, total).withColumn(
         "groups_truncated", F.col("groups_total") > F.lit(cap))
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomkit.functions.exprs import with_scalars
+
 PAGE_DEFAULT = 50
 PAGE_MAX = 500
 
@@ -72,7 +74,7 @@ def list_page(df: DataFrame, order_cols: list[Column], page: int = 1,
     rows = df.orderBy(*order_cols).offset(offset).limit(size) if offset else \
         df.orderBy(*order_cols).limit(size)
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    return rows.crossJoin(F.broadcast(total))  # one-row side
+    return with_scalars(rows, total)
 
 
 def find_by_tag(df: DataFrame, tags_col: str, key: str, value: str) -> DataFrame:

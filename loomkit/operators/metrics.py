@@ -11,6 +11,8 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomkit.functions.exprs import with_scalars
+
 from loomkit.functions.exprs import exact_avg, r6
 from loomkit.functions.prefix import prefix_sums
 
@@ -177,7 +179,7 @@ def calinski_harabasz(df: DataFrame, id_col: str, vec: str, cluster: str) -> Dat
         F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("gs") / F.col("gn"), 2))
         .alias("between"))
     counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("k"))
-    out = parts.crossJoin(counts)  # both sides are single rows
+    out = with_scalars(parts, counts)
     ch = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
     return out.select(r6(ch, 4).alias("calinski_harabasz"))
 

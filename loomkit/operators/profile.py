@@ -14,6 +14,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from loomkit.functions.exprs import with_scalars
 from pyspark.sql import types as T
 
 from loomkit.functions.exprs import exact_avg, r6
@@ -243,7 +245,7 @@ def coarse_schema(df: DataFrame, user_types: dict[str, str] | None = None) -> Da
              and _physical_kind(df.schema[c].dataType) == "other"]
     n = df.agg(F.count(F.lit(1)).alias("n_rows"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
-    base = names.crossJoin(F.broadcast(n))  # one-row side
+    base = with_scalars(names, n)
     if other:
         base = base.join(profile_unique(df, other), "column_name", "left")
     else:

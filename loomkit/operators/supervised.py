@@ -24,6 +24,8 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomkit.functions.exprs import with_scalars
+
 from loomkit.operators import metrics as M
 
 MAX_TREE_DEPTH = 30  # Spark's limit
@@ -127,7 +129,7 @@ def fit_gaussian_nb(train: DataFrame, feature_cols: list[str], label: str,
     eps = train.agg(F.greatest(*[F.var_pop(c) for c in feature_cols]).alias("e")) \
                .select((F.col("e") * var_smoothing).alias("eps"))
     total = train.agg(F.count(F.lit(1)).alias("total"))
-    out = g.crossJoin(F.broadcast(eps)).crossJoin(F.broadcast(total))  # one-row sides
+    out = with_scalars(with_scalars(g, eps), total)
     for c in feature_cols:
         out = out.withColumn(f"var_{c}", F.col(f"var_{c}") + F.col("eps"))
     return out.withColumn("log_prior", F.log(F.col("n") / F.col("total"))).drop("eps", "total")
@@ -266,12 +268,12 @@ def fit_model(name: str, task: str, train: DataFrame, val: DataFrame, hp: dict |
             model = est.fit(train)
     scored = model.transform(val)
     if cls:
-        mets = M.accuracy(scored, "label", "prediction").crossJoin(
-            M.f1_macro(scored, "label", "prediction"))
+        mets = with_scalars(M.accuracy(scored, "label", "prediction"),
+                            M.f1_macro(scored, "label", "prediction"))
         if k == 2 and "probability" in scored.columns:
             from pyspark.ml.functions import vector_to_array
             p1 = vector_to_array("probability")[1]
-            mets = mets.crossJoin(M.auroc(scored.withColumn("_p1", p1), "label", "_p1",
+            mets = with_scalars(mets, M.auroc(scored.withColumn("_p1", p1), "label", "_p1",
                                           positive=1.0))
     else:
         mets = M.regression(scored, "label", "prediction")

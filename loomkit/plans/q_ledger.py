@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomkit.functions.exprs import with_scalars
+
 from loomkit.functions.exprs import r6, slugify
 from loomkit.operators import ledger as L
 from loomkit.plans.registry import register
@@ -269,7 +271,7 @@ FROM o FULL OUTER JOIN n ON o.p_partkey = n.p_partkey""")
 def q_upsert_by_key(spark, sf):
     p = _t(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
     mx = p.agg((F.max("p_partkey") + 1).alias("_shift"))
-    new = p.crossJoin(F.broadcast(mx)).select(  # one-row side
+    new = with_scalars(p, mx).select(
         F.when(F.col("p_partkey") % 100 == 0, F.col("p_partkey") + F.col("_shift"))
          .otherwise(F.col("p_partkey")).alias("p_partkey"), "p_name",
         F.when(F.col("p_partkey") % 10 == 0, F.col("p_retailprice") + 1)

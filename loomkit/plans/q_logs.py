@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomkit.functions.exprs import with_scalars
+
 from loomkit.operators import logs as LG
 from loomkit.plans.registry import register
 from loomkit.session import load_table
@@ -63,7 +65,7 @@ SELECT CASE WHEN received_at >= (SELECT max(received_at) FROM {_LOG_SQL}) - INTE
 def q_audit_retention(spark, sf):
     log = audit_log(spark, sf)
     now = log.agg(F.max("received_at").alias("_now"))
-    tagged = log.crossJoin(F.broadcast(now))  # one-row side
+    tagged = with_scalars(log, now)
     _kept, counts = LG.audit_retention(tagged, F.col("_now"), days=7)
     return counts
 

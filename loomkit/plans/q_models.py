@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomkit.functions.exprs import with_scalars
+
 from loomkit.functions.exprs import hash_unit
 from loomkit.operators import supervised as SV
 from loomkit.plans.registry import register, sql_hash
@@ -140,8 +142,7 @@ def _shap_values(spark, sf):
     li = load_table(spark, sf, "lineitem")
     feats = ["l_quantity", "l_discount", "l_tax"]
     means = li.agg(*[F.avg(c).alias(c) for c in feats])
-    j = li.select(*feats).crossJoin(F.broadcast(means.select(
-        *[F.col(c).alias(f"m_{c}") for c in feats])))  # one-row side
+    j = with_scalars(li.select(*feats), means.select(*[F.col(c).alias(f"m_{c}") for c in feats]))
     per_f = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) - F.col(f"m_{c}")).alias("d"))
                       for c in feats])
     cls = F.array(*[F.struct(F.lit(k).alias("cls"), F.lit(w).alias("w"))
@@ -172,7 +173,7 @@ def q_importance_top20(spark, sf):
     g = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
         F.col("p_brand").alias("feature")).agg(F.avg("l_discount").alias("a"))
     overall = li.agg(F.avg("l_discount").alias("o"))
-    imp = g.crossJoin(F.broadcast(overall)).select(  # one-row side
+    imp = with_scalars(g, overall).select(
         "feature", r6(F.abs(F.col("a") - F.col("o"))).alias("importance"))
     return importance_top(imp, 20)
 
