@@ -115,3 +115,10 @@ def with_scalars(df, one_row, prefix: str = ""):
             lit = F.lit(v)
         out = out.withColumn(prefix + field.name, lit.cast(field.dataType))
     return out
+
+
+def epoch_seconds(c) -> Column:
+    """Whole seconds since 1970-01-01 of a wall-clock timestamp, independent
+    of the session time zone (``TIMESTAMP_NTZ`` arithmetic)."""
+    ts = _as_col(c).cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)

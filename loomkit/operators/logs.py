@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomkit.functions.exprs import exact_avg, r6
+from loomkit.functions.exprs import epoch_seconds, exact_avg, r6
 from loomkit.operators.splits import rank_within_groups
 
 PREVIEW_CHARS = 8192
@@ -86,7 +86,7 @@ def quota_fixed_window(requests: DataFrame, identity: str, ts: str, order_cols:
     """Fixed-window counting: bucket ``floor(epoch / w)``, the running position
     of each request in its (identity, bucket), ``over_limit`` past ``limit``
     and ``retry_after`` = w - epoch mod w for rejected requests (0 if accepted)."""
-    epoch = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    epoch = epoch_seconds(ts)
     t = requests.withColumn("_epoch", epoch) \
                 .withColumn("bucket", F.floor(F.col("_epoch") / window_seconds))
     u = F.pmod(F.col("_epoch"), F.lit(window_seconds)) / F.lit(float(window_seconds))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.functions.exprs import exact_avg
+from loomkit.functions.exprs import epoch_seconds, exact_avg
 
 # Text timestamp formats tried in order.
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy")
@@ -58,8 +58,7 @@ def series_infer_freq(prepared: DataFrame, series_cols: list[str]) -> DataFrame:
     """
     w = Window.partitionBy(*series_cols).orderBy("ts")
     d = prepared.withColumn(
-        "dt", F.unix_timestamp(F.col("ts").cast("timestamp")) -
-        F.unix_timestamp(F.lag(F.col("ts").cast("timestamp")).over(w))) \
+        "dt", epoch_seconds("ts") - epoch_seconds(F.lag("ts").over(w))) \
         .withColumn("dm", F.months_between(F.col("ts"), F.lag("ts").over(w)))
     g = d.groupBy(*series_cols).agg(
         F.count_distinct("dt").alias("n_dt"), F.min("dt").alias("dt"),
