@@ -112,3 +112,24 @@ def dense_index(df: DataFrame, key: str, out: str = "idx",
     keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_one", F.lit(1))
     ranked = prefix_sums(keys, key, ["_one"], prefix="_pos", buckets=buckets)
     return ranked.select(key, F.col("_pos_one").cast("long").alias(out))
+
+
+def exact_median(df: DataFrame, col: str, buckets: int | None = None):
+    """Exact median (mean of the two middle values) without holding the values
+    in one task: counts per distinct value, an exact bucketed prefix count,
+    then the one or two middle values.  Returns a Python float or None."""
+    x = F.col(col).cast("double")
+    clean = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = clean.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    n = counts.agg(F.sum("c")).first()[0]
+    if not n:
+        return None
+    lo, hi = (n - 1) // 2, n // 2
+    pre = prefix_sums(counts, "v", ["c"], prefix="b_", buckets=buckets)
+    hit = pre.where(((F.col("b_c") <= lo) & (F.col("b_c") + F.col("c") > lo))
+                    | ((F.col("b_c") <= hi) & (F.col("b_c") + F.col("c") > hi))) \
+             .select("v", "b_c", "c").collect()  # at most two rows
+    def at(pos):
+        return next(r["v"] for r in hit if r["b_c"] <= pos < r["b_c"] + r["c"])
+    a, b = at(lo), at(hi)
+    return a if a == b else 0.5 * a + 0.5 * b

@@ -59,7 +59,7 @@ class ColumnOp:
         if self.op == "impute_mean":
             return [exact_avg(x, 10).alias(f"{k}__fill")]
         if self.op == "impute_median":
-            return [F.median(x).alias(f"{k}__fill")]
+            return []  # exact distributed median in fit_ops (values never gathered)
         if self.op == "impute_mode":
             v = x if _isnum(df, c) else F.col(f"`{c}`")
             return [F.mode(v, True).alias(f"{k}__fill")]
@@ -173,6 +173,10 @@ def fit_ops(train: DataFrame, ops: list[ColumnOp]) -> list[ColumnOp]:
         row = train.agg(*aggs).first().asDict()
         for op in ops:
             op.stats.update({k: v for k, v in row.items() if k.startswith(f"{op.key}__")})
+    for op in ops:
+        if op.op == "impute_median":
+            from loomkit.functions.prefix import exact_median
+            op.stats[f"{op.key}__fill"] = exact_median(train, op.column)
     second = [a for op in ops for a in op.second_pass_aggs(train)]
     if second:
         row = train.agg(*second).first().asDict()

@@ -93,3 +93,12 @@ def test_top_k_never_returns_seen(spark):
     train, _ = ratings_split(spark, SMALL)
     clash = recs.join(train.select("user_id", "item_id"), ["user_id", "item_id"])
     assert clash.count() == 0
+
+
+def test_exact_median_matches_numpy(spark):
+    from loomkit.functions.prefix import exact_median
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 400, 401):
+        vals = rng.integers(0, 50, n).astype(float)
+        df = spark.createDataFrame(pd.DataFrame({"x": vals}))
+        assert exact_median(df, "x", buckets=6) == float(np.median(vals))
