@@ -180,10 +180,18 @@ def visible_models(models: DataFrame, versions: DataFrame, model_key: str,
 
 
 def versions_desc(versions: DataFrame, model: str, version: str) -> DataFrame:
-    """Versions numbered newest first per model (numeric order, not text)."""
+    """Versions numbered newest first per model (numeric order, not text).
+
+    ``position`` = 1 + number of newer versions of the same model: an exact
+    bucketed prefix count, so a model holding a third of all versions is cut
+    into ranges instead of sorted in one task (versions are unique per model).
+    """
+    from loomkit.functions.prefix import prefix_sums
+
     num = F.col(version).cast("string").try_cast("bigint")
-    w = Window.partitionBy(model).orderBy(num.desc())
-    return versions.withColumn("position", F.row_number().over(w))
+    keyed = versions.withColumn("_neg", -num).withColumn("_one", F.lit(1))
+    out = prefix_sums(keyed, "_neg", ["_one"], prefix="_newer", group_cols=[model])
+    return out.withColumn("position", F.col("_newer_one") + 1).drop("_neg", "_one", "_newer_one")
 
 
 def delete_blockers(parents: DataFrame, children: DataFrame, parent_key: str,

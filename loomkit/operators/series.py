@@ -55,28 +55,37 @@ def series_infer_freq(prepared: DataFrame, series_cols: list[str]) -> DataFrame:
     Regular spacing -> the spacing (``D``, ``h``, ``W`` or ``<n>s``); month
     starts one month apart -> ``MS``; anything else -> ``D`` with
     ``regular = false`` (the caller resamples daily).
+
+    No window: ``n`` distinct timestamps are evenly spaced exactly when the
+    span is a multiple ``(n - 1) d`` of an integer step ``d`` and every
+    timestamp sits on that grid.  Two aggregates per series, map-side combined.
     """
-    w = Window.partitionBy(*series_cols).orderBy("ts")
-    d = prepared.withColumn(
-        "dt", epoch_seconds("ts") - epoch_seconds(F.lag("ts").over(w))) \
-        .withColumn("dm", F.months_between(F.col("ts"), F.lag("ts").over(w)))
-    g = d.groupBy(*series_cols).agg(
-        F.count_distinct("dt").alias("n_dt"), F.min("dt").alias("dt"),
-        F.count_distinct("dm").alias("n_dm"), F.min("dm").alias("dm"),
-        F.max((F.dayofmonth("ts") != 1).cast("int")).alias("not_first"),
-        F.max((F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts") != 0).cast("int"))
-        .alias("has_time"))
-    regular = F.col("n_dt") == 1
+    e = epoch_seconds("ts")
+    mo = F.year("ts") * 12 + F.month("ts")
+    g = prepared.groupBy(*series_cols).agg(
+        F.count(F.lit(1)).alias("n"), F.min(e).alias("e0"), F.max(e).alias("e1"),
+        F.min(mo).alias("m0"), F.max(mo).alias("m1"),
+        F.max(((F.dayofmonth("ts") != 1) | (F.hour("ts") * 3600 + F.minute("ts") * 60
+                                             + F.second("ts") != 0)).cast("int"))
+        .alias("off_month_start"))
+    step = F.when((F.col("n") > 1) & (((F.col("e1") - F.col("e0")) % (F.col("n") - 1)) == 0),
+                  F.try_divide(F.col("e1") - F.col("e0"), F.col("n") - 1).cast("long"))
+    g = g.withColumn("dt", step)
+    on_grid = prepared.join(g.select(*series_cols, "e0", "dt"), series_cols) \
+        .groupBy(*series_cols).agg(F.max(F.when(F.col("dt").isNull() | (F.col("dt") == 0), 1)
+                                         .otherwise(((e - F.col("e0")) % F.col("dt") != 0)
+                                                    .cast("int"))).alias("off_grid"))
+    g = g.join(on_grid, series_cols)
+    regular = (F.col("n") > 1) & (F.col("off_grid") == 0)
+    monthly = (F.col("n") > 1) & (F.col("off_month_start") == 0) & \
+        (F.col("m1") - F.col("m0") == F.col("n") - 1)
     label = (F.when(regular & (F.col("dt") == DAY_SECONDS), "D")
               .when(regular & (F.col("dt") == 7 * DAY_SECONDS), "W")
               .when(regular & (F.col("dt") == 3600), "h")
               .when(regular, F.concat(F.col("dt").cast("string"), F.lit("s")))
-              .when((F.col("n_dm") == 1) & (F.col("dm") == 1.0) & (F.col("not_first") == 0)
-                    & (F.col("has_time") == 0), "MS")
+              .when(monthly, "MS")
               .otherwise("D"))
-    is_reg = regular | ((F.col("n_dm") == 1) & (F.col("dm") == 1.0) & (F.col("not_first") == 0)
-                        & (F.col("has_time") == 0))
-    return g.select(*series_cols, label.alias("freq"), is_reg.alias("regular"))
+    return g.select(*series_cols, label.alias("freq"), (regular | monthly).alias("regular"))
 
 
 def series_resample(prepared: DataFrame, series_cols: list[str]) -> DataFrame:

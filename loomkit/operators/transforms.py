@@ -61,8 +61,7 @@ class ColumnOp:
         if self.op == "impute_median":
             return []  # exact distributed median in fit_ops (values never gathered)
         if self.op == "impute_mode":
-            v = x if _isnum(df, c) else F.col(f"`{c}`")
-            return [F.mode(v, True).alias(f"{k}__fill")]
+            return []  # distributed value counts in fit_ops (ties -> smallest value)
         if self.op == "date_features":
             parts = date_parts(F.col(f"`{c}`"))
             out = [F.max(F.when(has_time_part(F.col(f"`{c}`")), 1).otherwise(0))
@@ -177,6 +176,15 @@ def fit_ops(train: DataFrame, ops: list[ColumnOp]) -> list[ColumnOp]:
         if op.op == "impute_median":
             from loomkit.functions.prefix import exact_median
             op.stats[f"{op.key}__fill"] = exact_median(train, op.column)
+        elif op.op == "impute_mode":
+            # counts per distinct value (map-side combined), then the top one by
+            # (count desc, value asc): a per-partition top-1, never one big map
+            c = op.column
+            v = _clean_num(c) if _isnum(train, c) else F.col(f"`{c}`")
+            top = train.select(v.alias("v")).where(F.col("v").isNotNull()) \
+                       .groupBy("v").agg(F.count(F.lit(1)).alias("n")) \
+                       .orderBy(F.col("n").desc(), F.col("v")).limit(1).collect()
+            op.stats[f"{op.key}__fill"] = top[0]["v"] if top else None
     second = [a for op in ops for a in op.second_pass_aggs(train)]
     if second:
         row = train.agg(*second).first().asDict()
