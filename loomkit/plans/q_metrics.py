@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomkit.functions.exprs import hash_unit
 from loomkit.operators import metrics as M
 from loomkit.plans.registry import register, sql_hash
 from loomkit.plans.q_splits import LI_KEY_SQL
@@ -64,6 +63,19 @@ def q_metric_auroc(spark, sf):
     return M.auroc(_binary(spark, sf), "y", "score")
 
 
+_CONT_SQL = """(SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_extendedprice AS score
+  FROM lineitem)"""
+
+
+@register("metric_auroc_continuous", _AUC_SQL.format(src=_CONT_SQL))
+def q_metric_auroc_continuous(spark, sf):
+    """AUROC over ~all-distinct scores: exercises the bucketed prefix sum."""
+    li = load_table(spark, sf, "lineitem")
+    d = li.select((F.col("l_returnflag") == "R").cast("int").alias("y"),
+                  F.col("l_extendedprice").alias("score"))
+    return M.auroc(d, "y", "score")
+
+
 def _ovr_long(spark, sf):
     mc = _multiclass(spark, sf)
     arr = F.array(

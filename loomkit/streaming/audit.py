@@ -13,7 +13,6 @@ session's shared checkpoint folder.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import pandas as pd
