@@ -235,3 +235,39 @@ def q_apply_input_schema(spark, sf):
     raw = li.select(*[F.col(c).cast("string").alias(c) for c in li.columns])
     valid, _quarantine = P.apply_input_schema(raw, INPUT_SCHEMA)
     return valid
+
+
+@register("profile_dataset_overrides", """
+WITH raw AS (SELECT l_orderkey, l_returnflag,
+  CASE WHEN l_orderkey % 7 = 0 THEN 'not a date ' || CAST(l_orderkey AS VARCHAR)
+       ELSE strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') END AS l_shipdate,
+  CAST(l_quantity AS VARCHAR) AS l_quantity FROM lineitem),
+c AS (SELECT l_orderkey, l_returnflag, try_strptime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate,
+  TRY_CAST(l_quantity AS DOUBLE) AS l_quantity FROM raw)
+SELECT 'l_shipdate' AS column_name, 'string' AS inferred_type, 'datetime' AS semantic_type,
+  count(l_shipdate) AS count, round((count(*) - count(l_shipdate)) * 100.0::DOUBLE / count(*), 6) AS missing_pct,
+  count(DISTINCT l_shipdate) AS unique_count, CAST(NULL AS DOUBLE) AS mean FROM c
+UNION ALL
+SELECT 'l_quantity', 'string', 'numeric', count(l_quantity),
+  round((count(*) - count(l_quantity)) * 100.0::DOUBLE / count(*), 6), count(DISTINCT l_quantity),
+  round(CAST(sum(CAST(l_quantity AS DECIMAL(38,6))) AS DOUBLE) / count(l_quantity), 6) FROM c
+UNION ALL
+SELECT 'l_returnflag', 'string', 'text', count(l_returnflag), 0.0, count(DISTINCT l_returnflag),
+  CAST(NULL AS DOUBLE) FROM c
+UNION ALL
+SELECT 'l_orderkey', 'bigint', 'numeric', count(*), 0.0, count(DISTINCT l_orderkey),
+  round(CAST(sum(CAST(l_orderkey AS DECIMAL(38,6))) AS DOUBLE) / count(*), 6) FROM c""")
+def q_profile_dataset_overrides(spark, sf):
+    """Re-profile with user types: text dates read as datetime, text numbers
+    as numeric (bad values become missing), a categorical forced to text."""
+    li = load_table(spark, sf, "lineitem")
+    raw = li.select(
+        "l_orderkey", "l_returnflag",
+        F.when(F.col("l_orderkey") % 7 == 0,
+               F.concat(F.lit("not a date "), F.col("l_orderkey").cast("string")))
+         .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("l_shipdate"),
+        F.col("l_quantity").cast("string").alias("l_quantity"))
+    prof = P.profile_dataset(raw, {"l_shipdate": "datetime", "l_quantity": "numeric",
+                                   "l_returnflag": "text"})
+    return prof.select("column_name", "inferred_type", "semantic_type", "count", "missing_pct",
+                       "unique_count", "mean")
