@@ -32,17 +32,22 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     return max(1, min(parts, _MAX_BUCKETS))
 
 
-def _boundaries(df: DataFrame, key: str, buckets: int, seed: int = 17) -> list:
-    """Sorted, distinct range cut points taken from a bounded sample."""
+def _keys(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _boundaries(df: DataFrame, key, buckets: int, seed: int = 17) -> list:
+    """Sorted, distinct range cut points (tuples) taken from a bounded sample."""
     if buckets <= 1:
         return []
+    keys = _keys(key)
     want = 20 * buckets
     n = df.count()
-    if n <= want:
-        sample = df.select(key)
-    else:
-        sample = df.select(key).sample(False, min(1.0, 2.0 * want / n), seed)
-    vals = sorted(r[0] for r in sample.limit(4 * want).collect() if r[0] is not None)
+    sample = df.select(*keys)
+    if n > want:
+        sample = sample.sample(False, min(1.0, 2.0 * want / n), seed)
+    vals = sorted(tuple(r) for r in sample.limit(4 * want).collect()
+                  if all(v is not None for v in r))
     if not vals:
         return []
     cuts = []
@@ -53,26 +58,40 @@ def _boundaries(df: DataFrame, key: str, buckets: int, seed: int = 17) -> list:
     return cuts
 
 
-def bucket_of(col: Column, cuts: list) -> Column:
-    """Index of the range ``[cut[i-1], cut[i])`` holding ``col`` (balanced tree)."""
+def _less(cols: list[Column], cut: tuple) -> Column:
+    """Lexicographic ``cols < cut``."""
+    expr = None
+    for i in reversed(range(len(cols))):
+        lt = cols[i] < F.lit(cut[i])
+        expr = lt if expr is None else (lt | ((cols[i] == F.lit(cut[i])) & expr))
+    return expr
+
+
+def bucket_of(col, cuts: list) -> Column:
+    """Index of the range ``[cut[i-1], cut[i])`` holding the key (balanced tree).
+
+    ``col`` is a column or a list of columns (lexicographic order); ``cuts``
+    are values or tuples."""
+    cols = col if isinstance(col, list) else [col]
+    tcuts = [c if isinstance(c, tuple) else (c,) for c in cuts]
 
     def build(lo: int, hi: int) -> Column:
         # buckets lo..hi inclusive; cuts[i] separates bucket i and i+1
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(col < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+        return F.when(_less(cols, tcuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
 
-    if not cuts:
+    if not tcuts:
         return F.lit(0)
-    return build(0, len(cuts))
+    return build(0, len(tcuts))
 
 
-def prefix_sums(df: DataFrame, key: str, value_cols: list[str],
+def prefix_sums(df: DataFrame, key, value_cols: list[str],
                 prefix: str = "before_", buckets: int | None = None,
                 group_cols: list[str] | None = None) -> DataFrame:
     """Add ``<prefix><c>`` = sum of ``c`` over rows of the same group whose
-    ``key`` is smaller.
+    ``key`` (a column name or a list: lexicographic order) is smaller.
 
     ``key`` must be unique inside each group.  Exact; no step runs a whole
     group (or the whole table) in one task: the range buckets of ``key`` cut
@@ -80,16 +99,17 @@ def prefix_sums(df: DataFrame, key: str, value_cols: list[str],
     groups x buckets rows.
     """
     g = list(group_cols or [])
+    keys = _keys(key)
     nb = _bucket_count(df, buckets)
-    cuts = _boundaries(df, key, nb)
-    tagged = df.withColumn("_bkt", bucket_of(F.col(key), cuts))
+    cuts = _boundaries(df, keys, nb)
+    tagged = df.withColumn("_bkt", bucket_of([F.col(k) for k in keys], cuts))
     totals = tagged.groupBy(*g, "_bkt").agg(*[F.sum(c).alias(f"_tot_{c}") for c in value_cols])
     w_all = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *g, "_bkt",
         *[F.coalesce(F.sum(f"_tot_{c}").over(w_all), F.lit(0)).alias(f"_off_{c}")
           for c in value_cols])
-    w_in = Window.partitionBy(*g, "_bkt").orderBy(key).rowsBetween(
+    w_in = Window.partitionBy(*g, "_bkt").orderBy(*keys).rowsBetween(
         Window.unboundedPreceding, -1)
     # offsets holds at most groups x buckets rows; without groups it is
     # bounded by the bucket count and is broadcast explicitly
