@@ -102,3 +102,28 @@ def test_exact_median_matches_numpy(spark):
         vals = rng.integers(0, 50, n).astype(float)
         df = spark.createDataFrame(pd.DataFrame({"x": vals}))
         assert exact_median(df, "x", buckets=6) == float(np.median(vals))
+
+
+def test_als_top_k_equals_brute_force(spark):
+    from loomkit.operators import recommend as RC
+    from loomkit.plans.q_reco import ratings_split
+    train, _ = ratings_split(spark, SMALL)
+    tr = train.select("user_id", "item_id", "rating")
+    model, users, items = RC.reco_als_implicit(tr, factors=4, iterations=3)
+    seen = tr.join(users, "user_id").join(items, "item_id").select(
+        F.col("user_idx").alias("user_id"), F.col("item_idx").alias("item_id"))
+    uidx = users.select(F.col("user_idx").alias("user_id"))
+    got = RC.reco_top_k_als(model, uidx, seen, 3, light_quantile=0.5) \
+            .select("user_id", "item_id", "rank").toPandas()
+    n_items = items.count()
+    full = model.recommendForUserSubset(uidx.withColumnRenamed("user_id", "user_idx"), n_items) \
+        .select(F.col("user_idx").alias("user_id"), F.explode("recommendations").alias("r")) \
+        .select("user_id", F.col("r.item_idx").alias("item_id"), F.col("r.rating").alias("score"))
+    unseen = full.join(seen, ["user_id", "item_id"], "left_anti")
+    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "item_id")
+    want = unseen.withColumn("rank", F.row_number().over(w) - 1).where("rank < 3") \
+                 .select("user_id", "item_id", "rank").toPandas()
+    key = ["user_id", "rank"]
+    a = got.sort_values(key).reset_index(drop=True)
+    b = want.sort_values(key).reset_index(drop=True)
+    assert len(a) == len(b) and (a["item_id"].to_numpy() == b["item_id"].to_numpy()).all()
