@@ -38,12 +38,19 @@ def split_three_way(df: DataFrame, key_cols: list[str], train: float = 0.7,
 
 
 def rank_within_groups(df: DataFrame, group_cols: list[str], u: Column,
-                       tie_cols: list[str], buckets: int = 64) -> DataFrame:
+                       tie_cols: list[str], buckets: int | None = None) -> DataFrame:
     """Add ``_pos`` (0-based rank by ``u, tie_cols`` inside the group) and ``_n``.
 
     ``u`` must be uniform in [0, 1).  The big window is partitioned by
-    (group, u-bucket), never by the group alone.
+    (group, u-bucket), never by the group alone.  The bucket count follows the
+    cluster's shuffle width (twice ``spark.sql.shuffle.partitions``, at least
+    64), so a group holding a third of the table is cut into as many pieces
+    as there are reduce tasks; only non-empty (group, bucket) pairs exist in
+    the count table.
     """
+    if not buckets:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        buckets = max(64, 2 * parts)
     t = df.withColumn("_u", u).withColumn(
         "_ub", F.least(F.floor(F.col("_u") * buckets), F.lit(buckets - 1)).cast("int"))
     counts = t.groupBy(*group_cols, "_ub").agg(F.count(F.lit(1)).alias("_cnt"))
