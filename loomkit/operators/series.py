@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,10 +113,16 @@ def series_min_length(prepared: DataFrame, series_cols: list[str], horizon: int)
 
 
 def _positions(df: DataFrame, series_cols: list[str]) -> DataFrame:
-    w = Window.partitionBy(*series_cols).orderBy("ts")
-    n = Window.partitionBy(*series_cols)
-    return df.withColumn("pos", F.row_number().over(w) - 1) \
-             .withColumn("n", F.count(F.lit(1)).over(n))
+    """``pos`` (0-based, by time) and ``n`` per series without a per-series
+    window: a bucketed prefix count keyed by (series, ts) and a grouped count,
+    so one very long series is still cut into many tasks."""
+    from loomkit.functions.prefix import prefix_sums
+
+    pre = prefix_sums(df.withColumn("_one", F.lit(1)), "ts", ["_one"], prefix="_b",
+                      group_cols=series_cols)
+    n = df.groupBy(*series_cols).agg(F.count(F.lit(1)).alias("n"))
+    return pre.withColumn("pos", F.col("_b_one").cast("long")).drop("_one", "_b_one") \
+              .join(n, series_cols)
 
 
 def forecast_emit(prepared: DataFrame, series_cols: list[str], horizon: int,
