@@ -2,8 +2,8 @@
 
 Preparation (parse, de-duplicate by sum, resample with gap filling, frequency
 inference, naive forecasts) is SQL: group-bys keyed by (series, time) and
-windows partitioned by series over the *aggregated* series (one row per
-period, so a series' size is its time span, not its raw row count).
+bucketed prefix counts for positions, so no step sorts a whole series in one
+task; frequency inference needs no ordering at all.
 
 Model forecasters (theta, ETS, ARIMA, SARIMA) fit one series at a time in
 ``groupBy(series).applyInPandas`` with numpy; the unit of parallelism is the
