@@ -246,10 +246,10 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         roots = union_find(links.unionByName(last))
 
     rep_root = _rooted(classes.withColumnRenamed("rep", "doc"), roots).select("digest", "comp")
+    comp = F.when(F.col("doc").isNotNull(), F.coalesce("comp", "doc"))
     return sketch.join(rep_root, "digest", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.coalesce("comp", "doc").alias("component_id"),
-        F.coalesce(F.coalesce("comp", "doc") == F.col("doc"), F.lit(True)).alias("kept"))
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"),
+        F.coalesce(comp == F.col("doc"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

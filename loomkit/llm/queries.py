@@ -43,3 +43,80 @@ def op9(spark, sf):
 def pipeline(spark, sf):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
+
+
+def _op1_sql() -> str:
+    from loomkit.llm.licences import oracle
+    return oracle()
+
+
+@register("op1_license_rules", _op1_sql())
+def op1(spark, sf):
+    from loomkit.llm.licences import scan_licences
+    return scan_licences(table(spark, sf, "documents"))
+
+
+@register("op3_html_extraction")
+def op3(spark, sf):
+    from loomkit.llm.html_extract import extract_main_text
+    return extract_main_text(table(spark, sf, "pages"))
+
+
+@register("op4_vector_approximation", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""")
+def op4(spark, sf):
+    from loomkit.llm.vafile import exact_top_k
+    return exact_top_k(table(spark, sf, "embeddings"), lambda i: i % 20 == 0)
+
+
+@register("op5_sentencepiece_fst")
+def op5(spark, sf):
+    from loomkit.llm.fst import round_trip
+    return round_trip(table(spark, sf, "documents"))
+
+
+@register("op8_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+h AS (SELECT page_id, octet_length(raw) AS payload_bytes, raw, max(page_id) OVER (PARTITION BY raw) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0b' || substr(bits, 1 + 5 * k, 5)) AS INTEGER), 1),
+          '' ORDER BY k) FROM range(32) t(k)) AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM (SELECT *, CAST(CAST(unhex(sha1(raw)) AS BIT) AS VARCHAR) AS bits FROM h)""")
+def op8(spark, sf):
+    from loomkit.llm.warc import archive_round_trip
+    return archive_round_trip(table(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_ESC = r"replace(replace(replace({}, '\', '\\'), '#', '\#'), '<', '\<')"
+
+
+@register("op10_reply_trees", rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(replace({_ESC.format('role')}, ':', '\:')) + length({_ESC.format('text')})) AS BIGINT)
+    AS formatted_chars
+FROM t GROUP BY conv_id""")
+def op10(spark, sf):
+    from loomkit.llm.chat import format_branches, linear_replies, read_back
+    said = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return read_back(format_branches(linear_replies(turns.unionByName(extra)), best=1))
