@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomkit.llm.common import spread, text_chunks
-from loomkit.llm.tokens import WordTable, _cut, vocabulary_path
+from loomkit.llm.tokens import WordTable, _cut, flatten, vocabulary_path
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -102,7 +102,7 @@ class Transducer:
         # pieces with a mark behind another character would forbid cutting there
         self.cuttable = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.pair_cost: dict[tuple[str, str], bool] = {}
-        self.table = WordTable(lambda chunks: [self._ids(self.shortest(c)) for c in chunks])
+        self.table = WordTable(lambda chunks: flatten([self._ids(self.shortest(c)) for c in chunks]))
 
     # the three machines -----------------------------------------------------
 

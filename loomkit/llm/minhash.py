@@ -10,9 +10,11 @@
 3. ``bands`` bands of ``rows`` slots: equal bands are candidates.
 4. Verification on full sets, in rounds, so that no bucket is expanded into
    pairs: (a) a document against the smallest id it shares any bucket with,
-   (b) against the smallest id of every bucket it is in, (c) what a bucket
-   still holds in different components, every such pair.  Pairs inside one
-   component need no test: they cannot change the result.
+   (b) against the smallest id of every bucket it is in, (c) documents whose
+   bucket still holds several components, every pair of different components
+   that shares a shingle of both prefixes (an exact filter, see
+   ``_prefix_pairs``).  Pairs inside one component need no test: they cannot
+   change the result.
 5. Union-find over verified links: roots hook onto smaller roots, paths are
    halved by pointer jumping; every step is a join over node tables written to
    the shared folder.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomkit.llm.common import materialise, mix64, spread, text_chunks, windows64, words_of
@@ -128,6 +130,45 @@ def _links(threshold: int):
     return run
 
 
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        size = pdf["items"].str.len().to_numpy() // 8
+        piece = np.cumsum(size) // 500_000
+        for k in np.unique(piece):
+            at = piece == k
+            yield pd.DataFrame({"doc": np.repeat(pdf["doc"].to_numpy()[at], size[at]),
+                                "token": np.frombuffer(b"".join(pdf["items"][at]), np.int64)})
+
+
+def _prefix_pairs(docs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs ``(u > v)`` of different components that can still reach the threshold.
+
+    Shingles are ordered from rare to common over the given documents.  Two
+    sets that are similar enough share one among the first
+    ``n - ceil(threshold * n) + 1`` of each, so a passage that many documents
+    repeat pairs none of them as long as they have enough shingles of their own.
+    """
+    tokens = materialise(sets.join(docs.select("doc"), "doc", "left_semi")
+                         .mapInPandas(_tokens, "doc long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    by_doc = Window.partitionBy("doc")
+    first = tokens.join(often, "token").join(docs, "doc") \
+        .withColumn("place", F.row_number().over(by_doc.orderBy("docs", "token"))
+                    + F.col("n") - F.count(F.lit(1)).over(by_doc)) \
+        .where(f"place <= n - ceil({threshold} * n / 100) + 1").select("token", "doc", "n", "comp")
+    first = materialise(first, "prefixes")
+    parts = first.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = parts.select("token", F.col("comp").alias("comp2"), F.col("least").alias("least2"),
+                         F.col("most").alias("most2"))
+    duos = parts.join(other, "token").where(
+        f"comp < comp2 and 100 * most >= {threshold} * least2 and 100 * most2 >= {threshold} * least") \
+        .select("token", "comp", "comp2")
+    return duos.join(first, ["token", "comp"]).join(
+        first.select("token", F.col("comp").alias("comp2"), F.col("doc").alias("doc2"), F.col("n").alias("m")),
+        ["token", "comp2"]).where(f"100 * least(n, m) >= {threshold} * greatest(n, m)") \
+        .select(F.greatest("doc", "doc2").alias("u"), F.least("doc", "doc2").alias("v")).distinct()
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Of the pairs (u > v), those whose full sets are similar enough."""
     left = pairs.join(sets.select(F.col("doc").alias("u"), F.col("items").alias("x")), "u")
@@ -204,7 +245,6 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = spots.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high")) \
         .where("low < high").select("bucket", "low")
     members = materialise(spots.join(shared, "bucket"), "members")
-    near = F.expr(f"100 * least(n, m) >= {threshold} * greatest(n, m)")
 
     involved = members.select("doc").distinct()
     sets = materialise(src.join(involved, "doc", "left_semi")
@@ -230,17 +270,10 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tested = first.unionByName(second)
 
     rooted = _rooted(open_.drop("comp", "low"), roots)
-    parts = rooted.groupBy("bucket", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = parts.select("bucket", F.col("comp").alias("comp2"), F.col("least").alias("least2"),
-                         F.col("most").alias("most2"))
-    duos = parts.join(other, "bucket").where(
-        f"comp < comp2 and 100 * most >= {threshold} * least2 and 100 * most2 >= {threshold} * least") \
-        .select("bucket", "comp", "comp2")
-    third = duos.join(rooted, ["bucket", "comp"]).join(
-        rooted.select("bucket", F.col("comp").alias("comp2"), F.col("doc").alias("doc2"), F.col("n").alias("m")),
-        ["bucket", "comp2"]).where(near) \
-        .select(F.greatest("doc", "doc2").alias("u"), F.least("doc", "doc2").alias("v")).distinct() \
-        .join(tested, ["u", "v"], "left_anti")
+    mixed = rooted.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")) \
+        .where("a < b").select("bucket")
+    undecided = materialise(rooted.join(mixed, "bucket").select("doc", "n", "comp").distinct(), "undecided")
+    third = _prefix_pairs(undecided, sets, threshold).join(tested, ["u", "v"], "left_anti")
     last = materialise(_verify(third, sets, threshold), "round3")
     if last.limit(1).count():
         roots = union_find(links.unionByName(last))

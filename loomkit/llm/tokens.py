@@ -12,6 +12,7 @@ import functools
 import os
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import regex
@@ -25,42 +26,55 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Codes(dict):
+    """Number of every word seen; a new word gets the next number and waits."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class WordTable:
-    """Ids of words, as offsets into one growing array."""
+    """Ids of words, as offsets into one growing array.
 
-    def __init__(self, encode: Callable[[list[str]], list], max_words: int = MAX_WORDS):
+    ``encode`` maps words to their ids in one flat list, and the count of each.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[list[int], list[int]]], max_words: int = MAX_WORDS):
         self.encode, self.max_words = encode, max_words
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = _Codes()
         self.start = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.int32)
-        self.used = 0
+        self.known = self.used = 0
 
     def _add(self, words: list[str]) -> None:
-        found = self.encode(words)
-        flat = np.concatenate([np.asarray(x, np.int32) for x in found])
-        size = np.array([len(x) for x in found], np.int64)
-        n = len(self.code)
+        flat, size = self.encode(words)
+        n = self.known
         if len(self.start) < n + len(words) + 1:
             self.start = np.resize(self.start, 2 * (n + len(words) + 1))
         if len(self.ids) < self.used + len(flat):
             self.ids = np.resize(self.ids, 2 * (self.used + len(flat)))
         self.ids[self.used:self.used + len(flat)] = flat
-        self.start[n + 1:n + 1 + len(words)] = self.used + np.cumsum(size)
+        self.start[n + 1:n + 1 + len(words)] = self.used + np.cumsum(np.array(size, np.int64))
         self.used += len(flat)
-        self.code.update(zip(words, range(n, n + len(words))))
+        self.known += len(words)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, ids per word)`` of the words, in order."""
-        new = list(dict.fromkeys(w for w in words if w not in self.code))
-        if new:
-            if len(self.code) + len(new) > self.max_words:
-                self.clear()
-                new = list(dict.fromkeys(words))
-            self._add(new)
+        if self.known > self.max_words:
+            self.clear()
         code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if self.code.new:
+            self._add(self.code.new)
+            self.code.new = []
         lo, size = self.start[code], self.start[code + 1] - self.start[code]
         end = np.cumsum(size)
         total = int(end[-1]) if len(end) else 0
@@ -68,6 +82,11 @@ class WordTable:
         return self.ids[at], size
 
 
+def flatten(found: list) -> tuple[list[int], list[int]]:
+    """One flat list of the ids of several words, and the count of each."""
+    return list(chain.from_iterable(found)), list(map(len, found))
+
+
 def _cut(ids: np.ndarray, size: np.ndarray, per_text: list[int]) -> list[np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per_text)])]
     return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
@@ -80,6 +99,24 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 _WHOLE = re.compile("<\\||[\u03a3\u1e9e\u0130\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff]")
 
 
+@functools.cache
+def _unsettled() -> re.Pattern:
+    """``_WHOLE``, and the characters that are letters or numbers in one
+    library's Unicode tables and unassigned in an older one's."""
+    import sys
+    import unicodedata
+    every = "".join(map(chr, range(128, sys.maxunicode + 1)))
+    new = [m for m in regex.finditer(r"[\p{L}\p{N}]", every) if unicodedata.category(m[0]) == "Cn"]
+    spans, last = [], None
+    for code in (ord(m[0]) for m in new):
+        if last is not None and code == last + 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+        last = code
+    return re.compile(_WHOLE.pattern + "|[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]") if spans else _WHOLE
+
+
 @functools.cache
 def _byte_names() -> dict[int, str]:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -99,31 +136,39 @@ class WordBpe:
         self.table = WordTable(self._words)
 
     def _piece(self, piece: str) -> list[int]:
-        name = piece if piece.isascii() and piece.isprintable() else "".join(
-            map(_byte_names().__getitem__, piece.encode()))
-        return [t.id for t in self.model.tokenize(name)]
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(_byte_names())
+        return [t.id for t in self.model.tokenize(piece)]
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        if len(self.pieces) > MAX_WORDS // 2:
+    def _words(self, words: list[str]) -> tuple[list[int], list[int]]:
+        if len(self.pieces) > MAX_WORDS:
             self.pieces.clear()
-        out = []
+        flat, size, known = [], [], self.pieces
         for w in words:
-            ids: list[int] = []
-            for p in _PIECES.findall(w):
-                got = self.pieces.get(p)
+            n = len(flat)
+            if w.isalpha():
+                found = (w,)
+            elif w[-1] in ",." and w[:-1].isalpha():  # most of the rest
+                found = (w[:-1], w[-1])
+            else:
+                found = _PIECES.findall(w)
+            for p in found:
+                got = known.get(p)
                 if got is None:
-                    got = self.pieces[p] = self._piece(p)
-                ids += got
-            out.append(ids)
-        return out
+                    got = known[p] = self._piece(p)
+                flat += got
+            size.append(len(flat) - n)
+        return flat, size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         import unicodedata
         words: list[str] = []
         per_text, whole = [], {}
         for i, t in enumerate(texts):
-            if not _WHOLE.search(t):
-                w = (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split()
+            if t.isascii() and not ("<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t):
+                w = t.lower().split()
+            elif not _unsettled().search(t):
+                w = unicodedata.normalize("NFC", t).lower().split()
             else:
                 w = []
                 whole[i] = np.asarray(self.whole.encode(t, add_special_tokens=False).ids, np.int32)
@@ -147,7 +192,7 @@ class PieceBpe:
         self.whole = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.whole.vocab_size()
         self.is_byte = np.array([self.whole.is_byte(i) for i in range(n)])
-        self.table = WordTable(lambda words: self.whole.encode(words, num_threads=1))
+        self.table = WordTable(lambda words: flatten(self.whole.encode(words, num_threads=1)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words: list[str] = []
