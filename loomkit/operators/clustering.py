@@ -65,6 +65,14 @@ def _assign_expr(vec: Column, centers: np.ndarray) -> Column:
     return best
 
 
+def _hash_seeds(df: DataFrame, vec, k: int, seed: int) -> np.ndarray:
+    """``k`` distinct vectors in the order of a seeded hash over all rows (a
+    per-task top-k, then a merge): no prefix of the table."""
+    rows = df.select(vec.alias("x")).where("x is not null").distinct() \
+        .orderBy(F.xxhash64(F.lit(seed), "x"), "x").limit(k).collect()
+    return np.array([r[0] for r in rows], dtype=float)
+
+
 def cluster_minibatch_kmeans(df: DataFrame, array_col: str, k: int = 8, batch_size: int = 1024,
                              max_iter: int = 100, seed: int = 42,
                              checkpoint_every: int = 10) -> tuple[np.ndarray, DataFrame]:
@@ -73,8 +81,7 @@ def cluster_minibatch_kmeans(df: DataFrame, array_col: str, k: int = 8, batch_si
     with rate ``n_batch / n_seen``.  Only the k centres visit the driver."""
     n = df.count()
     frac = min(1.0, batch_size / max(n, 1))
-    init = df.select(array_col).sample(False, min(1.0, 20.0 * k / max(n, 1)), seed).limit(k)
-    centers = np.array([r[0] for r in init.collect()], dtype=float)
+    centers = _hash_seeds(df, F.col(array_col), k, seed)
     if len(centers) < k:
         raise ValueError("fewer rows than clusters")
     seen = np.zeros(k)
@@ -114,8 +121,7 @@ def cluster_gmm(df: DataFrame, array_col: str, k: int = 8, covariance_type: str
         raise ValueError(f"unknown covariance_type {covariance_type!r}")
     x = F.col(array_col).cast("array<double>")
     d = len(df.select(x).first()[0])
-    init = df.select(x.alias("x")).sample(False, 1.0, seed).limit(k).collect()
-    mu = np.array([r[0] for r in init], float)
+    mu = _hash_seeds(df, x, k, seed)
     glob = df.select(array_to_vector(x).alias("v")).agg(
         Summarizer.variance(F.col("v")).alias("var")).first()["var"].toArray()
     var = np.tile(np.maximum(glob, 1e-6), (k, 1))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomkit.functions.exprs import hash_unit, r6
+from loomkit.functions.exprs import hash_unit
 from loomkit.operators.splits import rank_within_groups
 
 
@@ -112,4 +112,4 @@ def shap_sampled(model, explain: DataFrame, background: DataFrame, feature_cols:
     names = F.array(*[F.lit(c) for c in feature_cols])
     per = delta.groupBy("_row", "_j").agg(F.avg("_d").alias("value"))
     return per.select("_row", F.element_at(names, F.col("_j") + 1).alias("feature"),
-                      r6("value").alias("value"))
+                      "value")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from loomkit.functions.exprs import with_scalars
 
-from loomkit.functions.exprs import r6
 
 GROUP_CAP = 200
 
@@ -40,9 +39,9 @@ def by_group(df: DataFrame, y: str, p: str, sensitive: list[str],
     overall = df.agg(_metric_expr(yy, pp, metric).alias("overall"))
     out = with_scalars(groups, overall)
     return out.select(*sensitive, group_label(sensitive).alias("group"),
-                      F.lit(metric).alias("metric"), r6("value").alias("value"),
-                      F.col("support"), r6("overall").alias("overall"),
-                      r6(F.col("value") - F.col("overall")).alias("delta"))
+                      F.lit(metric).alias("metric"), "value",
+                      "support", "overall",
+                      (F.col("value") - F.col("overall")).alias("delta"))
 
 
 def selection_rates(df: DataFrame, y: str, p: str, sensitive: list[str]) -> DataFrame:
@@ -60,14 +59,14 @@ def demographic_parity(df: DataFrame, p: str, sensitive: list[str], y: str | Non
                        ) -> DataFrame:
     """max - min of the selection rate P(pred = 1) over groups."""
     rates = df.groupBy(*sensitive).agg(F.avg((F.col(p) == 1).cast("double")).alias("r"))
-    return rates.agg(r6(F.max("r") - F.min("r")).alias("demographic_parity_difference"))
+    return rates.agg((F.max("r") - F.min("r")).alias("demographic_parity_difference"))
 
 
 def equalized_odds(df: DataFrame, y: str, p: str, sensitive: list[str]) -> DataFrame:
     """max(TPR gap, FPR gap) over groups; emitted under both report names."""
     r = selection_rates(df, y, p, sensitive)
     gap = F.greatest(F.max("tpr") - F.min("tpr"), F.max("fpr") - F.min("fpr"))
-    return r.agg(r6(gap).alias("equalized_odds_difference")).withColumn(
+    return r.agg(gap.alias("equalized_odds_difference")).withColumn(
         "equal_opportunity_difference", F.col("equalized_odds_difference"))
 
 

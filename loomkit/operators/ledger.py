@@ -65,12 +65,14 @@ def list_page(df: DataFrame, order_cols: list[Column], page: int = 1,
               page_size: int = PAGE_DEFAULT) -> DataFrame:
     """Newest-first page plus ``total`` (rows matching before paging).
 
-    ``page_size`` is clamped to [1, 500].  The page is a
+    A ``page_size`` outside [1, 500] or a page below 1 is an error.  The page is a
     ``TakeOrderedAndProject`` (per-partition top-(offset+limit)); the total is
     a separate one-row count joined as a constant.
     """
-    size = max(1, min(int(page_size), PAGE_MAX))
-    offset = max(0, (int(page) - 1) * size)
+    size = int(page_size)
+    if not 1 <= size <= PAGE_MAX or int(page) < 1:
+        raise ValueError(f"page {page} of {page_size} rows: pages start at 1 and hold 1 to {PAGE_MAX} rows")
+    offset = (int(page) - 1) * size
     rows = df.orderBy(*order_cols).offset(offset).limit(size) if offset else \
         df.orderBy(*order_cols).limit(size)
     total = df.agg(F.count(F.lit(1)).alias("total"))
@@ -237,25 +239,34 @@ def rename_cascade(df: DataFrame, col: str, mapping: dict[str, str]) -> DataFram
     return df.withColumn(col, F.coalesce(_lit_map(mapping)[F.col(col)], F.col(col)))
 
 
+# Kind and content type by suffix (the longest that fits wins).
+ARTIFACT_SUFFIXES = {
+    "input_schema.json": ("input_schema", "application/json"),
+    "selected_hyperparams.json": ("selected_hyperparams", "application/json"),
+    ".csv": ("csv", "text/csv"),
+    ".joblib": ("model", "application/octet-stream"),
+    ".json": ("json", "application/json"),
+    ".jsonl": ("logs", "text/plain"),
+    ".log": ("logs", "text/plain"),
+    ".pkl": ("model", "application/octet-stream"),
+    ".png": ("image", "image/png"),
+}
+# Images of a report, by a word in their name, first wins.
+ARTIFACT_IMAGES = ("shap", "bias")
+
+
 def classify_artifact(name: Column) -> tuple[Column, Column]:
-    """(kind, content_type) from a file base name."""
+    """(kind, content_type) from a file base name; a name without a dot in
+    front (``input_schema.json``) must match as a whole."""
     low = F.lower(name)
-    kind = (F.when(low.endswith(".pkl") | low.endswith(".joblib"), "model")
-             .when(low.endswith(".png") & low.contains("shap"), "shap")
-             .when(low.endswith(".png") & low.contains("bias"), "bias")
-             .when(low.endswith(".png"), "image")
-             .when(low == "selected_hyperparams.json", "selected_hyperparams")
-             .when(low == "input_schema.json", "input_schema")
-             .when(low.endswith(".json"), "json")
-             .when(low.endswith(".csv"), "csv")
-             .when(low.endswith(".log") | low.endswith(".jsonl"), "logs")
-             .otherwise("file"))
-    ctype = (F.when(kind == "model", "application/octet-stream")
-              .when(kind.isin("shap", "bias", "image"), "image/png")
-              .when(kind.isin("selected_hyperparams", "input_schema", "json"), "application/json")
-              .when(kind == "csv", "text/csv")
-              .when(kind == "logs", "text/plain"))
-    return kind, ctype
+    kind, content = F.lit("file"), F.lit(None).cast("string")
+    for suffix in sorted(ARTIFACT_SUFFIXES, key=len):
+        k, c = ARTIFACT_SUFFIXES[suffix]
+        fits = low.endswith(suffix) if suffix.startswith(".") else low == suffix
+        kind, content = F.when(fits, k).otherwise(kind), F.when(fits, c).otherwise(content)
+    for word in reversed(ARTIFACT_IMAGES):
+        kind = F.when((content == "image/png") & low.contains(word), word).otherwise(kind)
+    return kind, content
 
 
 def file_inventory(paths: DataFrame, path_col: str = "path") -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomkit.functions.exprs import epoch_seconds, exact_avg, r6
+from loomkit.functions.exprs import epoch_seconds, r6
 from loomkit.operators.splits import rank_within_groups
 
 PREVIEW_CHARS = 8192
@@ -72,13 +72,13 @@ def audit_latency_summary(log: DataFrame, window: str = "1 hour", slide: str | N
     w = F.window("received_at", window, slide) if slide else F.window("received_at", window)
     g = log.groupBy("deployment_id", w.alias("w")).agg(
         F.count(F.lit(1)).alias("n"),
-        exact_avg("latency_ms", 10).alias("avg_latency"),
+        F.avg("latency_ms").alias("avg_latency"),
         F.percentile_approx("latency_ms", 0.5, accuracy).alias("p50_latency"),
         F.percentile_approx("latency_ms", 0.95, accuracy).alias("p95_latency"),
         F.avg((F.col("status_code") >= 500).cast("double")).alias("error_share"))
     return g.select("deployment_id", F.col("w.start").alias("window_start"),
-                    F.col("w.end").alias("window_end"), "n", r6("avg_latency", 4).alias("avg_latency"),
-                    "p50_latency", "p95_latency", r6("error_share").alias("error_share"))
+                    F.col("w.end").alias("window_end"), "n", "avg_latency",
+                    "p50_latency", "p95_latency", "error_share")
 
 
 def quota_fixed_window(requests: DataFrame, identity: str, ts: str, order_cols: list[str],
@@ -109,26 +109,28 @@ def queue_overflow(log: DataFrame, key: str, ts: str, order_cols: list[str], win
                     F.greatest(F.col("n") - F.lit(cap), F.lit(0)).alias("dropped"))
 
 
-LOG_JSON_SCHEMA = "ts string, level string, message string, msg string"
+LOG_JSON_SCHEMA = "ts string, level string, message string, msg string, _bad string"
 
 
 def log_parse(lines: DataFrame, text: str = "value") -> DataFrame:
     """JSON line -> ts, level (lower-cased, default info), message (``message``
-    or ``msg`` or the raw line); other text -> level by ERROR / WARN keyword;
-    blank lines skipped.  A missing ``ts`` stays NULL."""
+    or ``msg`` or the raw line, the first that is not empty); other text, broken
+    JSON included -> level by ERROR / WARN keyword; blank lines skipped.  A
+    missing ``ts`` stays NULL."""
     raw = F.trim(F.col(text))
     is_json = raw.startswith("{")
-    parsed = F.from_json(F.when(is_json, raw), LOG_JSON_SCHEMA)
+    parsed = F.from_json(F.when(is_json, raw), LOG_JSON_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
+    said = lambda f: F.nullif(parsed[f], F.lit(""))
     up = F.upper(raw)
     kw = F.when(up.contains("ERROR"), "error").when(up.contains("WARN"), "warn").otherwise("info")
-    ok_json = is_json & parsed.isNotNull()
+    ok_json = is_json & parsed.isNotNull() & parsed["_bad"].isNull()
     others = [c for c in lines.columns if c != text]
     return lines.where(raw != "").select(
         *others,
         F.when(ok_json, parsed["ts"]).alias("ts"),
-        F.when(ok_json, F.lower(F.coalesce(parsed["level"], F.lit("info")))).otherwise(kw)
+        F.when(ok_json, F.lower(F.coalesce(said("level"), F.lit("info")))).otherwise(kw)
         .alias("level"),
-        F.when(ok_json, F.coalesce(parsed["message"], parsed["msg"], raw)).otherwise(raw)
+        F.when(ok_json, F.coalesce(said("message"), said("msg"), raw)).otherwise(raw)
         .alias("message"))
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from loomkit.functions.exprs import with_scalars
 
-from loomkit.functions.exprs import exact_avg, r6
 from loomkit.functions.prefix import prefix_sums
 
 LOG_LOSS_EPS = 2.220446049250313e-16  # fixed value: float64 machine epsilon
@@ -33,7 +32,7 @@ def _c(c) -> Column:
 # ---------------------------------------------------------------- classification
 
 def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
-    return df.agg(r6(F.avg((_c(label) == _c(pred)).cast("int"))).alias("accuracy"))
+    return df.agg(F.avg((_c(label) == _c(pred)).cast("int")).alias("accuracy"))
 
 
 def _class_counts(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -61,15 +60,15 @@ def f1_per_class(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 def f1_macro(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Unweighted mean F1 over labels in truth or prediction; 0/0 -> 0."""
-    return f1_per_class(df, label, pred).agg(r6(F.avg("f1")).alias("f1_macro"))
+    return f1_per_class(df, label, pred).agg(F.avg("f1").alias("f1_macro"))
 
 
 def _auc_from_counts(counts: DataFrame, group_cols: list[str]) -> DataFrame:
     """``counts``: (group..., score, pos, neg) with one row per distinct score."""
     pre = prefix_sums(counts, "score", ["neg"], prefix="below_", group_cols=group_cols)
     return (pre.groupBy(*group_cols)
-               .agg((F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") * 0.5))
-                     / (F.sum("pos") * F.sum("neg"))).alias("auc")))
+               .agg((F.sum(F.col("pos").cast("double") * (F.col("below_neg").cast("double") + F.col("neg") * 0.5))
+                     / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc")))
 
 
 def auroc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
@@ -77,7 +76,7 @@ def auroc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     pos = (_c(label) == F.lit(positive)).cast("long")
     counts = df.groupBy(_c(score).cast("double").alias("score")).agg(
         F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
-    return _auc_from_counts(counts, []).select(r6("auc").alias("auroc"))
+    return _auc_from_counts(counts, []).select(F.col("auc").alias("auroc"))
 
 
 def auroc_ovr(df_long: DataFrame, label: str, cls: str, score: str) -> DataFrame:
@@ -86,29 +85,29 @@ def auroc_ovr(df_long: DataFrame, label: str, cls: str, score: str) -> DataFrame
     counts = df_long.groupBy(_c(cls).alias("cls"), _c(score).cast("double").alias("score")) \
                     .agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
     per = _auc_from_counts(counts, ["cls"])
-    return per.agg(r6(F.avg("auc")).alias("auroc_ovr"))
+    return per.agg(F.avg("auc").alias("auroc_ovr"))
 
 
 def log_loss(df: DataFrame, prob_true: str, eps: float = LOG_LOSS_EPS) -> DataFrame:
     """Mean negative log of the probability given to the true class, clipped."""
     p = F.greatest(F.least(_c(prob_true), F.lit(1.0 - eps)), F.lit(eps))
-    return df.agg(r6(F.avg(-F.log(p))).alias("log_loss"))
+    return df.agg(F.avg(-F.log(p)).alias("log_loss"))
 
 
 # ---------------------------------------------------------------- regression
 
 def regression(df: DataFrame, label: str, pred: str, prefix: str = "") -> DataFrame:
-    """mae, rmse, r2 in one pass (exact decimal sums for mae / mse)."""
+    """mae, rmse, r2 in one pass over doubles."""
     err = _c(label).cast("double") - _c(pred).cast("double")
     y = _c(label).cast("double")
-    agg = df.agg(exact_avg(F.abs(err), 10).alias("mae"),
-                 exact_avg(err * err, 10).alias("mse"),
+    agg = df.agg(F.avg(F.abs(err)).alias("mae"),
+                 F.avg(err * err).alias("mse"),
                  F.sum(err * err).alias("sse"),
                  F.var_pop(y).alias("vy"), F.count(y).alias("n"))
     r2 = F.when(F.col("vy") == 0, F.lit(None).cast("double")).otherwise(
         1 - F.col("sse") / (F.col("vy") * F.col("n")))
-    return agg.select(r6("mae").alias(f"{prefix}mae"), r6(F.sqrt("mse")).alias(f"{prefix}rmse"),
-                      r6(r2).alias(f"{prefix}r2"))
+    return agg.select(F.col("mae").alias(f"{prefix}mae"), F.sqrt("mse").alias(f"{prefix}rmse"),
+                      r2.alias(f"{prefix}r2"))
 
 
 def forecast(df: DataFrame, series_cols: list[str], actual: str, pred: str) -> DataFrame:
@@ -117,14 +116,14 @@ def forecast(df: DataFrame, series_cols: list[str], actual: str, pred: str) -> D
     den = (F.abs(a) + F.abs(f)) / 2.0
     den = F.when(den == 0, F.lit(1e-12)).otherwise(den)
     return df.groupBy(*series_cols).agg(
-        r6(exact_avg(F.abs(a - f), 10), 4).alias("mae"),
-        r6(F.sqrt(exact_avg((a - f) * (a - f), 10)), 4).alias("rmse"),
-        r6(100.0 * F.avg(F.abs(a - f) / den), 6).alias("smape"))
+        F.avg(F.abs(a - f)).alias("mae"),
+        F.sqrt(F.avg((a - f) * (a - f))).alias("rmse"),
+        (100.0 * F.avg(F.abs(a - f) / den)).alias("smape"))
 
 
 def ratings(df: DataFrame, label: str, pred: str) -> DataFrame:
     err = _c(label).cast("double") - _c(pred).cast("double")
-    return df.agg(r6(F.sqrt(F.avg(err * err))).alias("rmse"), r6(F.avg(F.abs(err))).alias("mae"))
+    return df.agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"))
 
 
 def ranking_at_k(recs: DataFrame, relevant: DataFrame, user: str, item: str, rank: str,
@@ -144,9 +143,9 @@ def ranking_at_k(recs: DataFrame, relevant: DataFrame, user: str, item: str, ran
                        lambda acc, i: acc + 1.0 / F.log2(i.cast("double") + 2.0))
     per = per.withColumn("idcg", idcg)
     return per.agg(
-        r6(F.avg(F.col("hits") / F.lit(float(k)))).alias("precision_at_k"),
-        r6(F.avg(F.col("hits") / F.col("n_rel"))).alias("recall_at_k"),
-        r6(F.avg(F.col("dcg") / F.col("idcg"))).alias("ndcg_at_k"),
+        F.avg(F.col("hits") / F.lit(float(k))).alias("precision_at_k"),
+        F.avg(F.col("hits") / F.col("n_rel")).alias("recall_at_k"),
+        F.avg(F.col("dcg") / F.col("idcg")).alias("ndcg_at_k"),
         F.count(F.lit(1)).alias("n_users"))
 
 
@@ -181,7 +180,7 @@ def calinski_harabasz(df: DataFrame, id_col: str, vec: str, cluster: str) -> Dat
     counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("k"))
     out = with_scalars(parts, counts)
     ch = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
-    return out.select(r6(ch, 4).alias("calinski_harabasz"))
+    return out.select(ch.alias("calinski_harabasz"))
 
 
 def centroids(df: DataFrame, id_col: str, vec: str, cluster: str) -> DataFrame:
@@ -208,7 +207,7 @@ def davies_bouldin(df: DataFrame, id_col: str, vec: str, cluster: str) -> DataFr
           .join(sj, F.col("cj") == F.col(f"sj.{cluster}")) \
           .select("ci", ((F.col("si.s") + F.col("sj.s")) / F.col("dc")).alias("r"))
     worst = r.groupBy("ci").agg(F.max("r").alias("r"))
-    return worst.agg(r6(F.avg("r")).alias("davies_bouldin"))
+    return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 
 def silhouette_squared(df: DataFrame, vec: str, cluster: str) -> DataFrame:
@@ -226,4 +225,4 @@ def silhouette_squared(df: DataFrame, vec: str, cluster: str) -> DataFrame:
                              metricName="silhouette", distanceMeasure="squaredEuclidean")
     value = ev.evaluate(vdf)
     spark = df.sparkSession
-    return spark.range(1).select(r6(F.lit(value)).alias("silhouette_sq"))
+    return spark.range(1).select(F.lit(value).alias("silhouette_sq"))

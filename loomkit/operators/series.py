@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.functions.exprs import epoch_seconds, exact_avg
+from loomkit.functions.exprs import epoch_seconds
 
 # Text timestamp formats tried in order.
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy")
@@ -41,7 +41,7 @@ def series_prepare(df: DataFrame, series_cols: list[str], time_col: str,
     """``(series..., ts, value)``: parsed time, NULLs dropped, duplicates summed."""
     for c in (time_col, value_col, *series_cols):
         if c not in df.columns:
-            raise ValueError(f"column {c!r} not in dataset")
+            raise ValueError(f"the series table lacks {c!r}")
     ts = parse_time(F.col(time_col), df.schema[time_col].dataType)
     v = F.col(value_col).cast("double")
     clean = df.select(*series_cols, ts.alias("ts"), F.nanvl(v, F.lit(None)).alias("value")) \
@@ -165,7 +165,7 @@ def forecast_naive(train: DataFrame, series_cols: list[str], horizon: int,
         per = p.where(F.col("pos") >= F.col("n") - sp).groupBy(*series_cols, "slot") \
                .agg(F.max_by("value", "pos").alias("value"))
     else:
-        per = p.groupBy(*series_cols, "slot").agg(exact_avg("value", 10).alias("value"))
+        per = p.groupBy(*series_cols, "slot").agg(F.avg("value").alias("value"))
     steps = steps.withColumn("slot", F.pmod(F.col("step") - 1, F.lit(sp)))
     return steps.join(per, [*series_cols, "slot"], "left").select(
         *series_cols, "step", "ts", "value")

@@ -28,12 +28,17 @@ def _fractions(train: float, val: float, test: float) -> list[float]:
     return [train / total, val / total, test / total]
 
 
+def _row_unit(df: DataFrame, seed: int) -> Column:
+    """Uniform number from a whole row, for rows whose key is NULL."""
+    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), F.lit(2**32)) / F.lit(2.0**32)
+
+
 def split_three_way(df: DataFrame, key_cols: list[str], train: float = 0.7,
                     val: float = 0.15, test: float = 0.15, seed: int = 42,
                     out: str = "split") -> DataFrame:
     """Tag every row ``train`` / ``val`` / ``test`` by cumulative fractions of ``u``."""
     fr = _fractions(train, val, test)
-    u = hash_unit(seed, *key_cols)
+    u = F.coalesce(hash_unit(seed, *key_cols), _row_unit(df, seed))
     return df.withColumn(out, split_bucket(u, fr, list(SPLIT_NAMES)))
 
 

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import math
 import time
+import warnings
 
+import numpy as np
 from pyspark.ml import Model, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
@@ -21,6 +23,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +119,98 @@ def fit_samme(train: DataFrame, rounds: int = 50, learning_rate: float = 1.0, se
     return SammeModel(stumps, alphas, classes)
 
 
+class WeightedMedianOfTrees(Model):
+    """AdaBoost.R2 prediction: the median of the trees' values, each with the
+    weight ``log(1 / beta)``."""
+
+    def __init__(self, trees: list, weights: list[float]):
+        super().__init__()
+        self.trees, self.weights = trees, weights
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for t, m in enumerate(self.trees):
+            out = m.setPredictionCol(f"_h{t}").transform(out)
+        votes = F.array_sort(F.array(*[F.struct(F.col(f"_h{t}").alias("p"), F.lit(w).alias("w"))
+                                       for t, w in enumerate(self.weights)]))
+        half = sum(self.weights) / 2.0
+        reach = F.aggregate(votes, F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("p")),
+                            lambda a, v: F.struct((a["w"] + v["w"]).alias("w"), F.coalesce(
+                                a["p"], F.when(a["w"] + v["w"] >= half - 1e-12, v["p"])).alias("p")))
+        return out.withColumn("prediction", reach["p"]).drop(*[f"_h{t}" for t in range(len(self.trees))])
+
+
+def fit_ada_r2(train: DataFrame, rounds: int = 50, learning_rate: float = 1.0, depth: int = 3,
+               seed: int = 42, checkpoint_every: int = 5) -> WeightedMedianOfTrees:
+    """AdaBoost.R2 with linear loss: trees of ``depth`` on ``weightCol``; the
+    next weight is ``w * beta ** (learning_rate * (1 - error / largest error))``."""
+    from loomkit.session import cut_lineage
+
+    cur = cut_lineage(train.select("features", "label").withColumn("w", F.lit(1.0)))
+    trees, weights = [], []
+    for t in range(rounds):
+        tree = DecisionTreeRegressor(maxDepth=depth, weightCol="w", seed=seed + t).fit(cur)
+        pred = tree.setPredictionCol("_h").transform(cur).withColumn("_e", F.abs(F.col("_h") - F.col("label")))
+        top = pred.agg(F.max("_e")).first()[0] or 0.0
+        if top == 0.0:
+            trees, weights = [*trees, tree], [*weights, 1.0 + 2.0 * sum(weights)]  # a perfect tree decides
+            break
+        loss = F.col("_e") / F.lit(top)
+        mean = pred.agg(F.sum(F.col("w") * loss) / F.sum("w")).first()[0]
+        if mean >= 0.5 and trees:
+            break
+        beta = max(mean, 1e-12) / max(1.0 - mean, 1e-12)
+        trees.append(tree)
+        weights.append(learning_rate * math.log(1.0 / beta) if mean < 0.5 else 1.0)
+        if mean >= 0.5:
+            break
+        nxt = pred.withColumn("w", F.col("w") * F.pow(F.lit(beta), F.lit(learning_rate) * (1 - loss))).drop("_h", "_e")
+        cur = cut_lineage(nxt) if (t + 1) % checkpoint_every == 0 else nxt
+    return WeightedMedianOfTrees(trees, weights)
+
+
+# ---------------------------------------------------------------- kernels
+
+class RandomFourier(Transformer):
+    """``sqrt(2 / n) cos(W x + b)``: a linear model over these columns is one
+    with the kernel ``exp(-gamma |x - y|^2)``, up to sampling error."""
+
+    def __init__(self, dim: int, gamma: float, n: int = 256, seed: int = 42):
+        super().__init__()
+        r = np.random.default_rng(seed)
+        self.w = r.normal(0.0, math.sqrt(2.0 * gamma), (dim, n))
+        self.b = r.uniform(0.0, 2.0 * math.pi, n)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        import pandas as pd
+        w, b = self.w, self.b
+
+        @F.pandas_udf("array<double>")
+        def waves(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            z = math.sqrt(2.0 / w.shape[1]) * np.cos(np.vstack(x.to_numpy()) @ w + b)
+            return pd.Series(list(z))
+
+        return df.withColumn("_rff", array_to_vector(waves(vector_to_array("features"))))
+
+
+def kernel_gamma(train: DataFrame, gamma) -> tuple[int, float]:
+    """Dimension and kernel width: ``scale`` is 1 / (d * variance of all
+    entries), ``auto`` 1 / d, a number itself."""
+    row = train.select(vector_to_array("features").alias("x")).select(
+        F.size("x").alias("d"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("s"),
+        F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("q")) \
+        .agg(F.max("d").alias("d"), F.sum("d").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
+    d = int(row["d"])
+    if gamma == "auto":
+        return d, 1.0 / d
+    if gamma != "scale":
+        return d, float(gamma)
+    var = row["q"] / row["n"] - (row["s"] / row["n"]) ** 2
+    return d, 1.0 / (d * var) if var > 0 else 1.0
+
+
 # ---------------------------------------------------------------- naive Bayes
 
 def fit_gaussian_nb(train: DataFrame, feature_cols: list[str], label: str,
@@ -158,14 +253,66 @@ def predict_gaussian_nb(df: DataFrame, params: DataFrame, feature_cols: list[str
     return df.select(*key_cols, best.alias("prediction"))
 
 
+class GaussianNbModel(Model):
+    """Gaussian naive Bayes over the ``features`` vector."""
+
+    def __init__(self, params: DataFrame, columns: list[str]):
+        super().__init__()
+        self.params, self.columns = params, columns
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        wide = spread_features(df, self.columns)
+        return predict_gaussian_nb(wide, self.params, self.columns, "label", [*df.columns])
+
+
+def spread_features(df: DataFrame, columns: list[str]) -> DataFrame:
+    x = vector_to_array("features")
+    return df.withColumns({c: x[i] for i, c in enumerate(columns)})
+
+
 # ---------------------------------------------------------------- catalog
 
 def _tree_params(hp: dict) -> dict:
     depth = hp.get("max_depth")
+    if depth in (None, "None") or int(depth) > MAX_TREE_DEPTH:
+        warnings.warn(f"max_depth={depth}: Spark's trees end at {MAX_TREE_DEPTH} levels", stacklevel=3)
     depth = MAX_TREE_DEPTH if depth in (None, "None") else min(int(depth), MAX_TREE_DEPTH)
     return {"maxDepth": depth, "minInstancesPerNode": int(hp.get("min_samples_leaf", 1))}
 
 
+# What each boosting entry of the catalog starts from.
+BOOSTING = {
+    "gradient_boosting": {"n_estimators": 100, "max_depth": 3},
+    "hist_gbm": {"n_estimators": 100, "max_depth": 3},
+    "lightgbm": {"n_estimators": 200, "num_leaves": 31, "max_depth": -1, "min_child_samples": 20},
+    "xgboost": {"n_estimators": 200, "max_depth": 6},
+}
+
+
+def _boosting(name: str, cls: bool, hp: dict, n_classes: int):
+    """Spark's gradient-boosted trees under a catalog entry's parameters.
+
+    ``num_leaves`` bounds the depth where ``max_depth`` does not (trees grow by
+    level here); penalties and column sampling have no counterpart and warn.
+    """
+    p = {**BOOSTING[name], **hp}
+    for key, neutral in (("reg_alpha", 0.0), ("reg_lambda", 1.0), ("colsample_bytree", 1.0)):
+        if float(p.get(key, neutral)) != neutral:
+            warnings.warn(f"{key}={p[key]} has no effect on Spark's boosted trees", stacklevel=4)
+    depth = int(p.get("max_depth") or 3)
+    if depth < 1:
+        depth = math.ceil(math.log2(max(2, int(p["num_leaves"])))) if "num_leaves" in p else MAX_TREE_DEPTH
+    made = {"maxIter": int(hp.get("max_iter", p["n_estimators"])), "stepSize": float(p.get("learning_rate", 0.1)),
+            "maxDepth": min(depth, MAX_TREE_DEPTH), "subsamplingRate": float(p.get("subsample", 1.0)),
+            "minInstancesPerNode": int(p.get("min_child_samples", p.get("min_samples_leaf", 1)))}
+    if name != "gradient_boosting":  # the histogram learners bin finely
+        made["maxBins"] = 255
+    if not cls:
+        return GBTRegressor(**made)
+    gbt = GBTClassifier(**made)
+    return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
+
+
 def build_estimator(name: str, task: str, hp: dict, n: int, std_pop: float, std_samp: float,
                     n_classes: int):
     """Map a catalog name + reference-style hyperparameters to a Spark estimator."""
@@ -190,10 +337,10 @@ def build_estimator(name: str, task: str, hp: dict, n: int, std_pop: float, std_
         c = float(hp.get("C", 1.0))
         reg = 0.0 if hp.get("penalty") == "none" else 1.0 / (c * n)
         return LogisticRegression(regParam=reg, standardization=False,
-                                  maxIter=int(hp.get("max_iter", 100)))
+                                  maxIter=int(hp.get("max_iter", 1000)))
     if name == "svm":
-        if hp.get("kernel", "linear") in ("sigmoid", "rbf"):
-            raise ValueError(f"the {hp.get('kernel')} kernel is not offered (linear, poly)")
+        if hp.get("kernel", "rbf") not in ("linear", "poly", "rbf"):
+            raise ValueError(f"parameter kernel={hp['kernel']!r} is not offered (linear, poly, rbf)")
         if not cls:
             return LinearRegression(loss="huber", regParam=1.0 / (float(hp.get("C", 1.0)) * n))
         svc = LinearSVC(regParam=1.0 / (float(hp.get("C", 1.0)) * n))
@@ -206,33 +353,26 @@ def build_estimator(name: str, task: str, hp: dict, n: int, std_pop: float, std_
         p["numTrees"] = int(hp.get("n_estimators", 100))
         fs = hp.get("max_features", "sqrt" if cls else "all")
         p["featureSubsetStrategy"] = {"sqrt": "sqrt", "log2": "log2"}.get(str(fs), "all")
-        if name == "extra_trees":  # approximation: no bootstrap, coarse random thresholds
+        if name == "extra_trees":  # approximation: no bootstrap, coarse bins (thresholds are not random)
             p.update(bootstrap=False, maxBins=8)
         return RandomForestClassifier(**p) if cls else RandomForestRegressor(**p)
-    if name in ("gradient_boosting", "hist_gbm", "xgboost", "lightgbm"):
-        p = {"maxIter": int(hp.get("n_estimators", hp.get("max_iter", 100))),
-             "stepSize": float(hp.get("learning_rate", 0.1)),
-             "maxDepth": min(int(hp.get("max_depth", 3) or 3), MAX_TREE_DEPTH),
-             "subsamplingRate": float(hp.get("subsample", 1.0))}
-        if name == "hist_gbm":
-            p["maxBins"] = 255
-        if not cls:
-            return GBTRegressor(**p)
-        gbt = GBTClassifier(**p)
-        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
+    if name in BOOSTING:
+        return _boosting(name, cls, hp, n_classes)
     if name == "mlp":
         if not cls:
-            raise ValueError("MLP regression has no Spark counterpart")
+            raise ValueError("parameter task='regression': Spark has no MLP regressor")
         if hp.get("activation", "relu") != "logistic":
-            raise ValueError("only the logistic (sigmoid) activation exists in Spark")
-        return ("mlp", [int(h) for h in hp.get("hidden_layer_sizes", [100])],
-                int(hp.get("max_iter", 200)))
+            warnings.warn(f"activation={hp.get('activation', 'relu')}: Spark's MLP has sigmoid layers only", stacklevel=3)
+        sizes = hp.get("hidden_layer_sizes", "(100,)")
+        if isinstance(sizes, str):  # the catalog writes "(64,32)"
+            sizes = [x for x in sizes.strip("()[] ").split(",") if x.strip()]
+        return ("mlp", [int(h) for h in sizes], int(hp.get("max_iter", 200)))
     raise ValueError(f"unknown model: {name!r}")
 
 
 CATALOG = ("linear", "ridge", "lasso", "elasticnet", "logistic", "svm", "decision_tree",
            "random_forest", "extra_trees", "gradient_boosting", "hist_gbm", "ada_boost", "mlp",
-           "xgboost", "lightgbm")
+           "naive_bayes", "xgboost", "lightgbm")
 
 
 def fit_model(name: str, task: str, train: DataFrame, val: DataFrame, hp: dict | None = None):
@@ -249,6 +389,14 @@ def fit_model(name: str, task: str, train: DataFrame, val: DataFrame, hp: dict |
             est = build_estimator("ridge", "regression", hp, n, 1.0, 1.0, 2)
             models.append(est.fit(t))
         model = ArgmaxOfRegressions(models, classes)
+    elif name == "naive_bayes":
+        if not cls:
+            raise ValueError("parameter task='regression': naive Bayes classifies")
+        columns = [f"_f{i}" for i in range(len(train.select("features").first()[0]))]
+        model = GaussianNbModel(fit_gaussian_nb(spread_features(train, columns), columns, "label",
+                                                float(hp.get("var_smoothing", 1e-9))), columns)
+    elif name == "ada_boost" and not cls:
+        model = fit_ada_r2(train, int(hp.get("n_estimators", 50)), float(hp.get("learning_rate", 1.0)))
     elif name == "ada_boost":
         model = fit_samme(train, int(hp.get("n_estimators", 50)),
                           float(hp.get("learning_rate", 1.0)))
@@ -257,8 +405,11 @@ def fit_model(name: str, task: str, train: DataFrame, val: DataFrame, hp: dict |
         if isinstance(est, tuple):
             d = len(train.select("features").first()[0])
             est = MultilayerPerceptronClassifier(layers=[d, *est[1], k], maxIter=est[2], seed=42)
-        if name == "svm" and hp.get("kernel") == "poly":
-            from pyspark.ml import Pipeline
+        from pyspark.ml import Pipeline, PipelineModel
+        if name == "svm" and hp.get("kernel", "rbf") == "rbf":
+            waves = RandomFourier(*kernel_gamma(train, hp.get("gamma", "scale")))
+            model = PipelineModel([waves, est.setFeaturesCol("_rff").fit(waves.transform(train))])
+        elif name == "svm" and hp.get("kernel") == "poly":
             from pyspark.ml.feature import PolynomialExpansion
             est.setFeaturesCol("_poly")
             poly = PolynomialExpansion(degree=int(hp.get("degree", 3)), inputCol="features",
@@ -270,11 +421,17 @@ def fit_model(name: str, task: str, train: DataFrame, val: DataFrame, hp: dict |
     if cls:
         mets = with_scalars(M.accuracy(scored, "label", "prediction"),
                             M.f1_macro(scored, "label", "prediction"))
-        if k == 2 and "probability" in scored.columns:
-            from pyspark.ml.functions import vector_to_array
-            p1 = vector_to_array("probability")[1]
-            mets = with_scalars(mets, M.auroc(scored.withColumn("_p1", p1), "label", "_p1",
-                                          positive=1.0))
+        if "probability" in scored.columns:
+            p = vector_to_array("probability")
+            told = scored.select("label", p.alias("_p")).withColumn("_true", F.try_element_at("_p", F.col("label").cast("int") + 1))
+            mets = with_scalars(mets, M.log_loss(told.where("_true is not null"), "_true"))
+            if k == 2:
+                mets = with_scalars(mets, M.auroc(told.withColumn("_p1", F.col("_p")[1]), "label", "_p1", positive=1.0))
+            else:
+                each = told.select("label", F.posexplode("_p").alias("_cls", "_score")) \
+                    .withColumn("_cls", F.col("_cls").cast("double"))
+                mets = with_scalars(mets, M.auroc_ovr(each, "label", "_cls", "_score")
+                                    .withColumnRenamed("auroc_ovr", "auroc"))
     else:
         mets = M.regression(scored, "label", "prediction")
     return model, mets, hp

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.functions.exprs import exact_avg
 
 MAX_CATEGORIES = 10_000
 INFREQUENT = "infrequent_sklearn"  # fixed value: name of the pooled rare bucket
@@ -53,11 +52,11 @@ class ColumnOp:
         c, k = self.column, self.key
         x = _clean_num(c)
         if self.op == "standard_scale":
-            return [exact_avg(x, 10).alias(f"{k}__mean"), F.stddev_pop(x).alias(f"{k}__std")]
+            return [F.avg(x).alias(f"{k}__mean"), F.stddev_pop(x).alias(f"{k}__std")]
         if self.op == "min_max":
             return [F.min(x).alias(f"{k}__min"), F.max(x).alias(f"{k}__max")]
         if self.op == "impute_mean":
-            return [exact_avg(x, 10).alias(f"{k}__fill")]
+            return [F.avg(x).alias(f"{k}__fill")]
         if self.op == "impute_median":
             return []  # exact distributed median in fit_ops (values never gathered)
         if self.op == "impute_mode":
@@ -83,7 +82,7 @@ class ColumnOp:
         out = []
         for name, e in date_parts(F.col(f"`{c}`")).items():
             v = F.coalesce(e.cast("double"), F.lit(self.stats.get(f"{k}__{name}_med")))
-            out += [exact_avg(v, 10).alias(f"{k}__{name}_mean"),
+            out += [F.avg(v).alias(f"{k}__{name}_mean"),
                     F.stddev_pop(v).alias(f"{k}__{name}_std")]
         return out
 
@@ -147,7 +146,7 @@ class ColumnOp:
 
 def date_parts(ts: Column) -> dict[str, Column]:
     """year, month, day, dow (Mon=0), quarter, hour; NULL if unparseable."""
-    t = ts
+    t = ts.try_cast("timestamp_ntz")
     return {
         "year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t),
         "dow": F.weekday(t), "quarter": F.quarter(t), "hour": F.hour(t),
@@ -216,7 +215,8 @@ def _fit_categories(train: DataFrame, enc: list[ColumnOp]) -> None:
     for r in rows:
         by_col.setdefault(r["col"], []).append((r["val"], r["n"]))
     for op in enc:
-        items = sorted(by_col.get(op.column, []))
+        native = _isnum(train, op.column)  # numbers in numeric order, not as text
+        items = sorted(by_col.get(op.column, []), key=lambda x: (float(x[0]) if native else 0.0, x[0]))
         mf = op.params.get("min_frequency") if op.op == "one_hot" else None
         if mf:
             total = sum(n for _, n in items)

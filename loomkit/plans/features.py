@@ -53,7 +53,7 @@ def plan_ops(transforms: list[dict], schema: dict[str, str]) -> tuple[list[Colum
     ops += [ColumnOp(c, "one_hot", {}, key="auto_onehot") for c in cat]
     ops += [ColumnOp(c, "date_features", {}, key=f"auto_datefeat_{c}") for c in dt]
     if not ops:
-        raise ValueError("transform config produced no active columns")
+        raise ValueError("the feature plan keeps no column")
     kept = [o.column for o in ops]
     return ops, kept
 

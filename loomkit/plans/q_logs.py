@@ -84,7 +84,7 @@ SELECT deployment_id, window_start, window_start + INTERVAL 1 HOUR AS window_end
   min(latency_ms) FILTER (WHERE rn >= ceil(0.5 * cnt)) AS p50_latency,
   min(latency_ms) FILTER (WHERE rn >= ceil(0.95 * cnt)) AS p95_latency,
   round(avg(CASE WHEN status_code >= 500 THEN 1.0 ELSE 0.0 END), 6) AS error_share
-FROM r GROUP BY deployment_id, window_start""")
+FROM r GROUP BY deployment_id, window_start""", digits={"avg_latency": 4})
 def q_audit_latency_summary(spark, sf):
     return LG.audit_latency_summary(audit_log(spark, sf), "1 hour")
 
@@ -227,7 +227,7 @@ def _latency_sql() -> str:
     return ORACLES["audit_latency_summary"]
 
 
-@register("audit_latency_summary_stream", _latency_sql())
+@register("audit_latency_summary_stream", _latency_sql(), digits={"avg_latency": 4})
 def q_audit_latency_summary_stream(spark, sf):
     from loomkit.streaming.audit import latency_summary_stream, run_available
     out = run_available(latency_summary_stream(_stream_log(spark, sf), "1 hour", "2 hours"),

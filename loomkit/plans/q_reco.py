@@ -93,7 +93,7 @@ p AS (SELECT te.rating, least(greatest(mu + coalesce(b_user, 0) + coalesce(b_ite
 
 @register("metric_ratings", _BASELINE_SQL + """
 SELECT round(sqrt(avg((rating - pred) * (rating - pred))), 6) AS rmse,
-  round(avg(abs(rating - pred)), 6) AS mae FROM p""")
+  round(avg(abs(rating - pred)), 6) AS mae FROM p""", digits=6)
 def q_metric_ratings(spark, sf):
     train, test = ratings_split(spark, sf)
     mu, bi, bu = RC.baseline_biases(train)
@@ -152,7 +152,7 @@ per AS (SELECT nrel.user_id, n_rel, coalesce(hits, 0) AS hits, coalesce(dcg, 0.0
           (SELECT sum(1.0 / log2(i + 2.0)) FROM range(0, least(10, n_rel)) t(i)) AS idcg
         FROM nrel LEFT JOIN hits USING (user_id))
 SELECT round(avg(hits / 10.0), 6) AS precision_at_k, round(avg(hits / n_rel), 6) AS recall_at_k,
-  round(avg(dcg / idcg), 6) AS ndcg_at_k, count(*) AS n_users FROM per""")
+  round(avg(dcg / idcg), 6) AS ndcg_at_k, count(*) AS n_users FROM per""", digits=6)
 def q_metric_ranking_at_k(spark, sf):
     recs, test = _top_k(spark, sf, 10)
     return M.ranking_at_k(recs, test, "user_id", "item_id", "rank", 10)

@@ -116,7 +116,7 @@ SELECT o_orderpriority,
   round(sqrt(CAST(sum(CAST((a - f) * (a - f) AS DECIMAL(38,10))) AS DOUBLE) / count(*)), 4) AS rmse,
   round(100.0 * avg(abs(a - f) / CASE WHEN (abs(a) + abs(f)) / 2.0 = 0 THEN 1e-12
         ELSE (abs(a) + abs(f)) / 2.0 END), 6) AS smape
-FROM j GROUP BY o_orderpriority""")
+FROM j GROUP BY o_orderpriority""", digits={"mae": 4, "rmse": 4})
 def q_metric_forecast(spark, sf):
     r = split_temporal(resampled(spark, sf), SER, ["ts"], H)
     train = r.where(F.col("split") == "train").drop("split")

@@ -10,14 +10,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomkit.functions.exprs import r6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
+def rounded(df: DataFrame, digits: int | dict[str, int]) -> DataFrame:
+    """Double columns rounded for comparison with the oracle; operators never
+    round.  ``digits`` holds for all of them, or per column (6 elsewhere)."""
+    per = digits if isinstance(digits, dict) else {}
+    least = 6 if per else digits
+    return df.select(*[r6(c, per.get(c, least)).alias(c) if t == "double" else F.col(c)
+                       for c, t in df.dtypes])
+
+
+def register(name: str, sql: str | None = None, digits: int | dict[str, int] | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = fn if digits is None else (
+            lambda spark, sf: rounded(fn(spark, sf), digits))
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from loomkit.operators.metrics import HIGHER_IS_BETTER
 
 MAX_TRIALS = 500
-MAX_REPORTED = 200
 
 
 def validate_space(space: dict, fixed: dict | None = None) -> None:
@@ -32,7 +31,9 @@ def sample_params(space: dict, n_trials: int = 30, seed: int = 42) -> list[dict]
     """Seeded samples: int (step, log), float (log), categorical choices."""
     rng = random.Random(seed)
     out = []
-    for _ in range(min(n_trials, MAX_TRIALS)):
+    if not 1 <= n_trials <= MAX_TRIALS:
+        raise ValueError(f"a search has 1 to {MAX_TRIALS} trials, not {n_trials}")
+    for _ in range(n_trials):
         p = {}
         for name, spec in space.items():
             t = spec["type"]
@@ -91,9 +92,9 @@ def hpo_search(model: str, task: str, train: DataFrame, val: DataFrame, space: d
     done = [r for r in rows if r[2] is not None]
     if not done:
         raise RuntimeError("no trial completed")
-    best = (max if up else min)(done, key=lambda r: (r[2], -r[0]))
+    best = min(done, key=lambda r: (-r[2] if up else r[2], r[0]))  # ties: the first trial
     table = spark.createDataFrame(
-        [(i, json.dumps(p, sort_keys=True), v, s) for i, p, v, s in sorted(rows)][:MAX_REPORTED],
+        [(i, json.dumps(p, sort_keys=True), v, s) for i, p, v, s in sorted(rows, key=lambda r: r[0])],
         "trial_id int, params string, value double, state string")
     return table, best[1], best[2]
 

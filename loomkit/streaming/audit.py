@@ -71,10 +71,8 @@ def run_available(df: DataFrame, name: str, mode: str = "append",
 
     w.foreachBatch(write_batch).start().awaitTermination()
     out_schema = T.StructType(df.schema.fields + [T.StructField("_batch", T.LongType())])
-    try:
-        rows = spark.read.schema(out_schema).parquet(data)
-    except Exception:  # noqa: BLE001 - no batch produced rows
-        return spark.createDataFrame([], df.schema)
+    spark.createDataFrame([], out_schema).write.mode("append").parquet(data)  # there is a table if no batch had rows
+    rows = spark.read.schema(out_schema).parquet(data)
     others = [c for c in df.columns if c not in keys]
     latest = rows.groupBy(*keys).agg(
         F.max_by(F.struct(*others), F.col("_batch")).alias("_row"))
