@@ -136,36 +136,42 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         piece = np.cumsum(size) // 500_000
         for k in np.unique(piece):
             at = piece == k
-            yield pd.DataFrame({"doc": np.repeat(pdf["doc"].to_numpy()[at], size[at]),
-                                "token": np.frombuffer(b"".join(pdf["items"][at]), np.int64)})
+            yield pd.DataFrame({c: np.repeat(pdf[c].to_numpy()[at], size[at]) for c in ("doc", "n", "comp")}).assign(
+                token=np.frombuffer(b"".join(pdf["items"][at]), np.int64))
 
 
 def _prefix_pairs(docs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs ``(u > v)`` of different components that can still reach the threshold.
 
-    Shingles are ordered from rare to common over the given documents.  Two
+    A shingle that one component alone holds cannot be shared with another.
+    The rest are ordered from rare to common over the given documents.  Two
     sets that are similar enough share one among the first
-    ``n - ceil(threshold * n) + 1`` of each, so a passage that many documents
-    repeat pairs none of them as long as they have enough shingles of their own.
+    ``n - ceil(threshold * n) + 1`` of each (the lone ones counted first), so a
+    passage that many documents repeat pairs none of them as long as they have
+    enough shingles of their own; nor can they share more than the smaller
+    number of shingles that are not alone.
     """
-    tokens = materialise(sets.join(docs.select("doc"), "doc", "left_semi")
-                         .mapInPandas(_tokens, "doc long, token long"), "tokens")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    tokens = materialise(sets.join(docs, "doc").select("doc", "n", "comp", "items")
+                         .mapInPandas(_tokens, "doc long, n long, comp long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("comp").alias("a"),
+                                        F.max("comp").alias("b")).where("a < b").select("token", "docs")
     by_doc = Window.partitionBy("doc")
-    first = tokens.join(often, "token").join(docs, "doc") \
-        .withColumn("place", F.row_number().over(by_doc.orderBy("docs", "token"))
-                    + F.col("n") - F.count(F.lit(1)).over(by_doc)) \
-        .where(f"place <= n - ceil({threshold} * n / 100) + 1").select("token", "doc", "n", "comp")
+    first = tokens.join(often, "token") \
+        .withColumn("shared", F.count(F.lit(1)).over(by_doc)) \
+        .withColumn("place", F.row_number().over(by_doc.orderBy("docs", "token")) + F.col("n") - F.col("shared")) \
+        .where(f"place <= n - ceil({threshold} * n / 100) + 1").select("token", "doc", "n", "comp", "shared")
     first = materialise(first, "prefixes")
-    parts = first.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = parts.select("token", F.col("comp").alias("comp2"), F.col("least").alias("least2"),
-                         F.col("most").alias("most2"))
-    duos = parts.join(other, "token").where(
-        f"comp < comp2 and 100 * most >= {threshold} * least2 and 100 * most2 >= {threshold} * least") \
+    enough = "100 * least(s, s2) >= {t} * (m + m2 - least(s, s2)) and 100 * {big} >= {t} * m2 and 100 * {big2} >= {t} * m"
+    parts = first.groupBy("token", "comp").agg(F.min("n").alias("m"), F.max("n").alias("most"), F.max("shared").alias("s"))
+    other = parts.select("token", F.col("comp").alias("comp2"), F.col("m").alias("m2"),
+                         F.col("most").alias("most2"), F.col("s").alias("s2"))
+    duos = parts.join(other, "token").where("comp < comp2 and " + enough.format(t=threshold, big="most", big2="most2")) \
         .select("token", "comp", "comp2")
-    return duos.join(first, ["token", "comp"]).join(
-        first.select("token", F.col("comp").alias("comp2"), F.col("doc").alias("doc2"), F.col("n").alias("m")),
-        ["token", "comp2"]).where(f"100 * least(n, m) >= {threshold} * greatest(n, m)") \
+    left = first.select("token", "comp", "doc", F.col("n").alias("m"), F.col("shared").alias("s"))
+    right = first.select("token", F.col("comp").alias("comp2"), F.col("doc").alias("doc2"), F.col("n").alias("m2"),
+                         F.col("shared").alias("s2"))
+    return duos.join(left, ["token", "comp"]).join(right, ["token", "comp2"]) \
+        .where(enough.format(t=threshold, big="m", big2="m2")) \
         .select(F.greatest("doc", "doc2").alias("u"), F.least("doc", "doc2").alias("v")).distinct()
 
 

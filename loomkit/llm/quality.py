@@ -24,6 +24,8 @@ from loomkit.llm.tokens import piece_bpe, vocabulary_path
 # Fixed values of the base rules.
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
+CEILING_TOKENS = 512
+BROADCAST_GROUPS = 4096  # band tables up to so many rows are broadcast, longer ones joined
 
 # Scripts told apart where no language is declared (fixed values: block ranges).
 SCRIPTS = {
@@ -114,36 +116,38 @@ def measure(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         "*", F.coalesce("lang", F.concat(F.lit("script:"), "script")).alias("band_group"),
         F.try_divide(F.col("n_chars"), F.col("n_tokens")).alias("chars_per_token"),
         F.try_divide(F.col("byte_tokens"), F.col("n_tokens")).alias("byte_share"),
-        # entropy against its ceiling for this many tokens, so that lengths compare
-        F.when(F.col("n_tokens") > 1, F.col("entropy") / F.log2("n_tokens")).alias("rel_entropy"))
+        # entropy against the ceiling of a text of this length; the vocabulary of a
+        # longer one no longer grows with it
+        F.when(F.col("n_tokens") > 1, F.col("entropy") / F.log2(F.least("n_tokens", F.lit(CEILING_TOKENS))))
+        .alias("rel_entropy"))
 
 
-def fertility_bands(measures: DataFrame, spread_factor: float = 6.0, floor: float = 0.15,
+def fertility_bands(measures: DataFrame, spread_factor: float = 4.0, floor: float = 0.10,
                     min_tokens: int = 50) -> DataFrame:
     """Rejection bands per language or script, from all documents of the group
     with at least ``min_tokens`` tokens.
 
     Characters per token: median -+ max(``spread_factor`` x the quartile
-    distance, ``floor`` x the median).  Byte share: above the third quartile by
+    distance, ``floor`` x the median); ``quality_rules`` widens this for short
+    texts by sqrt(1 + 100 / tokens).  Byte share: above the third quartile by
     the same rule with a floor of 0.3.  Relative entropy: below the first
-    quartile by the same rule.  Quantiles are Spark's approximate percentiles
+    quartile by the same rule with a floor of 0.15.  Quantiles are Spark's approximate percentiles
     (error 1/1000 of the rows), so no group is gathered.
     """
     used = measures.where(F.col("n_tokens") >= min_tokens)
-    q = [used.groupBy("band_group").agg(*[
+    q = used.groupBy("band_group").agg(*[
         F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(c)
-        for c in ("chars_per_token", "byte_share", "rel_entropy")])]
+        for c in ("chars_per_token", "byte_share", "rel_entropy")])
 
     def reach(c: str, least) -> F.Column:
         return F.greatest(F.lit(spread_factor) * (F.col(c)[2] - F.col(c)[0]), least)
 
     cpt, byt, ent = "chars_per_token", "byte_share", "rel_entropy"
-    return q[0].select(
-        "band_group",
-        (F.col(cpt)[1] - reach(cpt, F.lit(floor) * F.col(cpt)[1])).alias("min_chars_per_token"),
-        (F.col(cpt)[1] + reach(cpt, F.lit(2 * floor) * F.col(cpt)[1])).alias("max_chars_per_token"),
+    return q.select(
+        "band_group", F.col(cpt)[1].alias("mid_chars_per_token"),
+        reach(cpt, F.lit(floor) * F.col(cpt)[1]).alias("reach_chars_per_token"),
         (F.col(byt)[2] + reach(byt, F.lit(0.3))).alias("max_byte_share"),
-        (F.col(ent)[1] - reach(ent, F.lit(floor) * F.col(ent)[1])).alias("min_rel_entropy"))
+        (F.col(ent)[0] - reach(ent, F.lit(0.15))).alias("min_rel_entropy"))
 
 
 def quality_rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -159,10 +163,12 @@ def quality_rules(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     of ``docs`` are ignored.
     """
     m = materialise(measure(docs, path, id_col, text_col, lang_col), "measures")
-    band = fertility_bands(m, **bands)
+    band = materialise(fertility_bands(m, **bands), "bands")
     short = F.col("n_tokens") < bands.get("min_tokens", 50)
-    inside = ((F.col("chars_per_token") >= F.col("min_chars_per_token"))
-              & (F.col("chars_per_token") <= F.col("max_chars_per_token"))
+    if band.count() <= BROADCAST_GROUPS:
+        band = F.broadcast(band)
+    wide = F.col("reach_chars_per_token") * F.sqrt(1 + 100 / F.col("n_tokens"))
+    inside = ((F.abs(F.col("chars_per_token") - F.col("mid_chars_per_token")) <= wide)
               & (F.col("byte_share") <= F.col("max_byte_share"))
               & (F.col("rel_entropy") >= F.col("min_rel_entropy")))
     failed = (F.col("n_words") < MIN_WORDS) | (

@@ -37,7 +37,7 @@ def test_base_counts_and_bands(spark):
         assert not (r.base_failed and r.kept)
     assert all(got[i].kept for i in range(150))           # clean documents stay
     assert not got[205].kept and not got[205].base_failed  # hexadecimal: too few characters per token
-    assert not got[207].kept and got[207].byte_share > 0.9  # byte fallback
+    assert not got[207].kept and got[207].byte_share > 0.7  # byte fallback
 
 
 def test_groups_without_language_fall_back_to_scripts(spark):
