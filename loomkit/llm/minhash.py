@@ -113,11 +113,22 @@ def _sketches(width: int, bands: int, rows: int):
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in text_chunks(batches):
-            yield pd.DataFrame({"doc": pdf["doc"],
-                                "items": [shingle_set(t, width).tobytes() for t in pdf["text"]]})
+            sets = [shingle_set(t, width) for t in pdf["text"]]
+            yield pd.DataFrame({"doc": pdf["doc"], "items": [s.tobytes() for s in sets],
+                                "bits": [parity_bits(s) for s in sets]})
     return run
 
 
+PARITY_WORDS = 16  # 1,024 bits
+
+
+def parity_bits(items: np.ndarray) -> np.ndarray:
+    """Parity of the number of items on each of 1,024 hashed places.  Where two
+    sets differ in d places, they differ in d items at least."""
+    odd = np.bincount((mix64(items) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _links(threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -149,7 +160,7 @@ def _prefix_pairs(docs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     ``n - ceil(threshold * n) + 1`` of each (the lone ones counted first), so a
     passage that many documents repeat pairs none of them as long as they have
     enough shingles of their own; nor can they share more than the smaller
-    number of shingles that are not alone.
+    number of shingles that are not alone, or than their parity bits allow.
     """
     tokens = materialise(sets.join(docs, "doc").select("doc", "n", "comp", "items")
                          .mapInPandas(_tokens, "doc long, n long, comp long, token long"), "tokens")
@@ -160,18 +171,22 @@ def _prefix_pairs(docs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
         .withColumn("shared", F.count(F.lit(1)).over(by_doc)) \
         .withColumn("place", F.row_number().over(by_doc.orderBy("docs", "token")) + F.col("n") - F.col("shared")) \
         .where(f"place <= n - ceil({threshold} * n / 100) + 1").select("token", "doc", "n", "comp", "shared")
-    first = materialise(first, "prefixes")
+    first = materialise(first.join(sets.select("doc", "bits"), "doc"), "prefixes")
     enough = "100 * least(s, s2) >= {t} * (m + m2 - least(s, s2)) and 100 * {big} >= {t} * m2 and 100 * {big2} >= {t} * m"
-    parts = first.groupBy("token", "comp").agg(F.min("n").alias("m"), F.max("n").alias("most"), F.max("shared").alias("s"))
+    parts = first.groupBy("token", "comp").agg(F.min("n").alias("m"), F.max("n").alias("most"),
+                                               F.max("shared").alias("s"), F.count(F.lit(1)).alias("c"))
     other = parts.select("token", F.col("comp").alias("comp2"), F.col("m").alias("m2"),
-                         F.col("most").alias("most2"), F.col("s").alias("s2"))
-    duos = parts.join(other, "token").where("comp < comp2 and " + enough.format(t=threshold, big="most", big2="most2")) \
-        .select("token", "comp", "comp2")
-    left = first.select("token", "comp", "doc", F.col("n").alias("m"), F.col("shared").alias("s"))
+                         F.col("most").alias("most2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
+    duos = parts.join(other, "token").where(  # the smaller part first, so that it is expanded first
+        "(c < c2 or c = c2 and comp < comp2) and comp <> comp2 and "
+        + enough.format(t=threshold, big="most", big2="most2")).select("token", "comp", "comp2")
+    left = first.select("token", "comp", "doc", F.col("n").alias("m"), F.col("shared").alias("s"), "bits")
     right = first.select("token", F.col("comp").alias("comp2"), F.col("doc").alias("doc2"), F.col("n").alias("m2"),
-                         F.col("shared").alias("s2"))
+                         F.col("shared").alias("s2"), F.col("bits").alias("bits2"))
+    differ = "+".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(PARITY_WORDS))
     return duos.join(left, ["token", "comp"]).join(right, ["token", "comp2"]) \
         .where(enough.format(t=threshold, big="m", big2="m2")) \
+        .where(f"({differ}) * {100 + threshold} <= {100 - threshold} * (m + m2)") \
         .select(F.greatest("doc", "doc2").alias("u"), F.least("doc", "doc2").alias("v")).distinct()
 
 
@@ -254,7 +269,7 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     involved = members.select("doc").distinct()
     sets = materialise(src.join(involved, "doc", "left_semi")
-                       .mapInPandas(_sets(width), "doc long, items binary"), "sets")
+                       .mapInPandas(_sets(width), "doc long, items binary, bits array<long>"), "sets")
 
     first = members.where("low < doc").groupBy(F.col("doc").alias("u")).agg(F.min("low").alias("v"))
     links = materialise(_verify(first, sets, threshold), "round1")
