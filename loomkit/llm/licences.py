@@ -152,7 +152,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"),
         F.concat_ws(",", *names).alias("licences"),
-        F.trim(F.lit(","), F.regexp_replace("rest", ",+", ",")).alias("unmatched"))
+        F.trim(F.regexp_replace("rest", ",+", ","), F.lit(",")).alias("unmatched"))
 
 
 def oracle(table: str = "documents") -> str:
