@@ -26,6 +26,7 @@ BUCKETS = 1 << 14
 TEMPER = 0.25       # weight of one trigram's log likelihood
 MAX_TRIGRAMS = 400  # evidence of a long text counts as that of so many trigrams
 STRENGTH = 20.0     # pseudo-counts of the hierarchical smoothing
+DOC_TRIGRAMS = 2000  # a longer document's counts are scaled to so many in training
 
 
 def trigram_codes(text: str | None) -> np.ndarray:
@@ -50,8 +51,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in text_chunks(batches):
         for text, lang in zip(pdf["text"], pdf["declared"]):
             if lang is not None:
-                got = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                got += np.bincount(trigram_codes(text), minlength=BUCKETS)
+                got = total.setdefault(lang, np.zeros(BUCKETS))
+                code = trigram_codes(text)
+                got += np.bincount(code, minlength=BUCKETS) * min(1.0, DOC_TRIGRAMS / max(1, len(code)))
     for lang, n in total.items():
         at = np.flatnonzero(n)
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
@@ -74,10 +76,12 @@ def _likelihoods(langs: list[str], logp: np.ndarray):
 def train(docs: DataFrame, min_share: float = 0.001) -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram shares, from all rows of ``(text, declared)``.
 
+    All trigrams of all rows count; those of a long document weigh less, so that
+    one with a wrong declaration cannot make up a language's model.
     Declarations with under ``min_share`` of all trigrams are no language of
     their own.  What travels to the driver is a table of languages x buckets.
     """
-    sums = docs.mapInPandas(_counts, "lang string, bucket int, n long") \
+    sums = docs.mapInPandas(_counts, "lang string, bucket int, n double") \
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by = materialise(sums, "trigrams")
     size = by.groupBy("lang").agg(F.sum("n").alias("n"))
