@@ -15,6 +15,7 @@ import time
 import warnings
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Model, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
@@ -182,7 +183,6 @@ class RandomFourier(Transformer):
         self.b = r.uniform(0.0, 2.0 * math.pi, n)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        import pandas as pd
         w, b = self.w, self.b
 
         @F.pandas_udf("array<double>")
@@ -258,11 +258,11 @@ class GaussianNbModel(Model):
 
     def __init__(self, params: DataFrame, columns: list[str]):
         super().__init__()
-        self.params, self.columns = params, columns
+        self.by_class, self.columns = params, columns
 
     def _transform(self, df: DataFrame) -> DataFrame:
         wide = spread_features(df, self.columns)
-        return predict_gaussian_nb(wide, self.params, self.columns, "label", [*df.columns])
+        return predict_gaussian_nb(wide, self.by_class, self.columns, "label", [*df.columns])
 
 
 def spread_features(df: DataFrame, columns: list[str]) -> DataFrame:
