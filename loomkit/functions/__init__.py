@@ -1,7 +1,6 @@
 """Column-expression helpers shared by the operators (all JVM-side)."""
 
 from loomkit.functions.exprs import (  # noqa: F401
-    exact_avg,
     hash_unit,
     r6,
     safe_div,

@@ -56,33 +56,6 @@ def r6(c, digits: int = 6) -> Column:
     return F.round(_as_col(c).cast("double") * F.lit(m)) / F.lit(m)
 
 
-def exact_sum_scaled(c, scale: int = 6) -> Column:
-    """Exact sum of ``round(x * 10^scale)`` as ``DECIMAL(38, 0)``.
-
-    Each row contributes a long (one multiply and round, no text conversion);
-    Spark keeps the decimal buffer as a compact long until it passes 10^18, so
-    the sum runs at integer speed yet cannot overflow.
-    """
-    x = _as_col(c).cast("double")
-    m = float(10 ** scale)
-    fast = F.round(x * F.lit(m)).cast("bigint").cast("decimal(38,0)")
-    # rows whose scaled value would not fit a long take the decimal cast
-    slow = (x.cast(f"decimal(38,{scale})") * F.lit(10 ** scale)).cast("decimal(38,0)")
-    scaled = F.when(F.abs(x) < F.lit(9.0e17 / m), fast).otherwise(slow)
-    return F.sum(scaled)
-
-
-def exact_avg(c, scale: int = 6) -> Column:
-    """Mean from an exact decimal sum (order-independent, same in every engine).
-
-    ``CAST(sum(CAST(x AS DECIMAL(38, s))) AS DOUBLE) / count(x)``; use for data
-    with at most ``s`` decimals, where a float sum would depend on the order.
-    """
-    x = _as_col(c)
-    total = exact_sum_scaled(x, scale).cast("double") / F.lit(float(10 ** scale))
-    return total / F.count(x).cast("double")
-
-
 def safe_div(num, den) -> Column:
     """NULL instead of an ANSI divide-by-zero error."""
     return F.try_divide(_as_col(num), _as_col(den))

@@ -15,7 +15,7 @@ from loomkit.operators import metrics as M
 from loomkit.operators import recommend as RC
 from loomkit.operators.splits import split_last_interaction
 from loomkit.plans.registry import register
-from loomkit.session import load_table
+from loomkit.session import cut_lineage, load_table
 
 ORDER = ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -132,6 +132,7 @@ top AS (SELECT user_id, item_id, CAST(rank AS BIGINT) AS rank FROM r WHERE rank
 
 def _top_k(spark, sf, k):
     train, test = ratings_split(spark, sf)
+    train = cut_lineage(train.select("user_id", "item_id"))  # read three times below
     pop = train.groupBy("item_id").agg(F.count_distinct("user_id").alias("score"))
     recs = RC.reco_top_k_global(train.select("user_id"), pop, train, k)
     return recs.withColumn("rank", F.col("rank").cast("bigint")), test
