@@ -8,12 +8,15 @@ prefix sum, so no global window runs in one task.
 from __future__ import annotations
 
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomkit.functions.exprs import with_scalars
 
 from loomkit.functions.prefix import prefix_sums
+from loomkit.session import cut_lineage
 
 LOG_LOSS_EPS = 2.220446049250313e-16  # fixed value: float64 machine epsilon
 
@@ -156,58 +159,55 @@ def n_clusters(df: DataFrame, cluster: str) -> DataFrame:
     return df.agg(F.count_distinct(_c(cluster)).alias("n_clusters"))
 
 
-def _long_vectors(df: DataFrame, id_col: str, vec: str, cluster: str) -> DataFrame:
-    return df.select(id_col, cluster, F.posexplode(vec).alias("dim", "x")) \
-             .withColumn("x", F.col("x").cast("double"))
+def cluster_moments(df: DataFrame, vec: str, cluster: str) -> DataFrame:
+    """Per cluster: size, centroid and total squared deviation from it, in one
+    aggregate over whole vectors (partial sums per task)."""
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    g = df.where(F.col(vec).isNotNull()).groupBy(F.col(cluster).alias("cluster")).agg(
+        F.count(F.lit(1)).alias("n"), Summarizer.mean(v).alias("c"), Summarizer.variance(v).alias("var"))
+    total = F.aggregate(vector_to_array("var"), F.lit(0.0), lambda a, x: a + x)
+    return g.select("cluster", "n", vector_to_array("c").alias("c"),
+                    F.when(F.col("n") > 1, total * (F.col("n") - 1)).otherwise(0.0).alias("within"))
 
 
-def cluster_moments(df: DataFrame, id_col: str, vec: str, cluster: str) -> DataFrame:
-    """Per (cluster, dim): n, sum x, sum x^2 (a table of clusters x dims rows)."""
-    lv = _long_vectors(df, id_col, vec, cluster)
-    return lv.groupBy(cluster, "dim").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"),
-                                          F.sum(F.col("x") * F.col("x")).alias("q"))
+def _squared_distance(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, d: a + d)
 
 
 def calinski_harabasz(df: DataFrame, id_col: str, vec: str, cluster: str) -> DataFrame:
-    """Between / within dispersion ratio from per-cluster moments (no pairs)."""
-    mo = cluster_moments(df, id_col, vec, cluster)
-    glob = mo.groupBy("dim").agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
-    j = mo.join(glob, "dim")
-    parts = j.agg(
-        F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("within"),
-        F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("gs") / F.col("gn"), 2))
-        .alias("between"))
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("k"))
-    out = with_scalars(parts, counts)
-    ch = (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
-    return out.select(ch.alias("calinski_harabasz"))
-
-
-def centroids(df: DataFrame, id_col: str, vec: str, cluster: str) -> DataFrame:
-    """(cluster, dim, c) long centroid table."""
-    mo = cluster_moments(df, id_col, vec, cluster)
-    return mo.select(cluster, "dim", (F.col("s") / F.col("n")).alias("c"))
+    """Between / within dispersion ratio from one scan (no pairs, no row per
+    dimension); what follows the aggregate has one row per cluster."""
+    mo = cluster_moments(df, vec, cluster)
+    whole = mo.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("within").alias("within"),
+                   Summarizer.mean(array_to_vector("c"), F.col("n").cast("double")).alias("g"),
+                   F.collect_list(F.struct("n", "c")).alias("parts"))
+    between = F.aggregate(F.transform("parts", lambda p: p["n"] * _squared_distance(p["c"], vector_to_array("g"))),
+                          F.lit(0.0), lambda a, x: a + x)
+    ch = (between / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
+    return whole.select(ch.alias("calinski_harabasz"))
+
+
+MAX_BROADCAST_CLUSTERS = 10_000  # centroid tables up to so many rows are broadcast, longer ones joined
 
 
 def davies_bouldin(df: DataFrame, id_col: str, vec: str, cluster: str) -> DataFrame:
-    """Mean over clusters of the worst (s_i + s_j) / d(c_i, c_j)."""
-    cen = centroids(df, id_col, vec, cluster)
-    lv = _long_vectors(df, id_col, vec, cluster)
-    dist = lv.join(cen, [cluster, "dim"]).groupBy(id_col, cluster).agg(
-        F.sqrt(F.sum(F.pow(F.col("x") - F.col("c"), 2))).alias("d"))
-    spread = dist.groupBy(cluster).agg(F.avg("d").alias("s"))
-    a, b = cen.alias("a"), cen.alias("b")
-    # centroid pairs: clusters x clusters x dims rows, independent of the row count
-    cd = a.join(b, (F.col(f"a.{cluster}") != F.col(f"b.{cluster}"))
-                & (F.col("a.dim") == F.col("b.dim"))) \
-          .groupBy(F.col(f"a.{cluster}").alias("ci"), F.col(f"b.{cluster}").alias("cj")) \
-          .agg(F.sqrt(F.sum(F.pow(F.col("a.c") - F.col("b.c"), 2))).alias("dc"))
-    si, sj = spread.alias("si"), spread.alias("sj")
-    r = cd.join(si, F.col("ci") == F.col(f"si.{cluster}")) \
-          .join(sj, F.col("cj") == F.col(f"sj.{cluster}")) \
-          .select("ci", ((F.col("si.s") + F.col("sj.s")) / F.col("dc")).alias("r"))
-    worst = r.groupBy("ci").agg(F.max("r").alias("r"))
-    return worst.agg(F.avg("r").alias("davies_bouldin"))
+    """Mean over clusters of the worst (s_i + s_j) / d(c_i, c_j).
+
+    Two scans: centroids, then the distance of every row to its own, folded
+    inside the row.  The pairs are clusters x clusters."""
+    cen = cut_lineage(cluster_moments(df, vec, cluster).select("cluster", "c"))
+    side = F.broadcast(cen) if cen.count() <= MAX_BROADCAST_CLUSTERS else cen
+    own = df.select(F.col(cluster).alias("cluster"), F.col(vec).cast("array<double>").alias("x")) \
+        .where("x is not null").join(side, "cluster")
+    spread = own.groupBy("cluster").agg(F.avg(F.sqrt(_squared_distance(F.col("x"), F.col("c")))).alias("s"))
+    one = cut_lineage(cen.join(spread, "cluster"))
+    dims = one.select("cluster", "s", F.posexplode("c").alias("dim", "x"))  # clusters x dimensions rows
+    a, b = dims.alias("a"), dims.alias("b")
+    r = a.join(b, (F.col("a.dim") == F.col("b.dim")) & (F.col("a.cluster") != F.col("b.cluster"))) \
+        .groupBy(F.col("a.cluster").alias("ci"), F.col("b.cluster").alias("cj")) \
+        .agg(F.first(F.col("a.s") + F.col("b.s")).alias("s"),
+             F.sqrt(F.sum(F.pow(F.col("a.x") - F.col("b.x"), 2))).alias("d"))
+    return r.groupBy("ci").agg(F.max(F.col("s") / F.col("d")).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
 def silhouette_squared(df: DataFrame, vec: str, cluster: str) -> DataFrame:
@@ -217,8 +217,6 @@ def silhouette_squared(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     to sufficient statistics.  The euclidean (non-squared) silhouette needs
     every pair of rows and is not offered.
     """
-    from pyspark.ml.functions import array_to_vector
-
     vdf = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"),
                     F.col(cluster).cast("double").alias("prediction"))
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
