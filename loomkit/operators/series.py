@@ -49,12 +49,38 @@ def series_prepare(df: DataFrame, series_cols: list[str], time_col: str,
     return clean.groupBy(*series_cols, "ts").agg(F.sum("value").alias("value"))
 
 
+_MONDAY = "DATE'1970-01-05'"
+
+
+def _business_day(ts: str) -> Column:
+    """Number of a Monday-to-Friday day; a weekend counts as its Friday."""
+    d = f"datediff({ts}, {_MONDAY})"
+    return F.expr(f"floor({d} / 7) * 5 + least(pmod({d}, 7), 4)")
+
+
+# Months between the points of a calendar frequency.
+CALENDAR_MONTHS = {"MS": 1, "ME": 1, "QS": 3, "YS": 12}
+
+
+def calendar_step(freq: str, ts: str = "last_ts", step: str = "step") -> Column:
+    """The time ``step`` calendar steps after ``ts``; month ends stay month ends."""
+    if freq in CALENDAR_MONTHS:
+        day = f"add_months({ts}, {step} * {CALENDAR_MONTHS[freq]})"
+        return F.expr(f"CAST({'last_day(' + day + ')' if freq == 'ME' else day} AS TIMESTAMP_NTZ)")
+    if freq == "B":
+        d = f"datediff({ts}, {_MONDAY})"
+        n = f"(floor({d} / 7) * 5 + least(pmod({d}, 7), 4) + {step})"
+        return F.expr(f"CAST(date_add({_MONDAY}, CAST(floor({n} / 5) * 7 + pmod({n}, 5) AS INT)) AS TIMESTAMP_NTZ)")
+    raise ValueError(f"unknown calendar frequency {freq!r}")
+
+
 def series_infer_freq(prepared: DataFrame, series_cols: list[str]) -> DataFrame:
     """Per series: ``freq`` label and ``regular`` flag.
 
-    Regular spacing -> the spacing (``D``, ``h``, ``W`` or ``<n>s``); month
-    starts one month apart -> ``MS``; anything else -> ``D`` with
-    ``regular = false`` (the caller resamples daily).
+    Regular spacing -> the spacing (``D``, ``h``, ``W`` or ``<n>s``); else
+    consecutive year starts -> ``YS``, quarter starts -> ``QS``, month starts
+    -> ``MS``, month ends -> ``ME``, business days -> ``B``; anything else ->
+    ``D`` with ``regular = false`` (the caller resamples daily).
 
     No window: ``n`` distinct timestamps are evenly spaced exactly when the
     span is a multiple ``(n - 1) d`` of an integer step ``d`` and every
@@ -62,9 +88,15 @@ def series_infer_freq(prepared: DataFrame, series_cols: list[str]) -> DataFrame:
     """
     e = epoch_seconds("ts")
     mo = F.year("ts") * 12 + F.month("ts")
+    clock = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts") != 0
     g = prepared.groupBy(*series_cols).agg(
         F.count(F.lit(1)).alias("n"), F.min(e).alias("e0"), F.max(e).alias("e1"),
         F.min(mo).alias("m0"), F.max(mo).alias("m1"),
+        F.min(_business_day("ts")).alias("b0"), F.max(_business_day("ts")).alias("b1"),
+        F.max((F.weekday("ts") > 4).cast("int")).alias("weekend"), F.max(clock.cast("int")).alias("clock"),
+        F.max((F.month("ts") % 3 != 1).cast("int")).alias("off_quarter"),
+        F.max((F.month("ts") != 1).cast("int")).alias("off_year"),
+        F.max((clock | (F.to_date("ts") != F.last_day("ts"))).cast("int")).alias("off_month_end"),
         F.max(((F.dayofmonth("ts") != 1) | (F.hour("ts") * 3600 + F.minute("ts") * 60
                                              + F.second("ts") != 0)).cast("int"))
         .alias("off_month_start"))
@@ -79,13 +111,21 @@ def series_infer_freq(prepared: DataFrame, series_cols: list[str]) -> DataFrame:
     regular = (F.col("n") > 1) & (F.col("off_grid") == 0)
     monthly = (F.col("n") > 1) & (F.col("off_month_start") == 0) & \
         (F.col("m1") - F.col("m0") == F.col("n") - 1)
+    starts = (F.col("n") > 1) & (F.col("off_month_start") == 0)
+    months = F.col("m1") - F.col("m0")
+    quarterly = starts & (F.col("off_quarter") == 0) & (months == 3 * (F.col("n") - 1))
+    yearly = starts & (F.col("off_year") == 0) & (months == 12 * (F.col("n") - 1))
+    month_ends = (F.col("n") > 1) & (F.col("off_month_end") == 0) & (months == F.col("n") - 1)
+    business = (F.col("n") > 1) & (F.col("weekend") == 0) & (F.col("clock") == 0) & \
+        (F.col("b1") - F.col("b0") == F.col("n") - 1)
     label = (F.when(regular & (F.col("dt") == DAY_SECONDS), "D")
               .when(regular & (F.col("dt") == 7 * DAY_SECONDS), "W")
               .when(regular & (F.col("dt") == 3600), "h")
               .when(regular, F.concat(F.col("dt").cast("string"), F.lit("s")))
-              .when(monthly, "MS")
+              .when(yearly, "YS").when(quarterly, "QS").when(monthly, "MS")
+              .when(month_ends, "ME").when(business, "B")
               .otherwise("D"))
-    return g.select(*series_cols, label.alias("freq"), (regular | monthly).alias("regular"))
+    return g.select(*series_cols, label.alias("freq"), (regular | yearly | quarterly | monthly | month_ends | business).alias("regular"))
 
 
 def series_resample(prepared: DataFrame, series_cols: list[str]) -> DataFrame:
@@ -126,20 +166,23 @@ def _positions(df: DataFrame, series_cols: list[str]) -> DataFrame:
 
 
 def forecast_emit(prepared: DataFrame, series_cols: list[str], horizon: int,
-                  step_seconds: int = DAY_SECONDS) -> DataFrame:
-    """The next ``horizon`` timestamps after each series' last point."""
+                  step_seconds: int = DAY_SECONDS, freq: str | None = None) -> DataFrame:
+    """The next ``horizon`` timestamps after each series' last point, by fixed
+    seconds or by a calendar frequency (``MS``, ``ME``, ``QS``, ``YS``, ``B``)."""
     if not 1 <= horizon <= 10000:
         raise ValueError("horizon must be in 1..10000")
     last = prepared.groupBy(*series_cols).agg(F.max("ts").alias("last_ts"))
     steps = last.select(*series_cols, "last_ts",
                         F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    if freq is not None:
+        return steps.select(*series_cols, "step", calendar_step(freq).alias("ts"))
     return steps.select(*series_cols, "step", F.expr(
         f"timestampadd(SECOND, step * {int(step_seconds)}, last_ts)").alias("ts"))
 
 
 def forecast_naive(train: DataFrame, series_cols: list[str], horizon: int,
                    strategy: str = "last", sp: int = 1,
-                   step_seconds: int = DAY_SECONDS) -> DataFrame:
+                   step_seconds: int = DAY_SECONDS, freq: str | None = None) -> DataFrame:
     """Naive forecasts per series: ``last`` / ``mean`` (per season slot) / ``drift``.
 
     Output ``(series..., step, ts, value)``.  Pure SQL: positions by a window
@@ -148,7 +191,7 @@ def forecast_naive(train: DataFrame, series_cols: list[str], horizon: int,
     if strategy not in ("last", "mean", "drift"):
         raise ValueError(f"unknown naive strategy: {strategy!r}")
     p = _positions(train, series_cols)
-    steps = forecast_emit(train, series_cols, horizon, step_seconds)
+    steps = forecast_emit(train, series_cols, horizon, step_seconds, freq)
     if strategy == "drift":
         ends = p.groupBy(*series_cols).agg(
             F.max_by("value", "pos").alias("last"), F.min_by("value", "pos").alias("first"),

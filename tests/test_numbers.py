@@ -11,6 +11,7 @@ from loomkit.operators import ledger as LE
 from loomkit.operators import logs as LG
 from loomkit.operators import metrics as M
 from loomkit.operators import profile as P
+from loomkit.operators import series as SE
 from loomkit.operators import splits as SP
 from loomkit.operators import supervised as SV
 from loomkit.operators import transforms as TR
@@ -122,3 +123,21 @@ def test_boosting_entries_start_from_their_own_defaults():
         SV.build_estimator("xgboost", "regression", {"reg_alpha": 1.0}, 10, 1.0, 1.0, 2)
     with pytest.raises(ValueError, match="kernel"):
         SV.build_estimator("svm", "classification", {"kernel": "sigmoid"}, 10, 1.0, 1.0, 2)
+
+
+@pytest.mark.parametrize("freq, days, after", [
+    ("MS", ["2024-01-01", "2024-02-01", "2024-03-01", "2024-04-01"], "2024-05-01"),
+    ("ME", ["2023-11-30", "2023-12-31", "2024-01-31", "2024-02-29"], "2024-03-31"),
+    ("QS", ["2023-07-01", "2023-10-01", "2024-01-01", "2024-04-01"], "2024-07-01"),
+    ("YS", ["2021-01-01", "2022-01-01", "2023-01-01", "2024-01-01", "2025-01-01"], "2026-01-01"),
+    ("B", ["2024-03-07", "2024-03-08", "2024-03-11", "2024-03-12"], "2024-03-13"),
+    ("B", ["2024-03-06", "2024-03-07", "2024-03-08", "2024-03-11", "2024-03-12", "2024-03-13", "2024-03-14", "2024-03-15"], "2024-03-18"),
+    ("D", ["2024-03-01", "2024-03-02", "2024-03-03"], None)])
+def test_calendar_frequencies(spark, freq, days, after):
+    df = spark.createDataFrame([("s", d, 1.0) for d in days], "k string, d string, value double") \
+        .select("k", F.col("d").cast("timestamp_ntz").alias("ts"), "value")
+    r = SE.series_infer_freq(df, ["k"]).first()
+    assert (r.freq, r.regular) == (freq, True)
+    if after:
+        out = SE.forecast_naive(df, ["k"], 1, "last", freq=freq).first()
+        assert str(out.ts)[:10] == after
