@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from loomkit.session import cut_lineage, ship_package
 
-MAX_REFERENCE_ROWS = 200_000  # rows x dims shipped to every task for 1-NN
+MAX_REFERENCE_ROWS = 200_000  # default bound of labelled rows shipped to every task
 
 
 def with_vector(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
@@ -239,16 +239,17 @@ def cluster_agglomerative(df: DataFrame, array_col: str, k: int = 2, linkage: st
 
 
 def assign_nearest(df: DataFrame, array_col: str, reference: DataFrame, ref_array: str,
-                   ref_label: str, ref_id: str) -> DataFrame:
+                   ref_label: str, ref_id: str,
+                   max_reference_rows: int = MAX_REFERENCE_ROWS) -> DataFrame:
     """Label each row with the label of its nearest reference row (euclidean;
     ties -> smallest reference id).  The reference is size-checked (at most
-    ``MAX_REFERENCE_ROWS``) and shipped once as a broadcast numpy matrix; each
+    ``max_reference_rows``) and shipped once as a broadcast numpy matrix; each
     Arrow batch of rows is scored against it with numpy."""
     spark = df.sparkSession
     n_ref = reference.count()
-    if n_ref > MAX_REFERENCE_ROWS:
+    if n_ref > max_reference_rows:
         raise ValueError(f"reference has {n_ref} rows; nearest assignment ships at most "
-                         f"{MAX_REFERENCE_ROWS} (assign to cluster centres instead)")
+                         f"{max_reference_rows} (assign to cluster centres instead)")
     ship_package(spark)
     ref = reference.select(ref_id, ref_label, F.col(ref_array).cast("array<double>").alias("v")) \
                    .orderBy(ref_id).toPandas()
@@ -297,17 +298,17 @@ __all__ = ["cluster_kmeans", "cluster_minibatch_kmeans", "cluster_gmm", "gmm_pre
 
 def knn_predict(df: DataFrame, array_col: str, reference: DataFrame, ref_array: str,
                 ref_label: str, ref_id: str, k: int = 5, weights: str = "uniform",
-                p: float = 2.0) -> DataFrame:
+                p: float = 2.0, max_reference_rows: int = MAX_REFERENCE_ROWS) -> DataFrame:
     """k-nearest-neighbour vote against a size-checked reference set.
 
     Minkowski distance of order ``p``; ``uniform`` or ``distance`` (1/d)
     weights; ties in the vote -> smallest label; ties in distance -> smallest
-    reference id.  The reference (at most ``MAX_REFERENCE_ROWS`` rows) is
+    reference id.  The reference (at most ``max_reference_rows`` rows) is
     broadcast once; each Arrow batch is scored with numpy in bounded chunks."""
     spark = df.sparkSession
     n_ref = reference.count()
-    if n_ref > MAX_REFERENCE_ROWS:
-        raise ValueError(f"reference has {n_ref} rows; k-NN ships at most {MAX_REFERENCE_ROWS}")
+    if n_ref > max_reference_rows:
+        raise ValueError(f"reference has {n_ref} rows; k-NN ships at most {max_reference_rows}")
     ship_package(spark)
     ref = reference.select(ref_id, ref_label, F.col(ref_array).cast("array<double>").alias("v")) \
                    .orderBy(ref_id).toPandas()

@@ -92,14 +92,15 @@ def split_stratified(df: DataFrame, label: str, key_cols: list[str], train: floa
 
 
 def split_holdout(df: DataFrame, key_cols: list[str], val_fraction: float = 0.2,
-                  seed: int = 42, n_rows: int | None = None, out: str = "split") -> DataFrame:
-    """Unsupervised hold-out: val fraction clamped to [0, 0.5]; tiny data stays train.
+                  seed: int = 42, n_rows: int | None = None, out: str = "split", keep_up_to: int = 10) -> DataFrame:
+    """Unsupervised hold-out: val fraction clamped to [0, 0.5]; up to ``keep_up_to``
+    rows all stay train.
 
     ``n_rows`` can be passed when known; otherwise one count is run.
     """
     frac = min(max(float(val_fraction), 0.0), 0.5)
     n = df.count() if n_rows is None else n_rows
-    if n <= 10 or frac == 0.0:
+    if n <= keep_up_to or frac == 0.0:
         return df.withColumn(out, F.lit("train"))
     u = hash_unit(seed, *key_cols)
     return df.withColumn(out, F.when(u < F.lit(1.0 - frac), "train").otherwise("val"))

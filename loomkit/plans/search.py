@@ -63,7 +63,9 @@ def hpo_search(model: str, task: str, train: DataFrame, val: DataFrame, space: d
     from loomkit.operators.supervised import fit_model
 
     validate_space(space, fixed)
-    metric = metric or ("accuracy" if task != "regression" else "r2")
+    if metric is None:
+        two = task != "regression" and train.select("label").distinct().limit(3).count() <= 2
+        metric = "r2" if task == "regression" else "auroc" if two else "accuracy"
     up = HIGHER_IS_BETTER.get(metric, True)
     spark = train.sparkSession
     tr = train.persist(StorageLevel.MEMORY_AND_DISK)

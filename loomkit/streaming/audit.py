@@ -42,7 +42,7 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: st
 
 def run_available(df: DataFrame, name: str, mode: str = "append",
                   keys: list[str] | None = None,
-                  partition_by: list[str] | None = None) -> DataFrame:
+                  partition_by: list[str] | None = None, root: str | None = None) -> DataFrame:
     """Run a streaming frame over the available input into a checkpointed
     parquet sink; return the result as a batch frame.
 
@@ -51,9 +51,12 @@ def run_available(df: DataFrame, name: str, mode: str = "append",
     with their batch id through ``foreachBatch`` (re-running a batch after a
     failure rewrites the same rows), and the read-back keeps the newest row
     per ``keys``.
+
+    ``root`` is the folder of sink and checkpoint: a later call with the same
+    one resumes behind the input already read; without it each call starts anew.
     """
     spark = df.sparkSession
-    root = stream_folder(spark, name)
+    root = root or stream_folder(spark, name)
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/_checkpoint") \
           .trigger(availableNow=True)
     if mode == "append":
