@@ -5,11 +5,11 @@ import pytest
 
 from loomkit.llm import queries as Q
 from loomkit.session import TABLES
-from tests.conftest import MEDIUM, SMALL
+from tests.conftest import MEDIUM
 from tools.oracle_check import digest
 
 
-@pytest.mark.parametrize("sf", [SMALL, MEDIUM])
+@pytest.mark.parametrize("sf", [MEDIUM])
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_query_equals_its_sql(spark, name, sf):
     con = duckdb.connect()
