@@ -78,7 +78,7 @@ def windows64(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 def text_chunks(batches: Iterator[pd.DataFrame], text: str = "text",
-                chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+                chars: int = 500_000) -> Iterator[pd.DataFrame]:
     """Cut Arrow batches so that one piece holds about ``chars`` characters.
 
     Bounds the memory of a Python worker whatever the batch size; one longer

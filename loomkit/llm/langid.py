@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomkit.llm.common import materialise, mix64, spread, text_chunks
+from loomkit.llm.tokens import release_tables
 
 BUCKETS = 1 << 14
 TEMPER = 0.25       # weight of one trigram's log likelihood
@@ -47,6 +48,7 @@ def trigram_codes(text: str | None) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    release_tables()
     total: dict[str, np.ndarray] = {}
     for pdf in text_chunks(batches):
         for text, lang in zip(pdf["text"], pdf["declared"]):
@@ -61,6 +63,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _likelihoods(langs: list[str], logp: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_tables()
         for pdf in text_chunks(batches):
             ll, grams = [], []
             for text in pdf["text"]:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomkit.llm.common import materialise, mix64, spread, text_chunks, windows64, words_of
+from loomkit.llm.tokens import release_tables
 
 _TOP = np.uint64(2**64 - 1)
 _32 = np.uint64(32)
@@ -97,6 +98,7 @@ def band_codes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sketches(width: int, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_tables()
         for pdf in text_chunks(batches):
             sets = [shingle_set(t, width) for t in pdf["text"]]
             size = np.array([len(s) for s in sets], np.int64)

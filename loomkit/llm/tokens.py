@@ -17,7 +17,8 @@ from itertools import chain
 import numpy as np
 import regex
 
-MAX_WORDS = 600_000  # entries per worker; a full table is cleared and refilled
+MAX_WORDS = 450_000  # entries per worker; a full table is cleared and refilled
+MAX_PIECES = 300_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -141,7 +142,7 @@ class WordBpe:
         return [t.id for t in self.model.tokenize(piece)]
 
     def _words(self, words: list[str]) -> tuple[list[int], list[int]]:
-        if len(self.pieces) > MAX_WORDS:
+        if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
         flat, size, known = [], [], self.pieces
         for w in words:
@@ -211,12 +212,26 @@ class PieceBpe:
         return out
 
 
-@functools.lru_cache(maxsize=4)
+_KEPT: dict = {}  # the one encoder that this worker holds between tasks
+
+
+def release_tables() -> None:
+    """Free the worker's word table: workers live on from stage to stage, and a
+    stage that encodes nothing has no use for it."""
+    _KEPT.clear()
+
+
+def _kept(kind, path: str):
+    if (kind, path) not in _KEPT:
+        release_tables()
+        _KEPT[kind, path] = kind(path)
+    return _KEPT[kind, path]
+
+
 def word_bpe(path: str) -> WordBpe:
     """The worker's encoder for a vocabulary file (kept between tasks)."""
-    return WordBpe(path)
+    return _kept(WordBpe, path)
 
 
-@functools.lru_cache(maxsize=4)
 def piece_bpe(path: str) -> PieceBpe:
-    return PieceBpe(path)
+    return _kept(PieceBpe, path)
