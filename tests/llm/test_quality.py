@@ -60,3 +60,34 @@ def test_windows_and_lines():
     assert repeated_words(np.array([1, 2, 3, 4, 5, 6, 7, 8] * 2, np.uint64)) == 16
     assert repeated_words(np.zeros(9, np.uint64)) == 9
     assert repeated_lines("a\n\na\n b\n b\nb") == 2
+
+
+def junk(n, seed=5):
+    r = random.Random(seed)
+    return [" ".join(f"{r.getrandbits(64):016x}" for _ in range(60)) for _ in range(n)]
+
+
+def clean():
+    return [(i, t, "es", f"src{i % 6}") for i, t in sample()[:150]]
+
+
+def kept_of(spark, rows):
+    return {r.doc_id for r in quality_rules(docs_frame(spark, rows)).where("kept").collect()}
+
+
+def test_a_hot_junk_source_sets_no_band(spark):
+    for n in (75, 400):  # a third of the rows, and most of them
+        rows = clean() + [(1000 + i, t, "es", "hot") for i, t in enumerate(junk(n))]
+        assert kept_of(spark, rows) == set(range(150))
+
+
+def test_a_hot_group_of_copies_sets_no_band(spark):
+    copy, = junk(1)
+    rows = clean() + [(1000 + i, copy, "es", f"src{i % 6}") for i in range(400)]
+    assert kept_of(spark, rows) == set(range(150))
+
+
+def test_junk_of_all_sources_and_base_failed_rows_set_no_band(spark):
+    rows = clean() + [(1000 + i, t, "es", f"src{i % 6}") for i, t in enumerate(junk(75))]
+    rows += [(2000 + i, f"{t.split()[0]} " * 300, "es", f"src{i % 6}") for i, t in enumerate(junk(300, 6))]
+    assert kept_of(spark, rows) == set(range(150))
