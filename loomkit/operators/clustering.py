@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -106,17 +106,89 @@ def cluster_minibatch_kmeans(df: DataFrame, array_col: str, k: int = 8, batch_si
     return centers, labels
 
 
+def _log_densities(x: np.ndarray, model: dict) -> np.ndarray:
+    """Weighted log densities (rows x components) of a full-covariance model."""
+    out = np.empty((len(x), len(model["weights"])))
+    for j, (w, m, c) in enumerate(zip(model["weights"], model["means"], model["covariances"])):
+        low = np.linalg.cholesky(c)
+        z = np.linalg.solve(low, (x - m).T)
+        out[:, j] = (np.log(max(w, 1e-300)) - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(low)).sum()
+                     - 0.5 * len(m) * np.log(2 * np.pi))
+    return out
+
+
+def _gmm_sums(model: dict):
+    """Per task: log likelihood (place 0) and, per component, weight, weighted
+    sums and products of the distances from its mean."""
+    def run(batches):
+        k, d = model["means"].shape
+        total, ll = np.zeros((k, 1 + d + d * d)), 0.0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.array(pdf["x"].tolist(), dtype=float)
+            lp = _log_densities(x, model)
+            top = lp.max(axis=1, keepdims=True)
+            den = top + np.log(np.exp(lp - top).sum(axis=1, keepdims=True))
+            ll += float(den.sum())
+            r = np.exp(lp - den)
+            for j in range(k):
+                off = x - model["means"][j]
+                total[j] += np.concatenate([[r[:, j].sum()], r[:, j] @ off, ((off * r[:, j:j + 1]).T @ off).ravel()])
+        yield pd.DataFrame({"at": np.arange(total.size + 1), "v": np.concatenate([[ll], total.ravel()])})
+    return run
+
+
+def _gmm_full(df: DataFrame, array_col: str, k: int, max_iter: int, seed: int, tol: float, ridge: float) -> dict:
+    ship_package(df.sparkSession)
+    x = F.col(array_col).cast("array<double>")
+    data = cut_lineage(df.select(x.alias("x")).where("x is not null"))
+    glob = data.select(array_to_vector("x").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), Summarizer.variance(F.col("v")).alias("var")).first()
+    n = glob["n"]
+    if n < k:
+        raise ValueError("fewer rows than components")
+    var = glob["var"].toArray()
+    d = len(var)
+    add = np.eye(d) * (ridge * float(var.mean()) or 1e-12)
+    mu = np.array(cluster_kmeans(with_vector(data, "x"), k, n_init=1, max_iter=20, seed=seed).clusterCenters())
+    if len(mu) < k:
+        raise ValueError("fewer distinct rows than components")
+    model = {"weights": np.full(k, 1.0 / k), "means": mu, "covariances": np.tile(np.diag(var) + add, (k, 1, 1))}
+    prev = None
+    for _ in range(max_iter):
+        sums = data.mapInPandas(_gmm_sums(model), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        flat = sums.sort_values("at")["v"].to_numpy()
+        ll, total = flat[0] / n, flat[1:].reshape(k, 1 + d + d * d)
+        means, covs = model["means"].copy(), model["covariances"].copy()
+        for j in range(k):
+            if total[j, 0] > 1e-9:  # a component without rows stays where it is
+                step = total[j, 1:1 + d] / total[j, 0]
+                means[j] += step
+                covs[j] = total[j, 1 + d:].reshape(d, d) / total[j, 0] - np.outer(step, step) + add
+        model = {"weights": total[:, 0] / total[:, 0].sum(), "means": means, "covariances": covs}
+        if prev is not None and abs(ll - prev) < tol:
+            break
+        prev = ll
+    return model
+
+
 def cluster_gmm(df: DataFrame, array_col: str, k: int = 8, covariance_type: str = "full",
-                max_iter: int = 100, seed: int = 42, tol: float = 1e-3):
-    """Gaussian mixture.  ``full``: ``pyspark.ml.clustering.GaussianMixture``.
+                max_iter: int = 100, seed: int = 42, tol: float = 1e-3, ridge: float = 1e-3):
+    """Gaussian mixture.  ``full``: EM with full covariances over all
+    coordinates, from k-means centres; its sufficient statistics are summed per
+    task with numpy and then by place (k x (1 + d + d^2) numbers reach the
+    driver).  ``ridge`` times the mean variance of the coordinates is added to
+    the diagonal of every covariance, so that fewer rows than coordinates, or
+    constant coordinates, leave it invertible; null vectors are left out of the
+    fit.  It ends when the mean log likelihood moves by less than ``tol``.
     ``diag`` / ``spherical`` / ``tied``: EM with diagonal covariances whose
     sufficient statistics (weighted sums of x and x^2 per component) are one
     aggregate per iteration; ``spherical`` averages the variances over
     dimensions, ``tied`` pools them over components (a diagonal tied
     covariance, an approximation of the full tied one)."""
     if covariance_type == "full":
-        v = with_vector(df, array_col)
-        return GaussianMixture(k=k, maxIter=max_iter, seed=seed, tol=tol).fit(v)
+        return _gmm_full(df, array_col, k, max_iter, seed, tol, ridge)
     if covariance_type not in ("diag", "spherical", "tied"):
         raise ValueError(f"unknown covariance_type {covariance_type!r}")
     x = F.col(array_col).cast("array<double>")
@@ -166,7 +238,19 @@ def cluster_gmm(df: DataFrame, array_col: str, k: int = 8, covariance_type: str
 
 
 def gmm_predict(df: DataFrame, array_col: str, model: dict) -> DataFrame:
-    """Most likely component under a diagonal model (expression, no UDF)."""
+    """Most likely component: under a diagonal model an expression without UDF,
+    under a full one a numpy function of the vector (null vector: null)."""
+    if "covariances" in model:
+        ship_package(df.sparkSession)
+
+        def best(xs: pd.Series) -> pd.Series:
+            out = pd.Series([None] * len(xs), dtype="Int32")
+            has = xs.notna().to_numpy()
+            if has.any():
+                out[has] = _log_densities(np.array(xs[has].tolist(), dtype=float), model).argmax(axis=1)
+            return out
+
+        return df.withColumn("cluster", F.pandas_udf(best, "int")(F.col(array_col).cast("array<double>")))
     df = df.withColumn("_gx", F.col(array_col).cast("array<double>"))
     logp = []
     for j in range(len(model["weights"])):

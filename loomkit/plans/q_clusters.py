@@ -67,11 +67,10 @@ def q_cluster_minibatch_kmeans(spark, sf):
 
 @register("cluster_gmm")
 def q_cluster_gmm(spark, sf):
-    # full covariances on the first 8 coordinates: 64 x 64 covariances from a
-    # few hundred rows are singular, which Spark's EM rejects
-    e = _emb(spark, sf).select("vec_id", F.slice("embedding", 1, 8).alias("embedding"))
+    e = _emb(spark, sf)
     m = C.cluster_gmm(e, "embedding", k=4, covariance_type="full", max_iter=10)
-    return m.summary.cluster.groupBy("prediction").count()
+    return C.cluster_counts(C.gmm_predict(e, "embedding", m)).select(F.col("cluster").alias("prediction"),
+                                                                     F.col("n").alias("count"))
 
 
 @register("cluster_gmm_diag")
