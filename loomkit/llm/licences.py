@@ -96,9 +96,9 @@ RULES = [
     ("proprietary", r",all_rights,"),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# a sentence with none of these fragments holds no known sentence
 HINT = ("licen|gpl|creative commons|cc by|cc0|permission|redistribution|warrant|as is|public domain|mozilla public"
         "|rights reserved|except in compliance|neither the name|general public|either version")
+LIKELY = HINT + "|bsd"  # a sentence with none of these fragments holds no known sentence
 
 
 def sentences(text: Column) -> Column:
@@ -133,7 +133,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by itself, a null id stays null, an empty table gives no rows, other
     columns of ``docs`` are ignored.
     """
-    likely = F.filter(sentences(F.coalesce(F.col(text_col), F.lit(""))), lambda s: F.regexp_like(s, F.lit(HINT)))
+    likely = F.filter(sentences(F.coalesce(F.col(text_col), F.lit(""))), lambda s: F.regexp_like(s, F.lit(LIKELY)))
     ids = F.filter(F.transform(likely, lambda s: _known(F.trim(s))), lambda s: s.isNotNull())
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("ids"))
     # separators are doubled, so that neighbouring rules need not share one

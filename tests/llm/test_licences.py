@@ -1,4 +1,6 @@
-from loomkit.llm.licences import scan_licences
+import re
+
+from loomkit.llm.licences import LIKELY, SENTENCES, scan_licences
 from tests.llm.helpers import docs_frame
 
 APACHE = """/*
@@ -39,3 +41,41 @@ def test_known_notices(spark):
     assert got == {i: w for i, _, w in CASES}
     assert {r.doc_id: r.unmatched for r in rows}[1] == ""
     assert scan_licences(docs_frame(spark, [])).count() == 0
+
+
+# one normalised example of every known sentence
+EXAMPLES = {
+    "spdx_apache2": "spdx license identifier apache 2.0", "spdx_mit": "spdx license identifier mit",
+    "spdx_bsd3": "spdx license identifier bsd 3 clause", "spdx_bsd2": "spdx license identifier bsd 2 clause",
+    "spdx_agpl3": "spdx license identifier agpl 3.0", "spdx_lgpl": "spdx license identifier lgpl",
+    "spdx_gpl3": "spdx license identifier gpl 3.0", "spdx_gpl2": "spdx license identifier gpl 2.0",
+    "spdx_mpl2": "spdx license identifier mpl 2.0", "apache2_under": "licensed under apache license 2.0",
+    "apache2_maynot": "you may not use it except in compliance with the license",
+    "apache2_copy": "you may obtain a copy of the license",
+    "apache2_asis": "distributed under the license is distributed on an as is basis",
+    "apache2_perms": "see the license for the specific language governing permissions",
+    "mit_under": "available under mit licence", "mit_name": "mit license",
+    "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy",
+    "mit_notice": "copyright notice and this permission notice shall be included in all copies",
+    "mit_asis": "the software is provided as is without warranty of any kind",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose",
+    "bsd_grant": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd_source": "redistributions of source code must retain",
+    "bsd_binary": "redistributions in binary form must reproduce",
+    "bsd_name": "neither the name of x may be used to endorse or promote", "bsd_under": "released under the 3 clause bsd",
+    "agpl3_under": "gnu affero general public license", "lgpl_under": "gnu library general public license",
+    "gpl3_later": "gplv3+", "gpl2_later": "gplv2+", "gpl3_under": "gpl v3", "gpl2_under": "gpl v2",
+    "gpl_under": "licensed under gpl", "gpl_either": "either version 2 of the license or",
+    "mpl2_under": "mozilla public license 2.0", "cc_by_nc_sa": "cc by nc sa", "cc_by_nc_nd": "cc by nc nd",
+    "cc_by_nc": "cc by nc", "cc_by_sa": "cc by sa", "cc_by_nd": "cc by nd", "cc_by": "cc by", "cc0": "cc0",
+    "unlicense": "free and unencumbered software released into the public domain",
+    "public_domain": "placed in the public domain", "all_rights": "all rights reserved"}
+
+
+def test_every_known_sentence_passes_the_filter(spark):
+    assert list(EXAMPLES) == [n for n, _ in SENTENCES]
+    for name, pattern in SENTENCES:
+        assert re.search(pattern, EXAMPLES[name]) and re.search(LIKELY, EXAMPLES[name]), name
+    texts = ["Released under the 3-clause BSD.", "Available under the BSD terms.", "Distributed under the new BSD."]
+    got = scan_licences(docs_frame(spark, list(enumerate(texts)))).collect()
+    assert [r.licences for r in got] == ["BSD"] * 3
