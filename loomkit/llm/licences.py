@@ -2,7 +2,7 @@
 
 A text is cut into sentences, each sentence normalised (ASCII lower case, runs
 of anything but letters, digits and ``.+-`` become one blank) and mapped to the
-identifier of a known licence sentence where it holds one.  The identifiers of
+identifiers of the known licence sentences it holds, by position.  The identifiers of
 a text, in order, are matched against ordered licence rules: a rule that
 matches names a licence and uses up its identifiers, so that a longer notice is
 taken before the sentences it is made of.
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Licence sentences (regular expressions over normalised text,
-# the first that is found names the sentence) and their identifiers.
+# of those that overlap in the text the first in this list counts) and their identifiers.
 SENTENCES = [
     ("spdx_apache2", r"spdx license identifier apache 2.0"),
     ("spdx_mit", r"spdx license identifier mit\b"),
@@ -104,37 +104,46 @@ LIKELY = HINT + "|bsd"  # a sentence with none of these fragments holds no known
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text.
 
-    A sentence ends at ``.``, ``!``, ``?``, ``;`` or ``:`` before white space,
-    at a blank line, and where a line's last word ends one; comment marks at
-    line starts are dropped, so a notice wrapped over lines is one sentence.
+    A sentence ends at ``.``, ``!``, ``?`` or ``;`` before white space, at a
+    blank line, and at a line end before an SPDX tag or a licence verb ("released
+    under"); comment marks at line starts are dropped, so a notice wrapped over
+    lines is one sentence.
     """
     t = F.translate(text, _UPPER, _LOWER)
     t = F.regexp_replace(t, r"\n[ \t]*(?:[/*#;%]+|--+|rem\b|dnl\b)[ \t]*", "\n")
-    t = F.regexp_replace(t, r"[.!?;][\"')]*[ \t\r\n]+|\n[ \t\r]*\n", "\u0001")
+    t = F.regexp_replace(t, r"[.!?;][\"')]*[ \t\r\n]+|\n[ \t\r]*\n"
+                         r"|\n[ \t]*(?=spdx-license-identifier|(?:released|licensed|distributed|available) under)", "\u0001")
     t = F.regexp_replace(t, r"[^a-z0-9.+\x01]+", " ")
     return F.split(t, "\u0001")
 
 
+# one private character for each identifier; normalised text has none of them
+_MARKS = {chr(0xE000 + i): name for i, (name, _) in enumerate(SENTENCES)}
+_MARK = "\ue000-\uf8ff"
+
+
 def _known(s: Column) -> Column:
-    found = None
-    for name, pattern in SENTENCES:
-        found = F.when(F.regexp_like(s, F.lit(pattern)), F.lit(name)) if found is None \
-            else found.when(F.regexp_like(s, F.lit(pattern)), F.lit(name))
-    return found
+    """Identifiers of all known sentences in ``s``, by position: in list order
+    each takes its places, which later ones cannot use again."""
+    for mark, (_, pattern) in zip(_MARKS, SENTENCES):
+        # a gap neither spans a place that is taken nor begins another GNU notice
+        s = F.regexp_replace(s, F.lit(pattern.replace(".*", f"(?:(?!gnu general public)[^{_MARK}])*?")), F.lit(mark))
+    names = F.create_map(*[F.lit(x) for pair in _MARKS.items() for x in pair])
+    return F.transform(F.regexp_extract_all(s, F.lit(f"([{_MARK}])"), F.lit(1)), lambda m: names[m])
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_sentences, sentence_ids, licences, unmatched)`` per document.
 
-    ``n_sentences`` counts licence sentences, ``sentence_ids`` names them in
-    order, ``licences`` the licences found (rule order, each once), separated by
+    ``n_sentences`` counts known licence sentences (several may stand in one
+    sentence of the text), ``sentence_ids`` names them in order, ``licences`` the licences found (rule order, each once), separated by
     commas, and ``unmatched`` the sentences no rule used; all are empty strings
     where there are none.  Null texts have none; repeated rows are scanned each
     by itself, a null id stays null, an empty table gives no rows, other
     columns of ``docs`` are ignored.
     """
     likely = F.filter(sentences(F.coalesce(F.col(text_col), F.lit(""))), lambda s: F.regexp_like(s, F.lit(LIKELY)))
-    ids = F.filter(F.transform(likely, lambda s: _known(F.trim(s))), lambda s: s.isNotNull())
+    ids = F.flatten(F.transform(likely, lambda s: _known(F.trim(s))))
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("ids"))
     # separators are doubled, so that neighbouring rules need not share one
     out = out.withColumn("rest", F.when(F.size("ids") > 0, F.concat(

@@ -79,3 +79,15 @@ def test_every_known_sentence_passes_the_filter(spark):
     texts = ["Released under the 3-clause BSD.", "Available under the BSD terms.", "Distributed under the new BSD."]
     got = scan_licences(docs_frame(spark, list(enumerate(texts)))).collect()
     assert [r.licences for r in got] == ["BSD"] * 3
+
+
+def test_several_licences_in_one_run(spark):
+    cases = [("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0", "spdx_mit,spdx_apache2", "Apache-2.0,MIT"),
+             ("Licensed under the MIT License or licensed under the Apache License, Version 2.0", "mit_under,apache2_under",
+              "Apache-2.0,MIT"),
+             ("MIT License\nReleased under the new BSD", "mit_name,bsd_under", "MIT,BSD"),
+             ("Licensed under the GPL v3", "gpl3_under", "GPL-3.0"), ("Under CC BY-NC-SA and CC0", "cc_by_nc_sa,cc0", "CC-BY-NC-SA,CC0"),
+             ("GNU General Public License version 2 or GNU General Public License version 3 or later", "gpl2_under,gpl3_later",
+              "GPL-3.0-or-later,GPL-2.0")]
+    got = scan_licences(docs_frame(spark, [(i, c[0]) for i, c in enumerate(cases)])).orderBy("doc_id").collect()
+    assert [(r.sentence_ids, r.licences) for r in got] == [c[1:] for c in cases]
