@@ -120,3 +120,74 @@ def op10(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     return read_back(format_branches(linear_replies(turns.unionByName(extra)), best=1))
+
+
+# long columns with nulls reach pandas as doubles; the SQL below casts them to the same
+_CRC_TABLE = """SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, x: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) r(i)"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 of ``text``, with ``t`` of ``_CRC_TABLE`` in scope."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode({text}))),
+    lambda pos: CAST('0x' || substr(hex(encode({text})), 2 * pos + 1, 2) AS BIGINT))),
+    lambda crc, byte: xor(crc >> 8, t[1 + (xor(crc, byte) & 255)])))"""
+
+
+@register("op12_conversation_trie", rf"""
+WITH tab AS ({_CRC_TABLE}),
+o AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+          md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+      FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {_crc32("CAST(c AS VARCHAR)")} % 4 AS h, c - c % 20 AS base FROM (SELECT DISTINCT c FROM o), tab),
+heads AS (SELECT ids.c, o.p, o.r, o.x FROM ids JOIN o ON o.c = ids.base AND o.p <= ids.h),
+m AS (SELECT ids.c, h, count(heads.p) AS m FROM ids LEFT JOIN heads USING (c) GROUP BY ALL),
+t AS (SELECT * FROM heads UNION ALL SELECT c, p - h + m, r, x FROM o JOIN m USING (c) WHERE p > h),
+k AS (SELECT c, p AS d, string_agg(md5(length(r) || ':' || r || x), '') OVER (PARTITION BY c ORDER BY p) AS k,
+        len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM t
+      UNION ALL SELECT c, 0, '', 0 FROM ids),
+last AS (SELECT c, max(d) AS n FROM k GROUP BY c),
+n AS (SELECT d, k, any_value(w) AS w, count(*) AS n_convs, min(c) AS conv_id,
+        string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d) AS ends
+      FROM k JOIN last USING (c) GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, substr(k, 1, CAST(32 * (d - 1) AS BIGINT)) AS k, count(*) AS n_children
+         FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, k)),
+below AS (SELECT k.d, k.k, sum((f.n_convs - 1) * f.w) AS saved, count(*) FILTER (f.n_children = 0) AS leaves
+          FROM f JOIN k ON k.c = f.conv_id AND k.d <= f.d GROUP BY k.d, k.k)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, CAST(up.conv_id AS DOUBLE) AS parent_conv_id, f.n_convs, f.n_children,
+  leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN below USING (d, k)
+LEFT JOIN n up ON f.d > 0 AND up.d = f.d - 1 AND up.k = substr(f.k, 1, CAST(32 * (f.d - 1) AS BIGINT))""")
+def op12(spark, sf):
+    from loomkit.llm.trie import ordered_turns, prefix_trie, shared_openings
+    return prefix_trie(shared_openings(ordered_turns(table(spark, sf, "conversations"))))
+
+
+@register("op13_spelling_variants", rf"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w
+         FROM documents),
+low AS (SELECT id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+        FROM runs WHERE length(w) >= 6 GROUP BY ALL),
+h AS (SELECT w, c, {_crc32("id || ':' || w")} AS h FROM low, tab),
+said AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word,
+           c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM said GROUP BY word HAVING length(word) >= 6 AND sum(c) >= 5),
+cut AS (SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT x.word, y.word AS near, y.n AS m FROM cut x JOIN cut y ON x.a || '*' || x.b = y.a || '*' || y.b
+           AND x.word <> y.word
+         UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON v.word = a || b
+         UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON v.word = a || b),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, near) AS form, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN form END AS form,
+        CASE WHEN m >= 5 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root, 0 AS step FROM f
+       UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, CAST(form_n AS DOUBLE) AS form_n
+FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word) USING (word)""")
+def op13(spark, sf):
+    from loomkit.llm.spelling import spelling_groups
+    return spelling_groups(table(spark, sf, "documents"))
