@@ -191,3 +191,9 @@ FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word) USI
 def op13(spark, sf):
     from loomkit.llm.spelling import spelling_groups
     return spelling_groups(table(spark, sf, "documents"))
+
+
+@register("op11_personal_data")
+def op11(spark, sf):
+    from loomkit.llm.pii import find_personal_data, span_digests
+    return span_digests(find_personal_data(table(spark, sf, "documents")))
