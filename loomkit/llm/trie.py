@@ -26,6 +26,7 @@ from loomkit.functions.prefix import prefix_sums
 from loomkit.llm.common import materialise
 
 SHARD, CHUNK = 4096, 64
+RANGES = 48  # ranges of the turn order, so many tasks share the largest conversation
 KEY = ["depth", "k1", "k2"]
 _TURN = "array<struct<depth:bigint,h1:bigint,h2:bigint,words:bigint>>"
 
@@ -47,9 +48,11 @@ def ordered_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"))
     once = materialise(told.groupBy("conv", "known", "turn", "digest")
                        .agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("c")), "turns")
-    placed = prefix_sums(once, ["known", "turn", "digest"], ["c"], prefix="before_", group_cols=["conv"])
-    return placed.select("conv", F.explode(F.sequence(F.col("before_c") + 1, F.col("before_c") + F.col("c")))
-                         .alias("pos"), "digest", "words")
+    placed = prefix_sums(once, ["known", "turn", "digest"], ["c"], prefix="before_", buckets=RANGES,
+                         group_cols=["conv"])
+    return materialise(placed.select(
+        "conv", F.explode(F.sequence(F.col("before_c") + 1, F.col("before_c") + F.col("c"))).alias("pos"),
+        "digest", "words"), "ordered")
 
 
 def whole_conversations(ordered: DataFrame) -> DataFrame:
