@@ -68,13 +68,16 @@ def audit_retention(log: DataFrame, now: Column, days: int = RETENTION_DAYS
 def audit_latency_summary(log: DataFrame, window: str = "1 hour", slide: str | None = None,
                           accuracy: int = 10000) -> DataFrame:
     """Per deployment and time window: count, mean latency, p50 / p95
-    (``percentile_approx``), error share (status >= 500)."""
+    (``percentile_approx``), error share (status >= 500).
+
+    The mean is one division of the sum: latencies of a decimal type are summed
+    exactly, doubles as doubles."""
     w = F.window("received_at", window, slide) if slide else F.window("received_at", window)
     g = log.groupBy("deployment_id", w.alias("w")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("latency_ms").alias("avg_latency"),
-        F.percentile_approx("latency_ms", 0.5, accuracy).alias("p50_latency"),
-        F.percentile_approx("latency_ms", 0.95, accuracy).alias("p95_latency"),
+        F.try_divide(F.sum("latency_ms").cast("double"), F.count("latency_ms")).alias("avg_latency"),
+        F.percentile_approx("latency_ms", 0.5, accuracy).cast("double").alias("p50_latency"),
+        F.percentile_approx("latency_ms", 0.95, accuracy).cast("double").alias("p95_latency"),
         F.avg((F.col("status_code") >= 500).cast("double")).alias("error_share"))
     return g.select("deployment_id", F.col("w.start").alias("window_start"),
                     F.col("w.end").alias("window_end"), "n", "avg_latency",

@@ -86,7 +86,12 @@ SELECT deployment_id, window_start, window_start + INTERVAL 1 HOUR AS window_end
   round(avg(CASE WHEN status_code >= 500 THEN 1.0 ELSE 0.0 END), 6) AS error_share
 FROM r GROUP BY deployment_id, window_start""", digits={"avg_latency": 4})
 def q_audit_latency_summary(spark, sf):
-    return LG.audit_latency_summary(audit_log(spark, sf), "1 hour")
+    return LG.audit_latency_summary(_hundredths(audit_log(spark, sf)), "1 hour")
+
+
+def _hundredths(log):
+    """Latencies are recorded in hundredths: as decimals their sums are exact."""
+    return log.withColumn("latency_ms", F.col("latency_ms").cast("decimal(18,2)"))
 
 
 @register("quota_fixed_window", f"""
@@ -230,7 +235,7 @@ def _latency_sql() -> str:
 @register("audit_latency_summary_stream", _latency_sql(), digits={"avg_latency": 4})
 def q_audit_latency_summary_stream(spark, sf):
     from loomkit.streaming.audit import latency_summary_stream, run_available
-    out = run_available(latency_summary_stream(_stream_log(spark, sf), "1 hour", "2 hours"),
+    out = run_available(latency_summary_stream(_hundredths(_stream_log(spark, sf)), "1 hour", "2 hours"),
                         "latency_summary", mode="update", keys=["deployment_id", "window_start"])
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
               .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
