@@ -1,10 +1,8 @@
 """Clustering: k-means (full and mini-batch), Gaussian mixtures, a two-phase
 agglomerative clustering, nearest-reference assignment and cluster counts.
 
-Distances are computed per row against a *bounded* set of centres (at most
-``k`` or the checked reference size), never between pairs of data rows.
-DBSCAN is not offered: its neighbourhood graph needs every pair of rows
-within ``eps``, which a group holding a third of the rows turns quadratic.
+Distances are computed per row against a bounded set of centres; searches
+against references of any size are in ``neighbours``, DBSCAN is in ``dbscan``.
 """
 
 from __future__ import annotations

@@ -96,3 +96,35 @@ def q_fit_knn(spark, sf):
     out = C.knn_predict(_queries(spark, sf), "embedding", _emb(spark, sf), "embedding",
                         "label", "vec_id", k=5)
     return out.select("vec_id", "prediction")
+
+
+def _plane(spark, sf):
+    """2-d points: balance and nation of every customer, each third customer
+    drawn together into one spot."""
+    c = load_table(spark, sf, "customer")
+    f = F.when(F.col("c_custkey") % 3 == 0, F.lit(0.001)).otherwise(F.lit(1.0))
+    return c.select("c_custkey", F.array(F.col("c_acctbal") * F.lit(0.01) * f, F.col("c_nationkey") * F.lit(1.5) * f)
+                    .alias("xy"))
+
+
+@register("cluster_dbscan", """
+WITH RECURSIVE p AS (SELECT c_custkey AS id, c_acctbal * 0.01::DOUBLE * f AS x, c_nationkey * 1.5::DOUBLE * f AS y
+  FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END AS f FROM customer)),
+e AS (SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a, p b
+      WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0),
+core AS (SELECT a AS id FROM e GROUP BY a HAVING count(*) >= 5),
+ce AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+cc AS (SELECT id, id AS label, 0 AS step FROM core
+       UNION ALL SELECT ce.a, min(cc.label), cc.step + 1 FROM cc JOIN ce ON ce.b = cc.id WHERE cc.step < 40
+       GROUP BY ce.a, cc.step),
+top AS (SELECT id, label FROM cc WHERE step = 40),
+num AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT label FROM top)),
+named AS (SELECT id, cluster FROM top JOIN num USING (label)),
+edge AS (SELECT e.a AS id, first(named.cluster ORDER BY e.d2, named.cluster) AS cluster
+         FROM e JOIN named ON named.id = e.b WHERE e.a NOT IN (SELECT id FROM core) GROUP BY e.a)
+SELECT p.id AS c_custkey, CAST(coalesce(named.cluster, edge.cluster, -1) AS BIGINT) AS cluster,
+  named.id IS NOT NULL AS core
+FROM p LEFT JOIN named ON named.id = p.id LEFT JOIN edge ON edge.id = p.id""")
+def q_cluster_dbscan(spark, sf):
+    from loomkit.operators.dbscan import cluster_dbscan
+    return cluster_dbscan(_plane(spark, sf), "xy", "c_custkey", eps=2.0, min_samples=5)
