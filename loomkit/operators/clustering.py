@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.session import cut_lineage, ship_package
+from loomkit.operators.neighbours import assign_nearest, knn_predict
+from loomkit.session import cut_lineage
 
-MAX_REFERENCE_ROWS = 200_000  # default bound of labelled rows shipped to every task
 
 
 def with_vector(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
@@ -320,50 +320,6 @@ def cluster_agglomerative(df: DataFrame, array_col: str, k: int = 2, linkage: st
              .drop("prediction", "features")
 
 
-def assign_nearest(df: DataFrame, array_col: str, reference: DataFrame, ref_array: str,
-                   ref_label: str, ref_id: str,
-                   max_reference_rows: int = MAX_REFERENCE_ROWS) -> DataFrame:
-    """Label each row with the label of its nearest reference row (euclidean;
-    ties -> smallest reference id).  The reference is size-checked (at most
-    ``max_reference_rows``) and shipped once as a broadcast numpy matrix; each
-    Arrow batch of rows is scored against it with numpy."""
-    spark = df.sparkSession
-    n_ref = reference.count()
-    if n_ref > max_reference_rows:
-        raise ValueError(f"reference has {n_ref} rows; nearest assignment ships at most "
-                         f"{max_reference_rows} (assign to cluster centres instead)")
-    ship_package(spark)
-    ref = reference.select(ref_id, ref_label, F.col(ref_array).cast("array<double>").alias("v")) \
-                   .orderBy(ref_id).toPandas()
-    mat = np.vstack(ref["v"].to_numpy()) if len(ref) else np.zeros((0, 1))
-    bc = spark.sparkContext.broadcast((mat, ref[ref_label].to_numpy(), ref[ref_id].to_numpy()))
-    out_schema = T.StructType(df.schema.fields + [
-        T.StructField("nearest_id", reference.schema[ref_id].dataType),
-        T.StructField("cluster", reference.schema[ref_label].dataType),
-        T.StructField("distance", T.DoubleType())])
-
-    def score(batches):
-        m, labels, ids = bc.value
-        for pdf in batches:
-            x = np.vstack(pdf[array_col].map(lambda a: np.asarray(a, float)).to_numpy()) \
-                if len(pdf) else np.zeros((0, m.shape[1]))
-            js, ds = [], []
-            step = max(1, int(4_000_000 // max(1, m.size)))  # rows per chunk, bounded memory
-            for a in range(0, len(x), step):
-                d2 = ((x[a:a + step, None, :] - m[None, :, :]) ** 2).sum(-1)
-                j = np.argmin(d2, axis=1)  # reference sorted by id: ties -> smallest id
-                js.append(j)
-                ds.append(np.sqrt(d2[np.arange(len(j)), j]))
-            j = np.concatenate(js) if js else np.zeros(0, int)
-            out = pdf.copy()
-            out["nearest_id"] = ids[j]
-            out["cluster"] = labels[j]
-            out["distance"] = np.concatenate(ds) if ds else np.zeros(0)
-            yield out
-
-    return df.mapInPandas(score, out_schema)
-
-
 def cluster_counts(labelled: DataFrame, cluster: str = "cluster") -> DataFrame:
     return labelled.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
 
@@ -374,54 +330,5 @@ def kmeans_labels(model, df: DataFrame, array_col: str) -> DataFrame:
 
 
 __all__ = ["cluster_kmeans", "cluster_minibatch_kmeans", "cluster_gmm", "gmm_predict",
-           "cluster_agglomerative", "assign_nearest", "cluster_counts", "kmeans_labels",
+           "cluster_agglomerative", "assign_nearest", "knn_predict", "cluster_counts", "kmeans_labels",
            "with_vector", "vector_to_array", "pd"]
-
-
-def knn_predict(df: DataFrame, array_col: str, reference: DataFrame, ref_array: str,
-                ref_label: str, ref_id: str, k: int = 5, weights: str = "uniform",
-                p: float = 2.0, max_reference_rows: int = MAX_REFERENCE_ROWS) -> DataFrame:
-    """k-nearest-neighbour vote against a size-checked reference set.
-
-    Minkowski distance of order ``p``; ``uniform`` or ``distance`` (1/d)
-    weights; ties in the vote -> smallest label; ties in distance -> smallest
-    reference id.  The reference (at most ``max_reference_rows`` rows) is
-    broadcast once; each Arrow batch is scored with numpy in bounded chunks."""
-    spark = df.sparkSession
-    n_ref = reference.count()
-    if n_ref > max_reference_rows:
-        raise ValueError(f"reference has {n_ref} rows; k-NN ships at most {max_reference_rows}")
-    ship_package(spark)
-    ref = reference.select(ref_id, ref_label, F.col(ref_array).cast("array<double>").alias("v")) \
-                   .orderBy(ref_id).toPandas()
-    mat = np.vstack(ref["v"].to_numpy())
-    bc = spark.sparkContext.broadcast((mat, ref[ref_label].to_numpy()))
-    label_type = reference.schema[ref_label].dataType
-    out_schema = T.StructType(df.schema.fields + [T.StructField("prediction", label_type)])
-    kk = min(k, len(ref))
-
-    def score(batches):
-        m, labels = bc.value
-        uniq = np.unique(labels)
-        for pdf in batches:
-            preds = []
-            if len(pdf):
-                x = np.vstack(pdf[array_col].map(lambda a: np.asarray(a, float)).to_numpy())
-                step = max(1, int(4_000_000 // max(1, m.size)))
-                for a in range(0, len(x), step):
-                    diff = np.abs(x[a:a + step, None, :] - m[None, :, :])
-                    d = (diff ** p).sum(-1) ** (1.0 / p)
-                    idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-                    for r in range(len(idx)):
-                        dd = d[r, idx[r]]
-                        w = np.ones(kk) if weights == "uniform" else 1.0 / np.maximum(dd, 1e-300)
-                        if weights != "uniform" and (dd == 0).any():
-                            w = (dd == 0).astype(float)
-                        votes = {u: w[labels[idx[r]] == u].sum() for u in uniq}
-                        best = max(votes.values())
-                        preds.append(min(u for u, v in votes.items() if v == best))
-            out = pdf.copy()
-            out["prediction"] = preds
-            yield out
-
-    return df.mapInPandas(score, out_schema)

@@ -15,9 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomkit.functions.prefix import dense_index
 from loomkit.session import cut_lineage, ship_package
 
 PIVOTS, BLOCK = 128, 4096
@@ -182,9 +185,68 @@ def nearest_rows(df: DataFrame, array_col: str, reference: DataFrame, ref_array:
         .where(_finite("x") & F.col("_id").isNotNull())
     same = Window.partitionBy("x").orderBy("_id")
     few = cut_lineage(rows.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k))
-    # equal vectors meet at their smallest id, whose order is that of the ids
-    vectors = cut_lineage(few.where("_n = 1").select("x", "_id", F.monotonically_increasing_id().alias("rid")))
-    found = nearest_vectors(asked, vectors.select("rid", "x"), k, p, pivots) if k else None
-    near = found.join(vectors.select("rid", "x"), "rid").join(few.select("x", "_id"), "x") \
-        .select("qid", F.col("_id").alias("rid"), "distance")
+    # equal vectors meet at their smallest id, so ties keep the order of the ids
+    vectors = few.where("_n = 1")
+    if isinstance(reference.schema[ref_id].dataType, T.IntegralType):
+        vectors = vectors.select("x", F.col("_id").cast("long").alias("rid"))
+    else:
+        vectors = vectors.join(dense_index(vectors, "_id", "rid"), "_id").select("x", "rid")
+    vectors = cut_lineage(vectors)
+    near = nearest_vectors(asked, vectors, k, p, pivots).join(vectors, "rid").drop("rid") \
+        .join(few.select("x", F.col("_id").alias("rid")), "x").select("qid", "rid", "distance")
     return asked, _top(near, k).withColumnRenamed("rid", ref_id)
+
+
+def assign_nearest(df: DataFrame, array_col: str, reference: DataFrame, ref_array: str, ref_label: str,
+                   ref_id: str) -> DataFrame:
+    """``df`` with ``nearest_id``, its label as ``cluster`` and the euclidean
+    ``distance`` of each row's nearest reference row (ties: the smaller id).
+
+    ``ref_id`` is unique.  Null for rows without a finite vector, and for all
+    rows where no reference has one."""
+    asked, near = nearest_rows(df, array_col, reference, ref_array, ref_id, 1)
+    labels = reference.select(F.col(ref_id).alias("nearest_id"), F.col(ref_label).alias("cluster"))
+    told = asked.join(near.select("qid", F.col(ref_id).alias("nearest_id"), "distance"), "qid") \
+        .join(labels, "nearest_id").select(F.col("x").alias("_nx"), "nearest_id", "cluster", "distance")
+    return df.withColumn("_qx", F.col(array_col).cast("array<double>")) \
+        .join(told, F.col("_qx") == F.col("_nx"), "left").drop("_qx", "_nx")
+
+
+def knn_predict(df: DataFrame, array_col: str, reference: DataFrame, ref_array: str, ref_label: str, ref_id: str,
+                k: int = 5, weights: str = "uniform", p: float = 2.0, regression: bool = False) -> DataFrame:
+    """``df`` with ``prediction``: vote (ties: the smallest label) or mean of the
+    ``k`` nearest reference rows, ties in distance to the smaller id.
+
+    ``weights``: ``uniform`` or ``distance`` (1 / d; where some neighbour has
+    distance 0, only such count).  Null for rows without a finite vector."""
+    if weights not in ("uniform", "distance"):
+        raise ValueError(f"weights={weights!r}")
+    asked, near = nearest_rows(df, array_col, reference, ref_array, ref_id, k, p)
+    told = near.join(reference.select(ref_id, F.col(ref_label).alias("_label")), ref_id)
+    zero = F.min("distance").over(Window.partitionBy("qid")) == 0
+    weight = F.lit(1.0) if weights == "uniform" else \
+        F.when(zero, (F.col("distance") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("distance")))
+    told = told.withColumn("_w", weight)
+    if regression:
+        said = told.groupBy("qid").agg((F.sum(F.col("_w") * F.col("_label")) / F.sum("_w")).alias("prediction"))
+    else:
+        votes = told.groupBy("qid", "_label").agg(F.sum("_w").alias("_v"))
+        said = votes.groupBy("qid").agg(F.min(F.struct((-F.col("_v")).alias("v"), F.col("_label").alias("l")))["l"]
+                                        .alias("prediction"))
+    told = asked.join(said, "qid").select(F.col("x").alias("_nx"), "prediction")
+    return df.withColumn("_qx", F.col(array_col).cast("array<double>")) \
+        .join(told, F.col("_qx") == F.col("_nx"), "left").drop("_qx", "_nx")
+
+
+class KnnModel:
+    """k-nearest-neighbour model over a ``features`` / ``label`` frame of any size."""
+
+    def __init__(self, train: DataFrame, hp: dict, regression: bool):
+        self.rows = cut_lineage(train.select(F.monotonically_increasing_id().alias("id"),
+                                             vector_to_array("features").alias("x"), "label"))
+        self.how = {"k": int(hp.get("n_neighbors", 5)), "weights": hp.get("weights", "uniform"),
+                    "p": float(hp.get("p", 2)), "regression": regression}
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        asked = df.withColumn("_features", vector_to_array("features"))
+        return knn_predict(asked, "_features", self.rows, "x", "label", "id", **self.how).drop("_features")

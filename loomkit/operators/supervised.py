@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from loomkit.functions.exprs import with_scalars
 
 from loomkit.operators import metrics as M
+from loomkit.operators.neighbours import KnnModel
 
 MAX_TREE_DEPTH = 30  # Spark's limit
 
@@ -372,7 +373,7 @@ def build_estimator(name: str, task: str, hp: dict, n: int, std_pop: float, std_
 
 CATALOG = ("linear", "ridge", "lasso", "elasticnet", "logistic", "svm", "decision_tree",
            "random_forest", "extra_trees", "gradient_boosting", "hist_gbm", "ada_boost", "mlp",
-           "naive_bayes", "xgboost", "lightgbm")
+           "naive_bayes", "xgboost", "lightgbm", "knn")
 
 
 def fit_model(name: str, task: str, train: DataFrame, val: DataFrame, hp: dict | None = None):
@@ -395,6 +396,8 @@ def fit_model(name: str, task: str, train: DataFrame, val: DataFrame, hp: dict |
         columns = [f"_f{i}" for i in range(len(train.select("features").first()[0]))]
         model = GaussianNbModel(fit_gaussian_nb(spread_features(train, columns), columns, "label",
                                                 float(hp.get("var_smoothing", 1e-9))), columns)
+    elif name == "knn":
+        model = KnnModel(train, hp, regression=not cls)
     elif name == "ada_boost" and not cls:
         model = fit_ada_r2(train, int(hp.get("n_estimators", 50)), float(hp.get("learning_rate", 1.0)))
     elif name == "ada_boost":

@@ -7,9 +7,13 @@ from loomkit.functions.graph import components
 from loomkit.operators.dbscan import cluster_dbscan
 
 
-def brute(x, ids, eps, least):
-    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
-    within = near <= eps * eps
+def brute(x, ids, eps, least, metric="euclidean"):
+    diff = x[:, None, :] - x[None, :, :]
+    near = np.abs(diff).sum(-1) if metric == "manhattan" else np.sqrt((diff ** 2).sum(-1))
+    if metric == "cosine":
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        near = ((unit[:, None, :] - unit[None, :, :]) ** 2).sum(-1) / 2
+    within = near <= eps
     core = within.sum(1) >= least
     label = np.full(len(x), -1)
     number = 0
@@ -44,6 +48,14 @@ def test_equals_brute_force(spark, d, eps, least, seed):
     assert len({c for c, _ in want.values()}) > 1 and (d > 3 or any(not k and c >= 0 for c, k in want.values()))
 
 
+@pytest.mark.parametrize("metric,eps", [("manhattan", 0.7), ("cosine", 0.0031)])
+def test_other_metrics(spark, metric, eps):
+    x = np.random.default_rng(6).normal(size=(150, 2))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "key long, v array<double>")
+    got = {r["key"]: (r["cluster"], r["core"]) for r in cluster_dbscan(df, "v", "key", eps, 4, metric).collect()}
+    assert got == brute(x, np.arange(len(x)), eps, 4, metric) and len(set(got.values())) > 2
+
+
 def test_two_hot_cells_a_gap_apart(spark):
     """Cells side by side with a third of the rows each, just within and just beyond eps."""
     rng = np.random.default_rng(9)
