@@ -201,3 +201,51 @@ def q_reco_nmf(spark, sf):
     pred = model.transform(t).withColumn(
         "prediction", F.coalesce(F.nanvl("prediction", F.lit(None)), F.lit(0.0)))
     return M.ratings(pred, "rating", "prediction")
+
+
+def _knn_sql(sim: str, k: int, min_k: int, user_based: bool = True) -> str:
+    """Neighbourhood predictions of the held-out pairs and of an unknown user."""
+    x, y = ("user_id", "item_id") if user_based else ("item_id", "user_id")
+    return f"""WITH {_SPLIT_SQL},
+r AS (SELECT user_id, item_id, max(rating) AS rating FROM tr GROUP BY user_id, item_id),
+asked AS (SELECT DISTINCT user_id, item_id FROM te UNION SELECT DISTINCT -1, item_id FROM te),
+s AS (SELECT p.{x} AS a, q.{x} AS b, count(*) AS n, sum(p.rating * q.rating) AS sxy, sum(p.rating * p.rating) AS sxx,
+        sum(q.rating * q.rating) AS syy, sum(p.rating) AS sx, sum(q.rating) AS sy,
+        sum((p.rating - q.rating) * (p.rating - q.rating)) AS sdd
+      FROM r p JOIN r q ON p.{y} = q.{y} WHERE p.{x} IN (SELECT {x} FROM asked) GROUP BY ALL),
+sims AS (SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE coalesce({sim}, 0.0) END AS sim FROM s),
+c AS (SELECT asked.user_id, asked.item_id, sim, rating,
+        row_number() OVER (PARTITION BY asked.user_id, asked.item_id ORDER BY sim DESC, b) AS rank
+      FROM asked JOIN r ON r.{y} = asked.{y} JOIN sims ON a = asked.{x} AND b = r.{x}),
+e AS (SELECT user_id, item_id, count(*) AS neighbours, sum(sim * rating) / sum(sim) AS p FROM c
+      WHERE rank <= {k} AND sim > 0 GROUP BY ALL)
+SELECT user_id, item_id, coalesce(neighbours, 0) AS neighbours, round(least(greatest(
+    CASE WHEN neighbours >= {min_k} THEN p ELSE (SELECT avg(rating) FROM r) END, (SELECT min(rating) FROM r)),
+    (SELECT max(rating) FROM r)), 6) AS prediction
+FROM asked LEFT JOIN e USING (user_id, item_id)"""
+
+
+def _knn(spark, sf, **how):
+    from loomkit.operators.reco_knn import reco_knn
+    train, test = ratings_split(spark, sf)
+    once = train.groupBy("user_id", "item_id").agg(F.max("rating").alias("rating"))
+    pairs = test.select("user_id", "item_id").unionByName(
+        test.select(F.lit(-1).cast("bigint").alias("user_id"), "item_id"))
+    return reco_knn(once, pairs, **how)
+
+
+@register("reco_knn", _knn_sql("CASE WHEN sxx * syy > 0 THEN sxy / sqrt(sxx * syy) END", 40, 1), digits=6)
+def q_reco_knn(spark, sf):
+    return _knn(spark, sf)
+
+
+@register("reco_knn_msd_items", _knn_sql("1 / (sdd / n + 1)", 5, 2, user_based=False), digits=6)
+def q_reco_knn_msd_items(spark, sf):
+    return _knn(spark, sf, k=5, min_k=2, sim="msd", user_based=False)
+
+
+@register("reco_knn_pearson", _knn_sql(
+    "CASE WHEN (n * sxx - sx * sx) * (n * syy - sy * sy) > 0 "
+    "THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) END", 3, 1), digits=6)
+def q_reco_knn_pearson(spark, sf):
+    return _knn(spark, sf, k=3, sim="pearson")
