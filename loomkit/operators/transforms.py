@@ -1,20 +1,24 @@
 """Per-column feature transforms: fit on train, apply to any frame.
 
 Each op contributes aggregate expressions; ``fit_ops`` evaluates the
-aggregates of *all* ops in ONE pass over the training frame (plus one pass for
-category lists when an encoder is present).  The fitted values are a handful
-of scalars and category lists, so applying the ops is a pure projection with
-literal constants: no join, no UDF, inside whole-stage codegen.
+aggregates of *all* ops in ONE pass over the training frame, plus one pass
+that builds the category dictionary of all encoders: a table of (column,
+value, code) of any size.  Ops with few categories are applied as literal
+constants in one projection; larger dictionaries are joined, and a one-hot of
+that size is one sparse vector column (``params["sparse"]`` forces either form).
 
 Semantics follow the scikit-learn defaults the reference relies on:
 population std with zero std -> 1, min-max with constant column -> range
-minimum, ``log1p`` with x < -1 -> NaN, one-hot with unknown/NULL -> all zeros
-and rare values pooled under ``min_frequency``, ordinal with unknown -> -1,
-mode ties -> smallest value.
+minimum, ``log1p`` with x < -1 -> NaN, mode ties -> smallest value.  A missing
+value (NULL or NaN) seen in training is a category of its own, the last one:
+one-hot gives it the column ``<c>_nan``, ordinal the ``encoded_missing_value``
+(NaN by default).  Unknown values are all zeros in one-hot and -1 in ordinal;
+under ``min_frequency`` rare values are pooled.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-MAX_CATEGORIES = 10_000
+LITERAL_CATEGORIES = 200  # up to here an encoder is a projection; beyond, a join with the same codes
+MISSING = "nan"  # fixed value: name of the missing category
 INFREQUENT = "infrequent_sklearn"  # fixed value: name of the pooled rare bucket
 
 
@@ -45,7 +50,9 @@ class ColumnOp:
     params: dict = field(default_factory=dict)
     key: str = ""
     stats: dict = field(default_factory=dict)
-    categories: list = field(default_factory=list)
+    categories: list = field(default_factory=list)  # values by code, None for the missing one; small dictionaries only
+    width: int = 0  # number of codes
+    dictionary: DataFrame | None = None  # (val, code) of a large one
 
     # ---- fitting -------------------------------------------------------
     def aggs(self, df: DataFrame) -> list[Column]:
@@ -114,13 +121,16 @@ class ColumnOp:
         if self.op == "one_hot":
             return self._one_hot()
         if self.op in ("ordinal", "label"):
-            unknown = p.get("unknown_value", -1)
-            m = F.create_map(*[e for i, v in enumerate(self.categories)
-                               for e in (F.lit(v), F.lit(float(i)))]) if self.categories \
-                else None
-            v = F.col(f"`{c}`").cast("string")
-            idx = m[v] if m is not None else F.lit(None).cast("double")
-            return [(c, F.coalesce(idx, F.lit(float(unknown))))]
+            unknown, missing = float(p.get("unknown_value", -1)), float(p.get("encoded_missing_value", "nan"))
+            if self.dictionary is not None:
+                code = F.col(self.code_column())
+                known = F.when(code.isNotNull() & self.value().isNull(), F.lit(missing)).otherwise(code)
+                return [(c, F.coalesce(known, F.lit(unknown)))]
+            pairs = [e for i, v in enumerate(self.categories) if v is not None for e in (F.lit(v), F.lit(float(i)))]
+            code = F.create_map(*pairs)[self.value()] if pairs else F.lit(None).cast("double")
+            if None in self.categories:
+                code = F.when(self.value().isNull(), F.lit(missing)).otherwise(code)
+            return [(c, F.coalesce(code, F.lit(unknown)))]
         if self.op == "date_features":
             out = []
             for name, e in date_parts(F.col(f"`{c}`")).items():
@@ -133,16 +143,47 @@ class ColumnOp:
             return out
         raise ValueError(f"unknown transform op: {self.op!r}")
 
+    def value(self) -> Column:
+        """The column as the dictionaries hold it: text, NULL where missing."""
+        v = F.col(f"`{self.column}`").cast("string")
+        return F.when(v != "NaN", v) if self.stats.get("floating") else v
+
+    def code_column(self) -> str:
+        return "_code_" + re.sub(r"[^0-9A-Za-z_]", "_", f"{self.key}_{self.column}")
+
     def _one_hot(self) -> list[tuple[str, Column]]:
-        c = self.column
-        v = F.col(f"`{c}`").cast("string")
-        cats = self.categories
-        rare = self.stats.get("rare", [])
-        out = [(f"{c}_{cat}", F.when(v == F.lit(cat), 1.0).otherwise(0.0)) for cat in cats]
+        c, v, rare = self.column, self.value(), self.stats.get("rare", [])
+        if self.dictionary is not None:
+            return [(f"{c}_onehot", F.col(f"`{self.code_column()}`"))]
+        hit = lambda cat: v.isNull() if cat is None else F.coalesce(v == F.lit(cat), F.lit(False))
+        out = [(f"{c}_{MISSING if cat is None else cat}", hit(cat).cast("double")) for cat in self.categories]
         if rare:
-            out.append((f"{c}_{INFREQUENT}", F.when(v.isin(rare), 1.0).otherwise(0.0)))
+            any_rare = hit(rare[0])
+            for cat in rare[1:]:
+                any_rare = any_rare | hit(cat)
+            out.append((f"{c}_{INFREQUENT}", any_rare.cast("double")))
         return out
 
+    def join_codes(self, df: DataFrame) -> DataFrame:
+        """``df`` with this op's code column: a left join on the value, NULL included."""
+        codes = self.dictionary.select(F.col("val").alias("_val"), F.col("code").cast("double").alias("_code"))
+        out = df.join(codes, self.value().eqNullSafe(F.col("_val")), "left").drop("_val")
+        if self.op != "one_hot":
+            return out.withColumnRenamed("_code", self.code_column())
+        # a code beyond the last is invalid to Spark's encoder: all zeros
+        from pyspark.ml.feature import OneHotEncoder
+        top = df.sparkSession.createDataFrame([(float(self.width - 1),)], "_code double")
+        model = OneHotEncoder(inputCols=["_code"], outputCols=[self.code_column()], handleInvalid="keep").fit(top)
+        return model.transform(out.fillna(float(self.width), ["_code"])).drop("_code")
+
+
+def with_codes(df: DataFrame, ops: list) -> DataFrame:
+    """``df`` with the code columns that the outputs of large encoders read."""
+    for op in ops:
+        if getattr(op, "dictionary", None) is not None:
+            df = op.join_codes(df)
+    return df
+
 
 def date_parts(ts: Column) -> dict[str, Column]:
     """year, month, day, dow (Mon=0), quarter, hour; NULL if unparseable."""
@@ -154,7 +195,8 @@ def date_parts(ts: Column) -> dict[str, Column]:
 
 
 def has_time_part(ts: Column) -> Column:
-    return (F.hour(ts) != 0) | (F.minute(ts) != 0) | (F.second(ts) != 0)
+    t = ts.try_cast("timestamp_ntz")
+    return (F.hour(t) != 0) | (F.minute(t) != 0) | (F.second(t) != 0)
 
 
 OPS = ("none", "passthrough", "standard_scale", "min_max", "log", "one_hot", "ordinal", "label",
@@ -196,39 +238,61 @@ def fit_ops(train: DataFrame, ops: list[ColumnOp]) -> list[ColumnOp]:
 
 
 def _fit_categories(train: DataFrame, enc: list[ColumnOp]) -> None:
-    """Sorted categories (and counts for min_frequency) of every encoded column.
+    """The dictionary of every encoded column: its distinct values, missing last,
+    with their position in sorted order (numbers as numbers, text as text).
 
-    One unpivot + group-by for all encoded columns; the result has one row per
-    (column, category) and is checked against ``MAX_CATEGORIES`` before it is
-    collected.
+    One unpivot, one group-by and one bucketed prefix sum for all columns; only
+    the sizes per column and the small dictionaries reach the driver.
     """
+    from loomkit.functions.prefix import prefix_sums
+    from loomkit.session import cut_lineage
+
     cols = sorted({op.column for op in enc})
-    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("val"))
+    numeric = {c: _isnum(train, c) for c in cols}
+    for op in enc:
+        op.stats["floating"] = isinstance(train.schema[op.column].dataType, (T.FloatType, T.DoubleType))
+    value = {op.column: op.value() for op in enc}
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), value[c].alias("val"),
+                               (value[c].try_cast("double") if numeric[c] else F.lit(0.0)).alias("num"))
                       for c in cols])
-    counts = (train.select(F.explode(pairs).alias("p")).select("p.*")
-                   .where(F.col("val").isNotNull())
-                   .groupBy("col", "val").agg(F.count(F.lit(1)).alias("n")))
-    rows = counts.limit(MAX_CATEGORIES * len(cols) + 1).collect()
-    if len(rows) > MAX_CATEGORIES * len(cols):
-        raise ValueError("too many categories to encode; use a hashing or ordinal encoder")
-    by_col: dict[str, list[tuple[str, int]]] = {}
-    for r in rows:
-        by_col.setdefault(r["col"], []).append((r["val"], r["n"]))
+    counts = cut_lineage(
+        train.select(F.explode(pairs).alias("p")).select("p.*").groupBy("col", "val")
+        .agg(F.max(F.coalesce("num", F.lit(0.0))).alias("num"), F.count(F.lit(1)).alias("n"))
+        .withColumn("missing", F.col("val").isNull().cast("int")).withColumn("text", F.coalesce("val", F.lit(""))))
+    totals = {r["col"]: (r["t"], r["c"]) for r in
+              counts.groupBy("col").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).collect()}
+
+    def coded(rows: DataFrame) -> DataFrame:
+        return prefix_sums(rows.withColumn("one", F.lit(1)), ["missing", "num", "text"], ["one"], prefix="at_",
+                           group_cols=["col"]).select("col", "val", F.col("at_one").alias("code"), "n")
+
+    plain = None
     for op in enc:
-        native = _isnum(train, op.column)  # numbers in numeric order, not as text
-        items = sorted(by_col.get(op.column, []), key=lambda x: (float(x[0]) if native else 0.0, x[0]))
+        total, size = totals.get(op.column, (0, 0))
         mf = op.params.get("min_frequency") if op.op == "one_hot" else None
-        if mf:
-            total = sum(n for _, n in items)
-            limit = mf * total if isinstance(mf, float) and mf < 1 else mf
-            op.categories = [v for v, n in items if n >= limit]
-            op.stats["rare"] = [v for v, n in items if n < limit]
+        limit = 0 if not mf else mf * total if isinstance(mf, float) and mf < 1 else mf
+        mine = F.col("col") == op.column
+        sparse = op.params.get("sparse", size > LITERAL_CATEGORIES)
+        if not sparse:
+            order = ["missing", "num", "text"]
+            rows = counts.where(mine).orderBy(*order).collect()
+            op.categories = [r["val"] for r in rows if r["n"] >= limit]
+            op.stats["rare"] = [r["val"] for r in rows if r["n"] < limit]
+            op.width = len(op.categories) + bool(op.stats["rare"])
+        elif not limit:
+            if plain is None:
+                plain = cut_lineage(coded(counts))
+            op.dictionary, op.width = plain.where(mine), size
         else:
-            op.categories = [v for v, _ in items]
+            often = cut_lineage(coded(counts.where(mine & (F.col("n") >= limit))))
+            op.width = often.count()
+            rare = counts.where(mine & (F.col("n") < limit)).select("col", "val", F.lit(op.width).alias("code"), "n")
+            op.dictionary, op.width = often.unionByName(rare), op.width + (op.width < size)
 
 
 def apply_ops(df: DataFrame, ops: list[ColumnOp], keep: list[str] | None = None) -> DataFrame:
     """Project the fitted ops (plus ``keep`` columns) onto any frame."""
+    df = with_codes(df, ops)
     cols = [F.col(f"`{c}`") for c in (keep or [])]
     names = []
     for op in ops:

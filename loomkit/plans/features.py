@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomkit.operators.transforms import ColumnOp, fit_ops
+from loomkit.operators.transforms import ColumnOp, fit_ops, with_codes
 
 # Default op per coarse type for columns no entry touches.
 DEFAULT_OP = {"numeric": "passthrough", "boolean": "passthrough", "categorical": "one_hot",
@@ -50,7 +50,7 @@ def plan_ops(transforms: list[dict], schema: dict[str, str]) -> tuple[list[Colum
     cat = [c for c in rest if schema[c] == "categorical"]
     dt = [c for c in rest if schema[c] == "datetime"]
     ops += [ColumnOp(c, "passthrough", {}, key="auto_passthrough") for c in num]
-    ops += [ColumnOp(c, "one_hot", {}, key="auto_onehot") for c in cat]
+    ops += [ColumnOp(c, "one_hot", {}, key="auto_onehot") for c in cat]  # code columns add the column's name
     ops += [ColumnOp(c, "date_features", {}, key=f"auto_datefeat_{c}") for c in dt]
     if not ops:
         raise ValueError("the feature plan keeps no column")
@@ -81,6 +81,7 @@ class FeatureModel(Transformer):
 
     def _transform(self, df: DataFrame, keep: list[str] | None = None,
                    assemble: bool = True, short_names: bool = False) -> DataFrame:
+        df = with_codes(df, self.ops)
         proj = df.select(*[F.col(c) for c in (keep or [])], *self.columns(short_names))
         if not assemble:
             return proj

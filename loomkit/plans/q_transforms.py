@@ -290,3 +290,38 @@ def q_build_feature_pipeline(spark, sf):
 @register("tf_defaults", _plan_sql(explicit=False))
 def q_tf_defaults(spark, sf):
     return _plan_query(spark, sf, [])
+
+
+# ---------------------------------------------------------------- categories of any number
+
+def _codes(spark, sf, op, params):
+    """Comments with gaps (every seventh row's is missing) as categories."""
+    o = load_table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("c"), F.col("o_custkey"))).alias("who"))
+    return TF.ColumnOp("who", op, params, key=f"0_{op}_who"), _train(o, "o_orderkey"), o
+
+
+_WHO_SQL = f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'c' || o_custkey END AS who FROM orders),
+n AS (SELECT who, count(*) AS n FROM o WHERE {sql_hash(42, 'o_orderkey')} < {TRAIN_CUT!r} GROUP BY who),
+i AS (SELECT who, row_number() OVER (ORDER BY who NULLS LAST) - 1 AS code FROM n)"""
+
+
+@register("tf_one_hot_sparse", _WHO_SQL + """
+SELECT o_orderkey, CAST((SELECT count(*) FROM n) AS BIGINT) AS width, CAST(coalesce(code, -1) AS BIGINT) AS hot_index
+FROM o LEFT JOIN i ON o.who IS NOT DISTINCT FROM i.who""")
+def q_tf_one_hot_sparse(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    op, train, o = _codes(spark, sf, "one_hot", {"sparse": True})
+    TF.fit_ops(train, [op])
+    out = TF.apply_ops(o, [op], keep=["o_orderkey"]).withColumn("v", vector_to_array("who_onehot"))
+    return out.select("o_orderkey", F.size("v").cast("bigint").alias("width"),
+                      (F.array_position("v", F.lit(1.0)) - 1).cast("bigint").alias("hot_index"))
+
+
+@register("tf_ordinal_large", _WHO_SQL + """
+SELECT o_orderkey, CASE WHEN o.who IS NULL THEN -2.0 ELSE CAST(coalesce(code, -1) AS DOUBLE) END AS who
+FROM o LEFT JOIN i ON o.who IS NOT DISTINCT FROM i.who""")
+def q_tf_ordinal_large(spark, sf):
+    op, train, o = _codes(spark, sf, "ordinal", {"sparse": True, "encoded_missing_value": -2})
+    TF.fit_ops(train, [op])
+    return TF.apply_ops(o, [op], keep=["o_orderkey"])
