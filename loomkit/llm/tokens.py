@@ -96,17 +96,17 @@ def _cut(ids: np.ndarray, size: np.ndarray, per_text: list[int]) -> list[np.ndar
 # The pre-tokenizer pattern of the vocabulary file, and the
 # one-to-one naming of bytes by printable characters of byte-level vocabularies.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-# a special-token string, a final sigma, and white space on which libraries differ
-_WHOLE = re.compile("<\\||[\u03a3\u1e9e\u0130\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff]")
+# a final sigma, and white space on which libraries differ
+_OTHER = "\u03a3\u1e9e\u0130\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff"
 
 
 @functools.cache
 def _unsettled() -> re.Pattern:
-    """``_WHOLE``, and the characters that are letters or numbers in one
+    """``_OTHER``, and the characters that are letters or numbers in one
     library's Unicode tables and unassigned in an older one's."""
     import sys
     import unicodedata
-    every = "".join(map(chr, range(128, sys.maxunicode + 1)))
+    every = "".join(map(chr, range(256, sys.maxunicode + 1)))
     new = [m for m in regex.finditer(r"[\p{L}\p{N}]", every) if unicodedata.category(m[0]) == "Cn"]
     spans, last = [], None
     for code in (ord(m[0]) for m in new):
@@ -115,7 +115,24 @@ def _unsettled() -> re.Pattern:
         else:
             spans.append([code, code])
         last = code
-    return re.compile(_WHOLE.pattern + "|[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]") if spans else _WHOLE
+    return re.compile("[" + _OTHER + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]")
+
+
+def _words_of(text: str) -> list[str] | None:
+    """Words of a text that may be cut at white space, None for one that may not."""
+    if "<|" in text:  # it may hold a special token's string
+        return None
+    try:
+        raw = text if text.isascii() else text.encode("latin-1")
+    except UnicodeEncodeError:  # each character once: the class is long
+        if _unsettled().search("".join(set(text))):
+            return None
+        import unicodedata
+        return unicodedata.normalize("NFC", text).lower().split()
+    # the first 256 characters are normalised as they are
+    if raw is not text and b"\x85" in raw or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return None
+    return text.lower().split()
 
 
 @functools.cache
@@ -162,15 +179,11 @@ class WordBpe:
         return flat, size
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        import unicodedata
         words: list[str] = []
         per_text, whole = [], {}
         for i, t in enumerate(texts):
-            if t.isascii() and not ("<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t):
-                w = t.lower().split()
-            elif not _unsettled().search(t):
-                w = unicodedata.normalize("NFC", t).lower().split()
-            else:
+            w = _words_of(t)
+            if w is None:
                 w = []
                 whole[i] = np.asarray(self.whole.encode(t, add_special_tokens=False).ids, np.int32)
             words += w
