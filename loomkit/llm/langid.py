@@ -8,7 +8,10 @@ Evidence on one document, combined as log odds over the languages:
   error rate that is counted: how often the text disagrees with a declaration;
 * address suffix and host: prior shares of languages, smoothed hierarchically
   (host towards suffix, suffix towards the corpus), from grouped sums of the
-  text posteriors.
+  text posteriors;
+* ``other``, the hypothesis that the text is none of the languages: every
+  trigram bucket alike, with a small prior.  No language's own text is less
+  likely under its model than under that one, but noise and foreign scripts are.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ TEMPER = 0.25       # weight of one trigram's log likelihood
 MAX_TRIGRAMS = 400  # evidence of a long text counts as that of so many trigrams
 STRENGTH = 20.0     # pseudo-counts of the hierarchical smoothing
 DOC_TRIGRAMS = 2000  # a longer document's counts are scaled to so many in training
+MIN_DOCUMENTS, MIN_TRIGRAMS = 10, 500  # evidence that makes a declared tag a language
+OTHER = 0.01        # prior of "none of the languages"
+BLOCK = 256         # languages whose model one pass holds (16 MB)
 
 
 def trigram_codes(text: str | None) -> np.ndarray:
@@ -53,48 +59,59 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in text_chunks(batches):
         for text, lang in zip(pdf["text"], pdf["declared"]):
             if lang is not None:
-                got = total.setdefault(lang, np.zeros(BUCKETS))
+                got = total.setdefault(lang, np.zeros(BUCKETS + 1))  # the last one counts documents
                 code = trigram_codes(text)
-                got += np.bincount(code, minlength=BUCKETS) * min(1.0, DOC_TRIGRAMS / max(1, len(code)))
+                got[:BUCKETS] += np.bincount(code, minlength=BUCKETS) * min(1.0, DOC_TRIGRAMS / max(1, len(code)))
+                got[BUCKETS] += len(code) > 0
     for lang, n in total.items():
         at = np.flatnonzero(n)
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
 
 
-def _likelihoods(langs: list[str], logp: np.ndarray):
+def _likelihoods(logp: np.ndarray, more: bool):
+    """Adds the weighted log likelihoods under the models ``logp``, and behind the
+    last block that of ``other``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release_tables()
         for pdf in text_chunks(batches):
             ll, grams = [], []
-            for text in pdf["text"]:
+            for text, before in zip(pdf["text"], pdf["ll"]):
                 code = trigram_codes(text)
                 grams.append(len(code))
                 weight = TEMPER * min(1.0, MAX_TRIGRAMS / max(1, len(code)))
-                ll.append(weight * logp[:, code].sum(axis=1))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "declared": pdf["declared"], "host": pdf["host"],
-                                "suffix": pdf["suffix"], "trigrams": grams, "ll": ll})
+                now = weight * logp[:, code].sum(axis=1, dtype=np.float64)
+                ll.append(np.concatenate([before, now] if more else
+                                         [before, now, [-weight * len(code) * np.log(BUCKETS)]]))
+            yield pdf.assign(trigrams=grams, ll=ll)
     return run
 
 
-def train(docs: DataFrame, min_share: float = 0.001) -> tuple[list[str], np.ndarray]:
-    """Languages and their log trigram shares, from all rows of ``(text, declared)``.
+def train(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_trigrams: int = MIN_TRIGRAMS
+          ) -> tuple[list[str], DataFrame]:
+    """Languages, and the trigram counts ``(lang, bucket, n)`` of all rows of
+    ``(text, declared)`` as a table.
 
     All trigrams of all rows count; those of a long document weigh less, so that
-    one with a wrong declaration cannot make up a language's model.
-    Declarations with under ``min_share`` of all trigrams are no language of
-    their own.  What travels to the driver is a table of languages x buckets.
+    one with a wrong declaration cannot make up a language's model.  A declared
+    tag is a language from ``min_documents`` documents and ``min_trigrams``
+    trigrams on, however large the rest of the table is.
     """
-    sums = docs.mapInPandas(_counts, "lang string, bucket int, n double") \
-        .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    by = materialise(sums, "trigrams")
-    size = by.groupBy("lang").agg(F.sum("n").alias("n"))
-    whole = size.agg(F.sum("n")).first()[0] or 0
-    langs = [r["lang"] for r in size.where(F.col("n") >= min_share * whole).orderBy("lang").collect()]
-    counts = np.full((len(langs), BUCKETS), 0.5)
-    if langs:
-        for r in by.where(F.col("lang").isin(langs)).toPandas().itertuples():
-            counts[langs.index(r.lang), r.bucket] += r.n
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True)) if langs else counts
+    by = materialise(docs.mapInPandas(_counts, "lang string, bucket int, n double")
+                     .groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    told = by.groupBy("lang").agg(F.sum(F.when(F.col("bucket") == BUCKETS, F.col("n"))).alias("docs"),
+                                  F.sum(F.when(F.col("bucket") < BUCKETS, F.col("n"))).alias("grams"))
+    langs = [r["lang"] for r in told.where((F.col("docs") >= min_documents) & (F.col("grams") >= min_trigrams))
+             .select("lang").orderBy("lang").collect()]
+    return langs, by.where(F.col("bucket") < BUCKETS)
+
+
+def model_of(counts: DataFrame, langs: list[str]) -> np.ndarray:
+    """Smoothed log trigram shares of at most ``BLOCK`` languages."""
+    rows = counts.where(F.col("lang").isin(langs)).toPandas()
+    n = np.full((len(langs), BUCKETS), 0.5)
+    at = {x: i for i, x in enumerate(langs)}
+    np.add.at(n, (rows["lang"].map(at).to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)), rows["n"].to_numpy())
+    return np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _softmax(ll: Column) -> Column:
@@ -114,8 +131,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     ``declared`` is the markup language, ``url`` an address (its host and host
     suffix are used), ``host`` a host or source given directly.  A document is
-    kept if its best language has at least ``min_posterior``.  Null or
-    letterless texts carry no text evidence: language ``und``, not kept.  A null
+    kept if its best language has at least ``min_posterior``.  A text that is
+    rather none of the languages is ``und`` and not kept.  Null or letterless
+    texts carry no text evidence: language ``und``, not kept.  A null
     declaration, url or host adds none.  Repeated rows are judged each by
     itself; an empty table gives no rows; other columns are ignored.
     """
@@ -128,16 +146,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
         F.nullif(tag, F.lit("")).alias("declared"), F.coalesce(host, F.lit("")).alias("host"),
         F.coalesce(suffix, F.lit("")).alias("suffix")))
-    langs, logp = train(src.select("text", "declared"))
+    langs, counts = train(src.select("text", "declared"))
     k = len(langs)
     if not k:
         return src.select("doc_id", F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"),
                           F.lit("und").alias("text_lang"), "declared", F.lit(False).alias("kept"))
-    seen = materialise(src.mapInPandas(
-        _likelihoods(langs, logp), "doc_id long, declared string, host string, suffix string, "
-                                   "trigrams long, ll array<double>"), "likelihoods")
-    names = F.array(*[F.lit(x) for x in langs])
-    post = seen.withColumn("text_post", F.when(F.col("trigrams") > 0, _softmax(F.col("ll"))))
+    ll = src.withColumn("trigrams", F.lit(0).cast("long")).withColumn("ll", F.array().cast("array<double>"))
+    for i in range(0, k, BLOCK):
+        ll = ll.mapInPandas(_likelihoods(model_of(counts, langs[i:i + BLOCK]), i + BLOCK < k), ll.schema)
+    seen = materialise(ll.drop("text"), "likelihoods")
+    names = F.array(*[F.lit(x) for x in [*langs, "und"]])  # the last one is none of them
+    even = F.array(*[F.lit(float(np.log(p))) for p in [(1 - OTHER) / k] * k + [OTHER]])
+    post = seen.withColumn("text_post", F.when(F.col("trigrams") > 0, _softmax(
+        F.zip_with("ll", even, lambda a, b: a + b))))
     told = post.where("text_post is not null")
 
     # how far declarations are to be trusted: agreement with the text, smoothed
@@ -159,19 +180,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     priors = by_host.join(by_suffix, "suffix").select(
         "suffix", "host", smooth(F.col("host_sum"), smooth(F.col("suffix_sum"), share)).alias("prior"))
     said = F.array(*[F.when(F.col("declared").isin(langs), F.when(F.col("declared") == x, float(say[0]))
-                            .otherwise(float(say[1]))).otherwise(0.0) for x in langs])
+                            .otherwise(float(say[1]))).otherwise(0.0) for x in langs],
+                   F.when(F.col("declared").isin(langs), F.lit(float(-np.log(k)))).otherwise(0.0))
     fused = post.join(priors, ["suffix", "host"], "left").withColumn("fused", _softmax(F.zip_with(
-        F.zip_with("ll", said, lambda a, b: a + b), F.coalesce("prior", share), lambda a, p: a + F.log(p))))
+        F.zip_with("ll", said, lambda a, b: a + b), F.concat(
+            F.transform(F.coalesce("prior", share), lambda p: p * F.lit(1 - OTHER)), F.array(F.lit(OTHER))),
+        lambda a, p: a + F.log(p))))
 
     def best(p: str) -> Column:
         return F.element_at(names, F.array_position(F.col(p), F.array_max(p)).cast("int"))
 
     has = F.col("trigrams") > 0
+    told_one = F.array_position("fused", F.array_max("fused")) <= k
     top = F.when(has, F.array_max("fused")).otherwise(0.0)
     return fused.select(
         "doc_id", F.when(has, best("fused")).otherwise("und").alias("lang"), top.alias("posterior"),
         F.when(has, best("text_post")).otherwise("und").alias("text_lang"), "declared",
-        (has & (top >= min_posterior)).alias("kept"))
+        (has & told_one & (top >= min_posterior)).alias("kept"))
 
 
 def page_language(html: Column) -> Column:
