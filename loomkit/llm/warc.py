@@ -2,13 +2,16 @@
 
 Writing: one gzip member per record, with the standard's skip-length extra
 field ("sl": compressed and uncompressed size of the member).  Every task rolls
-its own files in the target folder and reports them; the commit writes a
-manifest, so files of failed or repeated tasks are never read.
+its own files in the target folder and reports them; each job's commit writes a
+manifest of its own, so files of failed or repeated tasks are never read and
+later jobs add to a folder.  Which payloads repeat is decided on digests alone.
 
 Reading: the driver plans file partitions by size.  A task inflates the head of
 a member only as far as the blank line behind its headers, tests the pushed
 predicates on record type and headers, and jumps over members that do not
-match; a payload is inflated and decoded only where it is asked for.
+match; a payload is inflated and decoded only where it is asked for.  Archives
+of other writers are read as well: members without the extra field, plain
+``.warc`` files, other charsets, revisits of records that are not pages here.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -34,11 +38,13 @@ from pyspark.sql.datasource import (
 from loomkit.llm.common import materialise, shared_path, spread, text_chunks
 
 SCHEMA = ("record_type string, record_id string, page_id long, url string, refers_to long, "
-          "payload_bytes long, payload_digest string, payload string")
-MANIFEST = "_manifest.json"
+          "payload_bytes long, payload_digest string, payload string, refers_to_id string")
+MANIFEST = "_manifest"  # the first part of each job's manifest name
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 FILE_BYTES, PARTITION_BYTES, HEAD_BYTES = 64 << 20, 64 << 20, 4096
 DATE = "1970-01-01T00:00:00Z"  # archives of the same rows are the same bytes
+SALTS = 16  # tasks that share the copies of one payload
+_PAGES = uuid.UUID("a0b1c2d3-0000-5000-8000-000000000001")  # fixed value: name space of record ids
 
 
 def payload_digest(payload: bytes) -> str:
@@ -53,8 +59,9 @@ def _fs(path: str):
     return fs.LocalFileSystem(), path
 
 
-def _urn(page_id) -> str:
-    return f"<urn:page:{page_id}>"
+def record_id(page_id, record_type: str = "response") -> str:
+    """A page's record id: the same in every archive, so that revisits resolve."""
+    return str(uuid.uuid4() if page_id is None else uuid.uuid5(_PAGES, f"{record_type}:{page_id}"))
 
 
 def record(row: dict) -> bytes:
@@ -70,7 +77,9 @@ def record(row: dict) -> bytes:
         head.append(("WARC-Target-URI", "".join(f"%{ord(c):02X}" if ord(c) < 33 else c for c in row["url"])))
     if row["record_type"] == "revisit":
         head.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-        head.append(("WARC-Refers-To", _urn(row["refers_to"])))
+        head.append(("WARC-Refers-To", f"<urn:uuid:{row['refers_to_id']}>"))
+        if row["refers_to"] is not None:
+            head.append(("X-Refers-To-Page", row["refers_to"]))
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
     return text.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
@@ -91,8 +100,8 @@ class Files(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         self.limit = int(options.get("fileBytes", FILE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Files:
@@ -120,8 +129,11 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
         files = sorted(f for m in messages if m for f in m.files)
-        with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
+        before = _manifests(fs, root) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(files).encode())
+        for name in before:
+            fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list) -> None:
         fs, root = _fs(self.path)
@@ -130,6 +142,12 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{root}/{name}")
 
 
+def _manifests(fs, root: str) -> list[str]:
+    from pyarrow import fs as pafs
+    return [i.base_name for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+            if i.base_name.startswith(MANIFEST) and i.base_name.endswith(".json")]
+
+
 class FilePart(InputPartition):
     def __init__(self, files: list):
         self.files = files
@@ -138,7 +156,7 @@ class FilePart(InputPartition):
 # header of each column, for predicates that can be tested before the payload
 _HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "page_id": "x-page-id",
             "url": "warc-target-uri", "payload_bytes": "x-payload-length", "payload_digest": "warc-payload-digest",
-            "refers_to": "warc-refers-to"}
+            "refers_to": "x-refers-to-page", "refers_to_id": "warc-refers-to"}
 
 
 class WarcReader(DataSourceReader):
@@ -167,12 +185,13 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs as pafs
         fs, root = _fs(self.path)
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-                files = json.loads(f.read())
-        else:  # archives of another writer
+        files = []
+        for name in (jobs := _manifests(fs, root)):
+            with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
+                files += json.loads(f.read())
+        if not jobs:  # archives of another writer
             files = [[i.base_name, i.size] for i in fs.get_file_info(pafs.FileSelector(root))
-                     if i.base_name.endswith(".warc.gz")]
+                     if i.base_name.endswith((".warc.gz", ".warc"))]
         parts, size = [], 0
         for name, n in sorted(files, key=lambda f: -f[1]):
             if not parts or size + n > self.part_bytes:
@@ -205,22 +224,54 @@ class WarcReader(DataSourceReader):
 
 
 def _columns(head: dict) -> dict:
-    number = lambda x: None if x is None else int(x)
-    refers = head.get("warc-refers-to")
-    return {"record_type": head.get("warc-type"),
-            "record_id": head.get("warc-record-id", "").removeprefix("<urn:uuid:").removesuffix(">") or None,
+    number = lambda x: int(x) if x is not None and re.fullmatch("-?[0-9]+", x) else None
+    bare = lambda x: (x or "").removeprefix("<").removesuffix(">").removeprefix("urn:uuid:") or None
+    return {"record_type": head.get("warc-type"), "record_id": bare(head.get("warc-record-id")),
             "page_id": number(head.get("x-page-id")), "url": head.get("warc-target-uri"),
-            "refers_to": None if refers is None else int(refers.removeprefix("<urn:page:").removesuffix(">")),
+            "refers_to": number(head.get("x-refers-to-page")), "refers_to_id": bare(head.get("warc-refers-to")),
             "payload_bytes": number(head.get("x-payload-length")),
             "payload_digest": (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
             "payload": None}
 
 
 def _headers(raw: bytes) -> dict:
-    lines = raw.decode("utf-8", "surrogatepass").split("\r\n")
+    lines = _text(raw, "utf-8").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
+def _text(raw: bytes, charset: str) -> str:
+    """Bytes as text: by UTF-8 or the declared charset, else byte by byte."""
+    for name in (charset, "utf-8"):
+        try:
+            return raw.decode(name, "surrogatepass" if name == "utf-8" else "strict")
+        except (UnicodeError, LookupError):
+            continue
+    return raw.decode("latin-1")
+
+
+def plain_records(f, at: int, wanted, payload: bool) -> Iterator[dict]:
+    """Records of an uncompressed archive; blocks that are not wanted are skipped."""
+    end = f.size()
+    while at < end:
+        f.seek(at)
+        raw = b""
+        while b"\r\n\r\n" not in raw and (more := f.read(HEAD_BYTES)):
+            raw += more
+        if not raw.strip():
+            return
+        skip = len(raw) - len(raw.lstrip(b"\r\n"))
+        head = raw[skip:].partition(b"\r\n\r\n")[0]
+        fields = _headers(head)
+        start, size = at + skip + len(head) + 4, int(fields.get("content-length", 0))
+        row = _columns(fields)
+        if wanted(row):
+            if payload and row["record_type"] == "response":
+                f.seek(start)
+                row = _with_payload(row, fields, f.read(size))
+            yield row
+        at = start + size
+
+
 def records(f, wanted, payload: bool) -> Iterator[dict]:
     """Records of one archive whose header columns pass ``wanted``; the payload
     of a response is decoded, and held against its digest, if ``payload``."""
@@ -229,6 +280,9 @@ def records(f, wanted, payload: bool) -> Iterator[dict]:
         f.seek(at)
         data = f.read(HEAD_BYTES)
         flags = data[3]
+        if data.lstrip(b"\r\n")[:5] == b"WARC/":
+            yield from plain_records(f, at, wanted, payload)
+            return
         if data[:3] != b"\x1f\x8b\x08":
             raise ValueError("not a gzip member")
         start, size = 10, None
@@ -275,10 +329,12 @@ def _with_payload(row: dict, head: dict, rest: bytes) -> dict:
     if row["record_type"] != "response":
         return row
     block = rest[:int(head["content-length"])]
-    body = block.partition(b"\r\n\r\n")[2]
-    if row["payload_digest"] and payload_digest(body) != row["payload_digest"]:
+    http, _, body = block.partition(b"\r\n\r\n")
+    if "x-payload-length" in head and payload_digest(body) != row["payload_digest"]:
         raise ValueError(f"record {row['record_id']}: the payload does not have its digest")
-    return row | {"payload": body.decode("utf-8", "surrogatepass")}
+    said = re.search(rb"(?i)content-type:[^\r\n]*charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", http)
+    size = row["payload_bytes"] if row["payload_bytes"] is not None else len(body)
+    return row | {"payload": _text(body, said[1].decode().lower() if said else "utf-8"), "payload_bytes": size}
 
 
 class WarcSource(DataSource):
@@ -295,7 +351,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def enable(spark: SparkSession) -> None:
@@ -304,22 +360,16 @@ def enable(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in text_chunks(batches, "html"):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["html"]]
-        yield pd.DataFrame({
-            "page_id": pdf["page_id"], "url": pdf["url"], "payload_bytes": [len(x) for x in raw],
-            "payload_digest": [payload_digest(x) for x in raw], "packed": [zlib.compress(x, 1) for x in raw]})
-
-
-def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        kept = pdf["packed"].where(pdf["record_type"] == "response", None)
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in text_chunks(batches, "payload"):
+        first = [None if pd.isna(x) else int(x) for x in pdf["refers_to"]]
+        ids = [None if pd.isna(x) else int(x) for x in pdf["page_id"]]
         yield pd.DataFrame({
-            "record_type": pdf["record_type"], "record_id": pdf["record_id"],
-            "page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "refers_to": pdf["refers_to"].astype("Int64"),
-            "payload_bytes": pdf["payload_bytes"], "payload_digest": pdf["payload_digest"],
-            "payload": [None if x is None else zlib.decompress(x).decode("utf-8", "surrogatepass") for x in kept]})
+            "record_type": pdf["record_type"], "record_id": list(map(record_id, ids, pdf["record_type"])),
+            "page_id": pd.array(ids, "Int64"), "url": pdf["url"], "refers_to": pd.array(first, "Int64"),
+            "payload_bytes": pdf["payload_bytes"],
+            "payload_digest": [base64.b32encode(bytes.fromhex(x)).decode() for x in pdf["sha"]],
+            "payload": pdf["payload"], "refers_to_id": [None if x is None else record_id(x) for x in first]})
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
@@ -329,25 +379,28 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     A null html is an empty payload.  Rows with a null id are responses unless
     their payload has a row with an id; rows that repeat the largest id are all
-    responses.  A null url gives no target address; white space in one is
+    responses, under the one record id of that page.  A null url gives no target address; white space in one is
     percent-encoded.  An empty table gives an archive without records.
     """
     spark = pages.sparkSession
     enable(spark)
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     src = spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                              F.col(html_col).cast("string").alias("html")))
-    packed = materialise(src.mapInPandas(
-        _digests, "page_id long, url string, payload_bytes long, payload_digest string, packed binary"), "payloads")
-    first = packed.where(F.col("payload_bytes") >= min_revisit_bytes) \
-        .groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")) \
-        .where("n > 1 and first is not null").drop("n")
-    revisit = (F.col("payload_bytes") >= min_revisit_bytes) & F.coalesce(
-        ~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
-    rows = packed.join(first, "payload_digest", "left").select(
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.expr("uuid()").alias("record_id"), "page_id", "url", F.when(revisit, F.col("first")).alias("refers_to"),
-        "payload_bytes", "payload_digest", F.when(~revisit, F.col("packed")).alias("packed"))
-    rows.mapInPandas(_unpacked, SCHEMA).write.format("warc").mode("append").option("path", path).save()
+                              html.alias("html"))) \
+        .select("*", F.octet_length("html").cast("long").alias("payload_bytes"),
+                F.sha1(F.col("html").cast("binary")).alias("sha"))
+    # payloads that repeat, by digest; written first, so that a small table is broadcast by its size
+    first = materialise(
+        src.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("sha")
+        .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+        .select("first", "sha", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "repeated")
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    rows = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")) \
+        .join(first, ["sha", "salt"], "left").select(
+            F.when(revisit, "revisit").otherwise("response").alias("record_type"), "page_id", "url",
+            F.when(revisit, F.col("first")).alias("refers_to"), "payload_bytes", "sha",
+            F.when(~revisit, F.col("html")).alias("payload"))
+    rows.mapInPandas(_rows, SCHEMA).write.format("warc").mode("append").option("path", path).save()
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
