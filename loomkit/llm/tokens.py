@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Callable
 from itertools import chain
 
@@ -18,7 +19,7 @@ import numpy as np
 import regex
 
 MAX_WORDS = 450_000  # entries per worker; a full table is cleared and refilled
-MAX_PIECES = 300_000
+MAX_PIECES = 700_000  # pieces of words, held as packed ids
 
 
 def vocabulary_path(name: str) -> str:
@@ -46,7 +47,7 @@ class WordTable:
     ``encode`` maps words to their ids in one flat list, and the count of each.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[list[int], list[int]]], max_words: int = MAX_WORDS):
+    def __init__(self, encode: Callable[[list[str]], tuple], max_words: int = MAX_WORDS):
         self.encode, self.max_words = encode, max_words
         self.clear()
 
@@ -150,33 +151,33 @@ class WordBpe:
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.table = WordTable(self._words)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         if not (piece.isascii() and piece.isprintable()):
             piece = piece.encode().decode("latin-1").translate(_byte_names())
-        return [t.id for t in self.model.tokenize(piece)]
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def _words(self, words: list[str]) -> tuple[list[int], list[int]]:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
-        flat, size, known = [], [], self.pieces
+        parts, known = [], self.pieces
         for w in words:
-            n = len(flat)
             if w.isalpha():
                 found = (w,)
             elif w[-1] in ",." and w[:-1].isalpha():  # most of the rest
                 found = (w[:-1], w[-1])
             else:
                 found = _PIECES.findall(w)
+            ids = b""
             for p in found:
                 got = known.get(p)
                 if got is None:
                     got = known[p] = self._piece(p)
-                flat += got
-            size.append(len(flat) - n)
-        return flat, size
+                ids += got
+            parts.append(ids)
+        return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words: list[str] = []
