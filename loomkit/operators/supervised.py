@@ -32,6 +32,7 @@ from loomkit.functions.exprs import with_scalars
 
 from loomkit.operators import metrics as M
 from loomkit.operators.neighbours import KnnModel
+from loomkit.operators.trees import ForestModel, fit_boosting, fit_extra_trees
 
 MAX_TREE_DEPTH = 30  # Spark's limit
 
@@ -285,28 +286,23 @@ def _tree_params(hp: dict) -> dict:
 BOOSTING = {
     "gradient_boosting": {"n_estimators": 100, "max_depth": 3},
     "hist_gbm": {"n_estimators": 100, "max_depth": 3},
-    "lightgbm": {"n_estimators": 200, "num_leaves": 31, "max_depth": -1, "min_child_samples": 20},
+}
+SECOND_ORDER = {
+    "lightgbm": {"n_estimators": 200, "num_leaves": 31, "max_depth": -1, "min_child_samples": 20,
+                 "min_child_weight": 1e-3, "reg_lambda": 0.0},
     "xgboost": {"n_estimators": 200, "max_depth": 6},
 }
 
 
 def _boosting(name: str, cls: bool, hp: dict, n_classes: int):
-    """Spark's gradient-boosted trees under a catalog entry's parameters.
-
-    ``num_leaves`` bounds the depth where ``max_depth`` does not (trees grow by
-    level here); penalties and column sampling have no counterpart and warn.
-    """
+    """Spark's gradient-boosted trees under a catalog entry's parameters."""
     p = {**BOOSTING[name], **hp}
-    for key, neutral in (("reg_alpha", 0.0), ("reg_lambda", 1.0), ("colsample_bytree", 1.0)):
-        if float(p.get(key, neutral)) != neutral:
-            warnings.warn(f"{key}={p[key]} has no effect on Spark's boosted trees", stacklevel=4)
     depth = int(p.get("max_depth") or 3)
-    if depth < 1:
-        depth = math.ceil(math.log2(max(2, int(p["num_leaves"])))) if "num_leaves" in p else MAX_TREE_DEPTH
+    depth = depth if depth >= 1 else MAX_TREE_DEPTH
     made = {"maxIter": int(hp.get("max_iter", p["n_estimators"])), "stepSize": float(p.get("learning_rate", 0.1)),
             "maxDepth": min(depth, MAX_TREE_DEPTH), "subsamplingRate": float(p.get("subsample", 1.0)),
-            "minInstancesPerNode": int(p.get("min_child_samples", p.get("min_samples_leaf", 1)))}
-    if name != "gradient_boosting":  # the histogram learners bin finely
+            "minInstancesPerNode": int(p.get("min_samples_leaf", 1))}
+    if name == "hist_gbm":  # bins finely
         made["maxBins"] = 255
     if not cls:
         return GBTRegressor(**made)
@@ -314,6 +310,19 @@ def _boosting(name: str, cls: bool, hp: dict, n_classes: int):
     return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
 
 
+def _second_order(name: str, cls: bool, hp: dict, n_classes: int, train: DataFrame) -> ForestModel:
+    objective = "regression" if not cls else "binary" if n_classes <= 2 else "multiclass"
+    return fit_boosting(train, objective, {**SECOND_ORDER[name], **hp})
+
+
+def _extra_trees(cls: bool, hp: dict, train: DataFrame) -> ForestModel:
+    depth = hp.get("max_depth")
+    return fit_extra_trees(train, cls, int(hp.get("n_estimators", 100)),
+                           None if depth in (None, "None") else int(depth),
+                           hp.get("max_features", "sqrt" if cls else None),
+                           int(hp.get("min_samples_leaf", 1)), int(hp.get("random_state", 42)))
+
+
 def build_estimator(name: str, task: str, hp: dict, n: int, std_pop: float, std_samp: float,
                     n_classes: int):
     """Map a catalog name + reference-style hyperparameters to a Spark estimator."""
@@ -349,13 +358,11 @@ def build_estimator(name: str, task: str, hp: dict, n: int, std_pop: float, std_
     if name == "decision_tree":
         p = _tree_params(hp)
         return DecisionTreeClassifier(**p) if cls else DecisionTreeRegressor(**p)
-    if name in ("random_forest", "extra_trees"):
+    if name == "random_forest":
         p = _tree_params(hp)
         p["numTrees"] = int(hp.get("n_estimators", 100))
         fs = hp.get("max_features", "sqrt" if cls else "all")
         p["featureSubsetStrategy"] = {"sqrt": "sqrt", "log2": "log2"}.get(str(fs), "all")
-        if name == "extra_trees":  # approximation: no bootstrap, coarse bins (thresholds are not random)
-            p.update(bootstrap=False, maxBins=8)
         return RandomForestClassifier(**p) if cls else RandomForestRegressor(**p)
     if name in BOOSTING:
         return _boosting(name, cls, hp, n_classes)
@@ -396,6 +403,10 @@ def fit_model(name: str, task: str, train: DataFrame, val: DataFrame, hp: dict |
         columns = [f"_f{i}" for i in range(len(train.select("features").first()[0]))]
         model = GaussianNbModel(fit_gaussian_nb(spread_features(train, columns), columns, "label",
                                                 float(hp.get("var_smoothing", 1e-9))), columns)
+    elif name in SECOND_ORDER:
+        model = _second_order(name, cls, hp, k, train)
+    elif name == "extra_trees":
+        model = _extra_trees(cls, hp, train)
     elif name == "knn":
         model = KnnModel(train, hp, regression=not cls)
     elif name == "ada_boost" and not cls:

@@ -74,6 +74,67 @@ for _name, _task, _hp in [
     register(f"fit_{_name}")(_fit_query(_model, _task, _hp))
 
 
+# ------------------------------------------------- first splits against SQL
+
+_SPLIT_FEATS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _split_frame(spark, sf, label):
+    from pyspark.ml.functions import array_to_vector
+    li = load_table(spark, sf, "lineitem")
+    return li.select(array_to_vector(F.array(*[F.col(c).cast("double") for c in _SPLIT_FEATS])).alias("features"),
+                     label.cast("double").alias("label"))
+
+
+def _first_splits(spark, model):
+    """The root split of every tree (one row a tree of the model)."""
+    f = model.forest
+    rows = [(t, _SPLIT_FEATS[f.feature[r]], f.threshold[r], f.value[f.left[r]][0], f.value[f.left[r] + 1][0])
+            for t, r in enumerate(f.roots) if f.feature[r] >= 0]
+    return spark.createDataFrame(rows, "tree int, feature string, threshold double, left_value double, right_value double")
+
+
+def _long_sql(label_sql: str) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS feature, {c}::DOUBLE AS v, ({label_sql})::DOUBLE AS y FROM lineitem"
+                              for i, c in enumerate(_SPLIT_FEATS))
+
+
+@register("fit_xgboost_split", f"""
+WITH u AS ({_long_sql("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END")}), m AS (SELECT avg(y) AS p FROM u WHERE i = 0),
+c AS (SELECT i, feature, v, sum(p - y) AS g, sum(p * (1 - p)) AS h FROM u, m GROUP BY i, feature, v),
+w AS (SELECT *, sum(g) OVER (PARTITION BY i ORDER BY v) AS gl, sum(h) OVER (PARTITION BY i ORDER BY v) AS hl,
+        sum(g) OVER (PARTITION BY i) AS ga, sum(h) OVER (PARTITION BY i) AS ha FROM c)
+SELECT 0::INT AS tree, feature, v AS threshold, round(-0.5 * gl / (hl + 1), 6) AS left_value,
+  round(-0.5 * (ga - gl) / (ha - hl + 1), 6) AS right_value FROM w WHERE hl >= 1 AND ha - hl >= 1
+ORDER BY gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) DESC, i, v LIMIT 1""", digits=6)
+def q_fit_xgboost_split(spark, sf):
+    """One round with one split: the largest gain of the whole gradient table."""
+    data = _split_frame(spark, sf, F.col("l_returnflag") == "R")
+    return _first_splits(spark, SV.fit_boosting(data, "binary", {"n_estimators": 1, "max_depth": 1, "learning_rate": 0.5}))
+
+
+_ET_TREES = 7
+
+
+@register("fit_extra_trees_split", f"""
+WITH u AS ({_long_sql("l_linenumber")}), r AS (SELECT i, min(v) AS low, max(v) AS high FROM u GROUP BY i),
+k AS (SELECT t, i, low + (('0x' || substr(md5('42:' || t || ':1:' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE)
+        * (high - low) AS cut FROM r, range({_ET_TREES}) x(t)),
+g AS (SELECT i, feature, v, count(*) AS n, sum(y) AS s FROM u GROUP BY i, feature, v),
+c AS (SELECT t, i, feature, cut, sum(n) FILTER (v <= cut) AS nl, sum(s) FILTER (v <= cut) AS sl,
+        sum(n) FILTER (v > cut) AS nr, sum(s) FILTER (v > cut) AS sr FROM g JOIN k USING (i) GROUP BY t, i, feature, cut),
+b AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY sl * sl / nl + sr * sr / nr DESC, i) AS rn FROM c
+      WHERE nl > 0 AND nr > 0),
+m AS (SELECT avg(y) AS mean FROM u WHERE i = 0)
+SELECT t::INT AS tree, feature, round(cut, 6) AS threshold, round(sl / nl - mean, 6) AS left_value,
+  round(sr / nr - mean, 6) AS right_value FROM b, m WHERE rn = 1""", digits=6)
+def q_fit_extra_trees_split(spark, sf):
+    """Depth-1 trees: each takes the best of three random thresholds (values
+    are leaf means around the mean of all)."""
+    return _first_splits(spark, SV.fit_extra_trees(_split_frame(spark, sf, F.col("l_linenumber")), False, _ET_TREES,
+                                                   max_depth=1))
+
+
 @register("auto_train")
 def q_auto_train(spark, sf):
     train, val = model_data(spark, sf, "binary")

@@ -14,6 +14,7 @@ from loomkit.operators import profile as P
 from loomkit.operators import series as SE
 from loomkit.operators import splits as SP
 from loomkit.operators import supervised as SV
+from loomkit.operators import trees as TE
 from loomkit.operators import transforms as TR
 from loomkit.plans.search import sample_params
 
@@ -115,12 +116,11 @@ def test_catalog_defaults_fit(spark, name, kind, metric, least):
 
 
 def test_boosting_entries_start_from_their_own_defaults():
-    x = SV.build_estimator("xgboost", "regression", {}, 10, 1.0, 1.0, 2)
-    g = SV.build_estimator("lightgbm", "regression", {}, 10, 1.0, 1.0, 2)
-    assert (x.getMaxDepth(), x.getMaxIter()) == (6, 200)
-    assert (g.getMaxDepth(), g.getMaxIter(), g.getMinInstancesPerNode()) == (5, 200, 20)
-    with pytest.warns(UserWarning, match="reg_alpha"):
-        SV.build_estimator("xgboost", "regression", {"reg_alpha": 1.0}, 10, 1.0, 1.0, 2)
+    assert {**TE.BOOST_DEFAULTS, **SV.SECOND_ORDER["xgboost"]}["max_depth"] == 6
+    light = {**TE.BOOST_DEFAULTS, **SV.SECOND_ORDER["lightgbm"]}
+    assert (light["n_estimators"], light["num_leaves"], light["min_child_samples"]) == (200, 31, 20)
+    h = SV.build_estimator("hist_gbm", "regression", {}, 10, 1.0, 1.0, 2)
+    assert (h.getMaxDepth(), h.getMaxIter(), h.getMaxBins()) == (3, 100, 255)
     with pytest.raises(ValueError, match="kernel"):
         SV.build_estimator("svm", "classification", {"kernel": "sigmoid"}, 10, 1.0, 1.0, 2)
 
