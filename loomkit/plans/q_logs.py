@@ -268,6 +268,30 @@ def q_status_transition_stream(spark, sf):
                         F.col("since").cast("timestamp_ntz").alias("since"))
 
 
+_LATE_DELIVERIES = 3  # events arrive in three deliveries, by id
+
+
+@register("audit_ingest_late", f"""
+WITH e AS (SELECT event_id, ts, event_id % {_LATE_DELIVERIES} AS batch FROM events),
+b AS (SELECT batch, count(*) AS arrived, max(ts) AS top FROM e GROUP BY batch),
+w AS (SELECT batch, arrived, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        - INTERVAL 1 HOUR AS mark FROM b),
+l AS (SELECT w.batch, w.arrived, count(*) FILTER (e.ts IS NULL OR e.ts < w.mark) AS late
+      FROM w JOIN e USING (batch) GROUP BY ALL)
+SELECT batch, arrived, arrived - late AS kept, 0::BIGINT AS repeated, late FROM l""")
+def q_audit_ingest_late(spark, sf):
+    """Three deliveries, the stream started anew for each on one checkpoint;
+    what is behind the watermark of the deliveries before is in a side table."""
+    from loomkit.streaming.audit import file_stream, ingest_counted, stream_folder
+    ev = load_table(spark, sf, "events").select("event_id", "ts")
+    root = stream_folder(spark, "audit_late")
+    for i in range(_LATE_DELIVERIES):
+        ev.where(F.col("event_id") % _LATE_DELIVERIES == i).write.parquet(f"{root}/inbox/{i}")
+        stream = file_stream(spark, f"{root}/inbox", ev.schema, options={"recursiveFileLookup": "true"})
+        out = ingest_counted(stream, f"{root}/log", "1 hour", trace="event_id", ts="ts")
+    return out["counts"].select("batch", "arrived", "kept", "repeated", "late")
+
+
 @register("stream_prediction_log", """SELECT event_id, ts, user_id, event_type, value, props FROM events""")
 def q_stream_prediction_log(spark, sf):
     """Prediction events arrive as JSON-lines files; the stream appends them
