@@ -277,8 +277,6 @@ def _linkage_merge(centres: np.ndarray, weights: np.ndarray, k: int, linkage: st
             cb = (centres[b] * weights[b][:, None]).sum(0) / wb
             return wa * wb / (wa + wb) * ((ca - cb) ** 2).sum()
         sub = dist[np.ix_(a, b)]
-        if linkage == "single":
-            return sub.min()
         if linkage == "complete":
             return sub.max()
         return (sub * np.outer(weights[a], weights[b])).sum() / (weights[a].sum() * weights[b].sum())
@@ -301,11 +299,21 @@ def _linkage_merge(centres: np.ndarray, weights: np.ndarray, k: int, linkage: st
 
 
 def cluster_agglomerative(df: DataFrame, array_col: str, k: int = 2, linkage: str = "ward",
-                          micro: int = 200, seed: int = 42) -> DataFrame:
-    """Two-phase agglomerative clustering: k-means micro-clusters on Spark,
+                          micro: int = 200, seed: int = 42, id_col: str | None = None,
+                          threshold: float | None = None) -> DataFrame:
+    """Agglomerative clustering.
+
+    ``single`` linkage is exact: a minimum spanning forest over rows named by
+    ``id_col``, cut to ``k`` clusters or at ``threshold`` (see ``linkage``).
+    The other linkages take two phases: k-means micro-clusters on Spark,
     linkage over the ``micro`` weighted centres on the driver (bounded by
-    ``micro``), micro-cluster -> cluster applied as an expression.  An
+    ``micro``), micro-cluster -> cluster applied as an expression; an
     approximation of row-level linkage, exact when ``micro`` >= distinct rows."""
+    if linkage == "single":
+        if id_col is None:
+            raise ValueError("single linkage needs id_col")
+        from loomkit.operators.linkage import cluster_single
+        return cluster_single(df, array_col, id_col, k, threshold)
     v = with_vector(df, array_col)
     km = KMeans(k=micro, seed=seed, maxIter=50).fit(v)
     counts = km.transform(v).groupBy("prediction").count().collect()

@@ -63,7 +63,8 @@ def _second(pivots: np.ndarray, p: float, radius: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             d = distances(_matrix(pdf["x"]), pivots, p)[:, cells]
-            ring = np.maximum(np.maximum(d - high, low - d), 0) * (1 - 1e-9) - 1e-300
+            # differences of distances err by their size, not by the size of the gap
+            ring = np.maximum(d - high, low - d) - 1e-9 * (d + high)
             home = pdf["cell"].to_numpy()[:, None] == cells
             i, j = np.nonzero((ring <= pdf["bound"].to_numpy()[:, None]) & ~home)
             out = pdf.iloc[i][["qid", "x"]].reset_index(drop=True)

@@ -128,3 +128,19 @@ FROM p LEFT JOIN named ON named.id = p.id LEFT JOIN edge ON edge.id = p.id""")
 def q_cluster_dbscan(spark, sf):
     from loomkit.operators.dbscan import cluster_dbscan
     return cluster_dbscan(_plane(spark, sf), "xy", "c_custkey", eps=2.0, min_samples=5)
+
+
+@register("cluster_agglomerative_single", """
+WITH RECURSIVE p AS (SELECT c_custkey AS id, c_acctbal * 0.01::DOUBLE * f AS x, c_nationkey * 1.5::DOUBLE * f AS y
+  FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END AS f FROM customer)),
+e AS (SELECT a.id AS a, b.id AS b FROM p a, p b
+      WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.0),
+cc AS (SELECT id, id AS label, 0 AS step FROM p
+       UNION ALL SELECT e.a, min(cc.label), cc.step + 1 FROM cc JOIN e ON e.b = cc.id WHERE cc.step < 120
+       GROUP BY e.a, cc.step),
+top AS (SELECT id, label FROM cc WHERE step = 120),
+num AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT label FROM top))
+SELECT id AS c_custkey, cluster FROM top JOIN num USING (label)""")
+def q_cluster_agglomerative_single(spark, sf):
+    out = C.cluster_agglomerative(_plane(spark, sf), "xy", linkage="single", id_col="c_custkey", threshold=1.0)
+    return out.select("c_custkey", "cluster")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +73,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as parquet into the shared checkpoint folder and read again.
+
+    For loops: unlike a checkpoint, a table brings none of the constraints that
+    the optimizer knew of the plan above, which multiply from round to round.
+    """
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"loomkit-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame (lazy parquet scan, pushdown-capable)."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
