@@ -24,6 +24,10 @@ SENTENCES = [
     ("spdx_bsd2", r"spdx license identifier bsd 2 clause"),
     ("spdx_agpl3", r"spdx license identifier agpl 3.0"),
     ("spdx_lgpl", r"spdx license identifier lgpl"),
+    ("spdx_isc", r"spdx license identifier isc\b"),
+    ("spdx_epl2", r"spdx license identifier epl 2.0"),
+    ("spdx_gpl3_later", r"spdx license identifier gpl 3.0(\+| or later\b)"),
+    ("spdx_gpl2_later", r"spdx license identifier gpl 2.0(\+| or later\b)"),
     ("spdx_gpl3", r"spdx license identifier gpl 3.0"),
     ("spdx_gpl2", r"spdx license identifier gpl 2.0"),
     ("spdx_mpl2", r"spdx license identifier mpl 2.0"),
@@ -58,7 +62,7 @@ SENTENCES = [
     ("cc_by_sa", r"cc by sa|creative commons attribution sharealike"),
     ("cc_by_nd", r"cc by nd|creative commons attribution noderiv"),
     ("cc_by", r"cc by\b|creative commons attribution"),
-    ("cc0", r"cc0|creative commons zero"),
+    ("cc0", r"cc0\b|creative commons zero"),
     ("unlicense", r"free and unencumbered software released into the public domain"),
     ("public_domain", r"(released|placed|dedicated) (in|into|to) the public domain"),
     ("all_rights", r"all rights reserved"),
@@ -76,10 +80,14 @@ RULES = [
     ("BSD-2-Clause", r",spdx_bsd2,"),
     ("BSD", r",(bsd_under|bsd_grant),"),
     ("ISC", r",isc_grant(,mit_asis)?,"),
+    ("ISC", r",spdx_isc,"),
+    ("EPL-2.0", r",spdx_epl2,"),
     ("AGPL-3.0", r",(agpl3_under|spdx_agpl3)(,(agpl3_under|gpl_either))*,"),
     ("LGPL", r",(lgpl_under|spdx_lgpl)(,(lgpl_under|gpl_either))*,"),
     ("GPL-3.0-or-later", r",gpl3_later(,(gpl_under|gpl3_under))*,"),
     ("GPL-2.0-or-later", r",gpl2_later(,(gpl_under|gpl2_under))*,"),
+    ("GPL-3.0-or-later", r",spdx_gpl3_later,"),
+    ("GPL-2.0-or-later", r",spdx_gpl2_later,"),
     ("GPL-3.0", r",(gpl3_under|spdx_gpl3)(,(gpl_under|gpl3_under))*,"),
     ("GPL-2.0", r",(gpl2_under|spdx_gpl2)(,(gpl_under|gpl2_under))*,"),
     ("GPL", r",gpl_under(,(gpl_under|gpl_either))*,"),
@@ -122,12 +130,17 @@ _MARKS = {chr(0xE000 + i): name for i, (name, _) in enumerate(SENTENCES)}
 _MARK = "\ue000-\uf8ff"
 
 
+def _whole(pattern: str) -> str:
+    """A known sentence begins where a word begins."""
+    return rf"\b(?:{pattern})"
+
+
 def _known(s: Column) -> Column:
     """Identifiers of all known sentences in ``s``, by position: in list order
     each takes its places, which later ones cannot use again."""
     for mark, (_, pattern) in zip(_MARKS, SENTENCES):
         # a gap neither spans a place that is taken nor begins another GNU notice
-        s = F.regexp_replace(s, F.lit(pattern.replace(".*", f"(?:(?!gnu general public)[^{_MARK}])*?")), F.lit(mark))
+        s = F.regexp_replace(s, F.lit(_whole(pattern).replace(".*", f"(?:(?!gnu general public)[^{_MARK}])*?")), F.lit(mark))
     names = F.create_map(*[F.lit(x) for pair in _MARKS.items() for x in pair])
     return F.transform(F.regexp_extract_all(s, F.lit(f"([{_MARK}])"), F.lit(1)), lambda m: names[m])
 
@@ -167,7 +180,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def oracle(table: str = "documents") -> str:
     """DuckDB SQL for the rows of ``scan_licences``."""
     q = lambda s: s.replace("'", "''")
-    case = " ".join(f"WHEN regexp_matches(s, '{q(p)}') THEN '{n}'" for n, p in SENTENCES)
+    case = " ".join(f"WHEN regexp_matches(s, '{q(_whole(p))}') THEN '{n}'" for n, p in SENTENCES)
     steps, last = [], "d"
     for i, (_, pattern) in enumerate(RULES):
         steps.append(f"r{i} AS (SELECT *, regexp_matches(rest{i}, '{q(pattern)}') AS hit{i}, "

@@ -48,6 +48,8 @@ EXAMPLES = {
     "spdx_apache2": "spdx license identifier apache 2.0", "spdx_mit": "spdx license identifier mit",
     "spdx_bsd3": "spdx license identifier bsd 3 clause", "spdx_bsd2": "spdx license identifier bsd 2 clause",
     "spdx_agpl3": "spdx license identifier agpl 3.0", "spdx_lgpl": "spdx license identifier lgpl",
+    "spdx_isc": "spdx license identifier isc", "spdx_epl2": "spdx license identifier epl 2.0",
+    "spdx_gpl3_later": "spdx license identifier gpl 3.0 or later", "spdx_gpl2_later": "spdx license identifier gpl 2.0+",
     "spdx_gpl3": "spdx license identifier gpl 3.0", "spdx_gpl2": "spdx license identifier gpl 2.0",
     "spdx_mpl2": "spdx license identifier mpl 2.0", "apache2_under": "licensed under apache license 2.0",
     "apache2_maynot": "you may not use it except in compliance with the license",
@@ -91,3 +93,12 @@ def test_several_licences_in_one_run(spark):
               "GPL-3.0-or-later,GPL-2.0")]
     got = scan_licences(docs_frame(spark, [(i, c[0]) for i, c in enumerate(cases)])).orderBy("doc_id").collect()
     assert [(r.sentence_ids, r.licences) for r in got] == [c[1:] for c in cases]
+
+
+def test_tags_with_later_versions_and_word_starts(spark):
+    cases = [("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("SPDX-License-Identifier: GPL-3.0+", "GPL-3.0-or-later"),
+             ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("SPDX-License-Identifier: ISC", "ISC"),
+             ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), ("the transcc by-pass accounts", ""), ("macc0unt", ""),
+             ("See CC BY 4.0 or CC0.", "CC-BY,CC0")]
+    got = scan_licences(docs_frame(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()
+    assert {r.doc_id: r.licences for r in got} == {i: w for i, (_, w) in enumerate(cases)}
