@@ -3,9 +3,11 @@
 Similarities are sums over shared items (or users), built from an inverted
 index: the ratings of the asked users meet the ratings of all users on the
 item, and partial sums per pair are combined before the shuffle.  Only asked
-users are on the left side, so the work follows the stated query set.  Long
-posting lists are dealt over salts; a user with very many ratings is only as
-many short lists.
+users are on the left side, so the work follows the stated query set, and of
+the pairs that meet only those go on in which the other user rated an asked
+item: an asked user's rows carry short hashes of these raters, so that nearly
+all other pairs end where they are made.  Long posting lists are dealt over
+salts; a user with very many ratings is only as many short lists.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from pyspark.sql import functions as F
 
 from loomkit.functions.exprs import with_scalars
 from loomkit.operators.recommend import baseline_biases, reco_rating_bounds
-from loomkit.session import cut_lineage
+from loomkit.session import written
 
 POSTING = 10_000  # ratings of one item that one task holds against the asked ones
+HASHES = 256  # distinct hashes of raters up to which an asked user's rows carry them; beyond, all pairs are summed
 SIMILARITIES = ("cosine", "msd", "pearson", "pearson_baseline")
 
 
@@ -34,16 +37,24 @@ def _similarity(name: str, shrinkage: float) -> Column:
     return F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)))
 
 
-def _similar(rows: DataFrame, asked: DataFrame, name: str, shrinkage: float) -> DataFrame:
-    """``(a, b, sim)`` of every asked ``a`` with every ``b`` that shares a key ``y``."""
-    sizes = rows.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / POSTING).cast("int").alias("salts"))
-    left = rows.join(asked, rows["x"] == asked["a"], "left_semi").join(sizes, "y") \
-        .select("y", F.col("x").alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-                .alias("salt"))
-    right = rows.join(sizes, "y").select("y", F.col("x").alias("b"), F.col("v").alias("vb"),
-                                         F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"))
+def _hash(c: str) -> Column:
+    return (F.pmod(F.xxhash64(c), F.lit(65536)) - 32768).cast("smallint")
+
+
+def _similar(rows: DataFrame, wanted: DataFrame, name: str, shrinkage: float) -> DataFrame:
+    """``(a, b, sim)`` of every pair of ``wanted`` that shares a key ``y``, and of some other such pairs."""
+    few = wanted.groupBy("a").agg(F.collect_set(_hash("b")).alias("h")) \
+        .select(F.col("a").alias("x"), F.when(F.size("h") <= HASHES, F.col("h")).alias("h"))
+    # a row for POSTING ratings at most
+    long = rows.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / POSTING).cast("int").alias("salts")).where("salts > 1")
+    rows = rows.join(F.broadcast(long), "y", "left").fillna(1, ["salts"])
+    left = rows.join(few, "x").select("y", F.col("x").alias("a"), F.col("v").alias("va"), "h",
+                                      F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = rows.select("y", F.col("x").alias("b"), F.col("v").alias("vb"),
+                        F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"))
     p, q = F.col("va"), F.col("vb")
-    sums = left.join(right, ["y", "salt"]).groupBy("a", "b").agg(
+    met = left.join(right, ["y", "salt"]).where(F.col("h").isNull() | F.array_contains("h", _hash("b")))
+    sums = met.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"), F.sum(p * q).alias("sxy"), F.sum(p * p).alias("sxx"), F.sum(q * q).alias("syy"),
         F.sum(p).alias("sx"), F.sum(q).alias("sy"), F.sum((p - q) * (p - q)).alias("sdd"))
     return sums.select("a", "b", _similarity(name, shrinkage).alias("sim"))
@@ -64,7 +75,7 @@ def reco_knn(ratings: DataFrame, pairs: DataFrame, k: int = 40, min_k: int = 1,
     if sim not in SIMILARITIES:
         raise ValueError(f"sim={sim!r}")
     x, y = ("user_id", "item_id") if user_based else ("item_id", "user_id")
-    told = cut_lineage(ratings.select("user_id", "item_id", F.col("rating").cast("double").alias("rating")).dropna()
+    told = written(ratings.select("user_id", "item_id", F.col("rating").cast("double").alias("rating")).dropna()
                        .groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")))
     value = F.col("rating")
     base = told
@@ -73,9 +84,10 @@ def reco_knn(ratings: DataFrame, pairs: DataFrame, k: int = 40, min_k: int = 1,
         base = with_scalars(told.join(of_item, "item_id").join(of_user, "user_id"), mu)
         value = F.col("rating") - F.col("mu") - F.col("b_item") - F.col("b_user")
     rows = base.select(F.col(x).alias("x"), F.col(y).alias("y"), value.alias("v"))
-    asked = cut_lineage(pairs.select(F.col(x).alias("a"), F.col(y).alias("y")).distinct())
-    sims = _similar(rows, asked.select("a").distinct(), sim, shrinkage)
-    raters = asked.join(told.select(F.col(x).alias("b"), F.col(y).alias("y"), "rating"), "y")
+    asked = written(pairs.select(F.col(x).alias("a"), F.col(y).alias("y")).distinct())
+    known = asked.join(told.select(F.col(x).alias("a")).distinct(), "a", "left_semi")
+    raters = known.join(told.select(F.col(x).alias("b"), F.col(y).alias("y"), "rating"), "y")
+    sims = _similar(rows, raters.select("a", "b"), sim, shrinkage)
     best = Window.partitionBy("a", "y").orderBy(F.desc("sim"), "b")
     near = raters.join(sims, ["a", "b"]).withColumn("rank", F.row_number().over(best)) \
         .where((F.col("rank") <= k) & (F.col("sim") > 0))
