@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from loomkit.functions.graph import components
 from loomkit.functions.prefix import dense_index
-from loomkit.operators.neighbours import PIVOTS, _finite, _matrix, _placed, _round, distances
+from loomkit.operators.neighbours import PIVOTS, _finite, _listed, _matrix, _placed, _round, distances
 from loomkit.session import ship_package, written
 
 _EDGE = "lo long, hi long, distance double"
@@ -48,7 +48,7 @@ def _reach(pivots: np.ndarray, p: float, cells: dict, groups: dict):
 
 
 def _others(pivots: np.ndarray, p: float, cells: dict, groups: dict):
-    """Cells, the home cell apart, that may hold another group within ``bound``."""
+    """Cells, the home cell apart, that may hold another group within ``bound``, one list per row."""
     names = np.array(sorted(cells))
     low, high = (np.array([cells[c][i] for c in names]) for i in (0, 1))
 
@@ -58,8 +58,8 @@ def _others(pivots: np.ndarray, p: float, cells: dict, groups: dict):
             # differences of distances err by their size, not by the size of the gap
             ring = np.maximum(d - high, low - d) - 1e-9 * (d + high)
             home = pdf["cell"].to_numpy()[:, None] == names
-            i, j = np.nonzero((ring <= pdf["bound"].to_numpy()[:, None]) & ~home & _foreign(pdf, groups, names))
-            yield pdf.iloc[i][["qid", "x", "own"]].reset_index(drop=True).assign(cell=names[j].astype(np.int32))
+            found = (ring <= pdf["bound"].to_numpy()[:, None]) & ~home & _foreign(pdf, groups, names)
+            yield _listed(pdf[["qid", "x", "own", "bound"]], found, names)
     return run
 
 
@@ -122,7 +122,7 @@ def single_forest(vectors: DataFrame, limit: float = float("inf"), p: float = 2.
             .groupBy("own").agg(F.min(F.least("reach", "d")).alias("sure"))
         asked = written(asked.join(sure, "own").withColumn("bound", F.least("bound", "sure")).drop("sure"))
         more = written(asked.select("qid", "x", "own", "cell", "bound").mapInPandas(
-            _others(centres, p, cells, groups), "qid long, x array<double>, own long, cell int"))
+            _others(centres, p, cells, groups), "qid long, x array<double>, own long, bound double, cells array<int>"))
         found = near.unionByName(_round(more, refs, cells, 1, p, True)) \
             .groupBy("qid").agg(F.min(F.struct("distance", "rid")).alias("f"))
         told = asked.select("qid", "bound").join(found, "qid", "left").select(
