@@ -310,12 +310,13 @@ i AS (SELECT who, row_number() OVER (ORDER BY who NULLS LAST) - 1 AS code FROM n
 SELECT o_orderkey, CAST((SELECT count(*) FROM n) AS BIGINT) AS width, CAST(coalesce(code, -1) AS BIGINT) AS hot_index
 FROM o LEFT JOIN i ON o.who IS NOT DISTINCT FROM i.who""")
 def q_tf_one_hot_sparse(spark, sf):
-    from pyspark.ml.functions import vector_to_array
     op, train, o = _codes(spark, sf, "one_hot", {"sparse": True})
     TF.fit_ops(train, [op])
-    out = TF.apply_ops(o, [op], keep=["o_orderkey"]).withColumn("v", vector_to_array("who_onehot"))
-    return out.select("o_orderkey", F.size("v").cast("bigint").alias("width"),
-                      (F.array_position("v", F.lit(1.0)) - 1).cast("bigint").alias("hot_index"))
+    # the sparse parts: an array per row would be as wide as there are categories
+    out = TF.apply_ops(o, [op], keep=["o_orderkey"]).withColumn("v", F.unwrap_udt("who_onehot"))
+    hot = F.element_at("v.indices", F.nullif(F.array_position("v.values", F.lit(1.0)), F.lit(0)).cast("int"))
+    return out.select("o_orderkey", F.col("v.size").cast("bigint").alias("width"),
+                      F.coalesce(hot, F.lit(-1)).cast("bigint").alias("hot_index"))
 
 
 @register("tf_ordinal_large", _WHO_SQL + """
