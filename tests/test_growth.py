@@ -73,3 +73,41 @@ def test_far_cells_are_listed_not_multiplied():
 def test_one_hot_index_is_read_without_an_array_as_wide_as_the_categories(spark):
     plan = _plan(E.queries()["tf_one_hot_sparse"](spark, "/root/testdata/sf0.001"))
     assert "unwrap_udt(" in plan and plan.count("UDF(") == 1  # the encoder's own, no second one that spreads its vector
+
+
+def test_diagonal_sums_are_those_of_the_rows():
+    from loomkit.operators import clustering as C
+    r = np.random.default_rng(2)
+    x, w, mu, var = r.normal(size=(40, 3)), np.array([0.3, 0.7]), r.normal(size=(2, 3)), np.array([[1.0, 2, 3], [0.5, 1, 2]])
+    lp = np.array([[np.log(w[j]) - 0.5 * sum(np.log(2 * np.pi * var[j][i]) + (v[i] - mu[j][i]) ** 2 / var[j][i]
+                                             for i in range(3)) for j in range(2)] for v in x])
+    p = np.exp(lp)
+    want = [np.log(p.sum(1)).sum()]
+    for j in range(2):
+        z = p[:, j] / p.sum(1)
+        want += [z.sum(), *(z @ x), *(z @ (x * x))]
+    parts = [pd.DataFrame({"x": list(x[a:a + 15])}) for a in range(0, 40, 15)]
+    got = pd.concat(C._diag_sums(w, mu, var)(iter(parts)))
+    assert np.allclose(got["v"], want)
+
+
+def test_histograms_with_and_without_room(monkeypatch):
+    from loomkit.operators import trees as TR
+    r = np.random.default_rng(4)
+    bins, y = r.integers(0, 5, (200, 3)), r.normal(size=200)
+    forest = TR.Forest()
+    forest.roots.append(forest.node([0.0], 0))
+    forest.split(0, 1, 2, True, [0.0], [0.0])
+    pdf = pd.DataFrame({"bins": list(bins), "m": [np.array([0.5])] * 200, "y": y})
+    want = {}
+    for b, t in zip(bins, y):
+        node = 1 if b[1] <= 2 else 2
+        for f in (0, 2):
+            g, n = want.get((node, f, b[f]), (0.0, 0))
+            want[node, f, b[f]] = g + 0.5 - t, n + 1
+    for held in (10 ** 6, 1):
+        monkeypatch.setattr(TR, "HELD", held)
+        got = pd.concat(TR._histograms("regression", TR.Forest(), forest, [False, True, True], [[0, 2]], 6)(
+            iter([pdf[:90], pdf[90:]]))).groupby(["node", "f", "b"]).sum()
+        assert {k: n for k, n in got["n"].items()} == {k: v[1] for k, v in want.items()}
+        assert all(abs(got["g"][k] - v[0]) < 1e-9 for k, v in want.items())
