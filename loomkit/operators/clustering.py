@@ -137,6 +137,32 @@ def _gmm_sums(model: dict):
     return run
 
 
+def _diag_densities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
+    """Weighted log densities (rows x components) of a diagonal model."""
+    return np.stack([np.log(w) - 0.5 * np.log(2 * np.pi * v).sum() - 0.5 * ((x - m) ** 2 / v).sum(axis=1)
+                     for w, m, v in zip(weights, means, variances)], axis=1)
+
+
+def _diag_sums(weights: np.ndarray, means: np.ndarray, variances: np.ndarray):
+    """Per task: log likelihood (place 0) and, per component, weight and weighted sums of x and x^2."""
+    def run(batches):
+        k, d = means.shape
+        total, ll = np.zeros((k, 1 + 2 * d)), 0.0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.array(pdf["x"].tolist(), dtype=float)
+            lp = _diag_densities(x, weights, means, variances)
+            top = lp.max(axis=1, keepdims=True)
+            e = np.exp(lp - top)
+            den = e.sum(axis=1, keepdims=True)
+            ll += float((top + np.log(den)).sum())
+            r = (e / den).T
+            total += np.hstack([r.sum(axis=1, keepdims=True), r @ x, r @ (x * x)])
+        yield pd.DataFrame({"at": np.arange(total.size + 1), "v": np.concatenate([[ll], total.ravel()])})
+    return run
+
+
 def _gmm_full(df: DataFrame, array_col: str, k: int, max_iter: int, seed: int, tol: float, ridge: float) -> dict:
     ship_package(df.sparkSession)
     x = F.col(array_col).cast("array<double>")
@@ -181,8 +207,8 @@ def cluster_gmm(df: DataFrame, array_col: str, k: int = 8, covariance_type: str
     constant coordinates, leave it invertible; null vectors are left out of the
     fit.  It ends when the mean log likelihood moves by less than ``tol``.
     ``diag`` / ``spherical`` / ``tied``: EM with diagonal covariances whose
-    sufficient statistics (weighted sums of x and x^2 per component) are one
-    aggregate per iteration; ``spherical`` averages the variances over
+    sufficient statistics (weighted sums of x and x^2 per component) are summed
+    the same way; ``spherical`` averages the variances over
     dimensions, ``tied`` pools them over components (a diagonal tied
     covariance, an approximation of the full tied one)."""
     if covariance_type == "full":
@@ -196,32 +222,17 @@ def cluster_gmm(df: DataFrame, array_col: str, k: int = 8, covariance_type: str
         Summarizer.variance(F.col("v")).alias("var")).first()["var"].toArray()
     var = np.tile(np.maximum(glob, 1e-6), (k, 1))
     w = np.full(k, 1.0 / k)
-    data = cut_lineage(df.select(x.alias("x")))
+    ship_package(df.sparkSession)
+    data = cut_lineage(df.select(x.alias("x")).where("x is not null"))
     prev = None
     for _ in range(max_iter):
-        logp = []
-        for j in range(k):
-            m = F.array(*[F.lit(float(a)) for a in mu[j]])
-            s = F.array(*[F.lit(float(a)) for a in var[j]])
-            quad = F.aggregate(F.arrays_zip(F.col("x"), m, s), F.lit(0.0),
-                               lambda acc, t: acc + (t["x"] - t["1"]) * (t["x"] - t["1"]) / t["2"])
-            const = float(np.log(w[j]) - 0.5 * (np.log(2 * np.pi * var[j]).sum()))
-            logp.append(F.lit(const) - 0.5 * quad)
-        mx = F.greatest(*logp) if k > 1 else logp[0]
-        den = sum((F.exp(lp - mx) for lp in logp), F.lit(0.0))
-        resp = [F.exp(lp - mx) / den for lp in logp]
-        ll = F.sum(mx + F.log(den))
-        xv = array_to_vector(F.col("x"))
-        x2 = array_to_vector(F.transform("x", lambda a: a * a))
-        aggs = [ll.alias("ll")]
-        for j in range(k):
-            aggs += [F.sum(resp[j]).alias(f"n{j}"),
-                     Summarizer.mean(xv, resp[j]).alias(f"m{j}"),
-                     Summarizer.mean(x2, resp[j]).alias(f"q{j}")]
-        row = data.agg(*aggs).first()
-        nk = np.array([row[f"n{j}"] for j in range(k)])
-        mu = np.array([row[f"m{j}"].toArray() for j in range(k)])
-        ex2 = np.array([row[f"q{j}"].toArray() for j in range(k)])
+        sums = data.mapInPandas(_diag_sums(w, mu, var), "at int, v double").groupBy("at").agg(F.sum("v").alias("v"))
+        flat = sums.toPandas().sort_values("at")["v"].to_numpy()
+        ll, total = flat[0], flat[1:].reshape(k, 1 + 2 * d)
+        nk = total[:, 0]
+        if not (nk > 0).all():
+            raise ValueError("a component without rows")
+        mu, ex2 = total[:, 1:1 + d] / nk[:, None], total[:, 1 + d:] / nk[:, None]
         var = np.maximum(ex2 - mu * mu, 1e-6)
         if covariance_type == "spherical":
             var = np.repeat(var.mean(axis=1, keepdims=True), d, axis=1)
@@ -229,15 +240,15 @@ def cluster_gmm(df: DataFrame, array_col: str, k: int = 8, covariance_type: str
             pooled = (var * nk[:, None]).sum(axis=0) / nk.sum()
             var = np.tile(pooled, (k, 1))
         w = nk / nk.sum()
-        if prev is not None and abs(row["ll"] - prev) < tol * abs(prev):
+        if prev is not None and abs(ll - prev) < tol * abs(prev):
             break
-        prev = row["ll"]
+        prev = ll
     return {"weights": w, "means": mu, "variances": var}
 
 
 def gmm_predict(df: DataFrame, array_col: str, model: dict) -> DataFrame:
-    """Most likely component: under a diagonal model an expression without UDF,
-    under a full one a numpy function of the vector (null vector: null)."""
+    """Most likely component by a numpy function of the vector (null vector: 0
+    under a diagonal model, null under a full one)."""
     if "covariances" in model:
         ship_package(df.sparkSession)
 
@@ -249,20 +260,17 @@ def gmm_predict(df: DataFrame, array_col: str, model: dict) -> DataFrame:
             return out
 
         return df.withColumn("cluster", F.pandas_udf(best, "int")(F.col(array_col).cast("array<double>")))
-    df = df.withColumn("_gx", F.col(array_col).cast("array<double>"))
-    logp = []
-    for j in range(len(model["weights"])):
-        m = F.array(*[F.lit(float(a)) for a in model["means"][j]])
-        s = F.array(*[F.lit(float(a)) for a in model["variances"][j]])
-        quad = F.aggregate(F.arrays_zip(F.col("_gx"), m, s), F.lit(0.0),
-                           lambda acc, t: acc + (t["_gx"] - t["1"]) * (t["_gx"] - t["1"]) / t["2"])
-        const = float(np.log(model["weights"][j]) - 0.5 * np.log(2 * np.pi * model["variances"][j]).sum())
-        logp.append(F.lit(const) - 0.5 * quad)
-    best, best_v = F.lit(0), logp[0]
-    for j in range(1, len(logp)):
-        best = F.when(logp[j] > best_v, F.lit(j)).otherwise(best)
-        best_v = F.greatest(best_v, logp[j])
-    return df.withColumn("cluster", best).drop("_gx")
+    ship_package(df.sparkSession)
+
+    def nearest(xs: pd.Series) -> pd.Series:
+        out = pd.Series(np.zeros(len(xs), np.int32))
+        has = xs.notna().to_numpy()
+        if has.any():
+            x = np.array(xs[has].tolist(), dtype=float)
+            out[has] = _diag_densities(x, model["weights"], model["means"], model["variances"]).argmax(axis=1)
+        return out
+
+    return df.withColumn("cluster", F.pandas_udf(nearest, "int")(F.col(array_col).cast("array<double>")))
 
 
 def _linkage_merge(centres: np.ndarray, weights: np.ndarray, k: int, linkage: str) -> np.ndarray:
