@@ -68,6 +68,8 @@ def test_far_cells_are_listed_not_multiplied():
                         "bound": [np.inf, 0.1]})
     out = pd.concat(N._second(pivots, 2.0, {c: (0.0, 1.0, 5) for c in range(4)})(iter([pdf])))
     assert out["qid"].tolist() == [1] and out["cells"].iloc[0].tolist() == [1, 2, 3]
+    none = N._listed(pdf, np.zeros((2, 4), bool), np.arange(4))
+    assert not len(none) and none["cells"].dtype == object  # a column of numbers is no column of lists to Arrow
 
 
 def test_one_hot_index_is_read_without_an_array_as_wide_as_the_categories(spark):
