@@ -113,3 +113,49 @@ def test_histograms_with_and_without_room(monkeypatch):
             iter([pdf[:90], pdf[90:]]))).groupby(["node", "f", "b"]).sum()
         assert {k: n for k, n in got["n"].items()} == {k: v[1] for k, v in want.items()}
         assert all(abs(got["g"][k] - v[0]) < 1e-9 for k, v in want.items())
+
+
+def test_levels_of_extra_trees_with_and_without_room(monkeypatch):
+    from loomkit.operators import trees as TR
+    r = np.random.default_rng(6)
+    x, y = r.integers(0, 9, (300, 3)).astype(float), r.normal(size=300)
+    x[::7, 2] = np.nan
+    given = pd.DataFrame({"x": [*x[:-1], None], "z0": y})
+    x[-1] = np.nan  # no vector: all missing
+    forest = TR.Forest()
+    forest.roots += [forest.node([0.0], 0), forest.node([0.0], 0)]
+    forest.split(0, 2, 4.0, False, [0.0], [0.0])  # nodes 2 and 3; a missing value goes right
+    drawn, cuts = {1: [0, 2], 2: [1, 2], 3: [0, 1]}, {1: [3.5, 4.5], 2: [None, 1.0], 3: [2.0, 0.5]}
+    own = {1: np.ones(300, bool), 2: x[:, 2] <= 4, 3: ~(x[:, 2] <= 4)}
+    chunks = [pd.concat(TR._packed(3, ["z0"])(iter([given[a:a + 100]]))) for a in (0, 100, 200)]
+    for held in (10 ** 6, 1):
+        monkeypatch.setattr(TR, "HELD", held)
+        low = pd.concat(TR._Level(forest, drawn, 3).ranges(4)(iter(chunks)))
+        got = low.groupby(["node", "i", "f"]).agg({"low": "min", "high": "max"}).to_dict("index")
+        assert got == {(n, i, f): {"low": np.nanmin(x[own[n], f]), "high": np.nanmax(x[own[n], f])}
+                       for n, fs in drawn.items() for i, f in enumerate(fs)}
+        parts = pd.concat(TR._Level(forest, drawn, 3).sides(4, cuts)(iter(chunks)))
+        assert len(parts) == (5 if held > 1 else 15)  # not one row per row, tree and feature
+        got = parts.groupby(["node", "f", "cut"])[["n", "nl", "q", "ql", "z0", "lz0"]].sum()
+        assert len(got) == 5
+        for (n, f, c), s in got.iterrows():
+            left = own[n] & (x[:, f] <= c)
+            want = [own[n].sum(), left.sum(), (y[own[n]] ** 2).sum(), (y[left] ** 2).sum(), y[own[n]].sum(), y[left].sum()]
+            assert np.allclose(s.to_numpy(), want)
+
+
+def test_rows_are_scored_once_for_all_metrics(spark):
+    from pyspark.ml.functions import array_to_vector
+    from loomkit.operators import supervised as SV
+    data = spark.range(200).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"),
+                                   (F.col("id") > 90).cast("double").alias("label"))
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        asked.add(1)
+        return v
+
+    val = data.withColumn("label", counted("label"))
+    _model, mets, _ = SV.fit_model("logistic", "classification", data, val)
+    assert mets.first()["accuracy"] > 0.9 and asked.value <= 200
