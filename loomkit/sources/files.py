@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomkit.sources import digest
+
 MAX_UPLOAD_BYTES = 2 * 1024 ** 3  # fixed value: 2 GiB per file
 
 # Accepted dataset suffixes.
@@ -70,16 +72,28 @@ def file_fingerprint(spark: SparkSession, path_glob: str, max_bytes: int = MAX_U
     """(path, name, size_bytes, sha256, too_large) per file.
 
     The size cap is applied on the ``length`` metadata first; only files under
-    it have their content read and hashed."""
+    it have their content read and hashed.  Files above ``digest.PIECE`` are
+    hashed in pieces when this is called, so a task reads a bounded part of
+    them; one that cannot be (a compressed suffix, very long lines) is read
+    whole by one task."""
     r = spark.read.format("binaryFile")
     if recursive:
         r = r.option("recursiveFileLookup", True)
-    files = r.load(path_glob)
-    ok = files.where(F.col("length") <= max_bytes).select(
-        "path", F.col("length").alias("size_bytes"), F.sha2(F.col("content"), 256).alias("sha256"))
-    big = files.where(F.col("length") > max_bytes).select(
-        "path", F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"))
-    out = ok.unionByName(big)
+    files = r.load(path_glob).withColumn("file", F.col("_metadata.file_path"))
+    size, sha = F.col("length").alias("size_bytes"), F.sha2(F.col("content"), 256).alias("sha256")
+    small = files.where(F.col("length") <= min(max_bytes, digest.PIECE)).select("path", size, sha)
+    big = files.where(F.col("length") > max_bytes).select("path", size, F.lit(None).cast("string").alias("sha256"))
+    out = small.unionByName(big)
+    large = files.where((F.col("length") > digest.PIECE) & (F.col("length") <= max_bytes)) \
+                 .select("path", "file", "length").collect()
+    split = {f["file"]: f["length"] for f in large if suffix_of(f["path"]) in ALLOWED_SUFFIXES}
+    found = digest.sha256_by_pieces(spark, path_glob, split) if split and digest.resumable() else {}
+    if found:
+        out = out.unionByName(spark.createDataFrame(
+            [(f["path"], f["length"], found[f["file"]]) for f in large if f["file"] in found], out.schema))
+    rest = [f["file"] for f in large if f["file"] not in found]
+    if rest:
+        out = out.unionByName(files.where(F.col("_metadata.file_path").isin(rest)).select("path", size, sha))
     return out.withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1)) \
               .withColumn("too_large", F.col("sha256").isNull())
 
