@@ -79,3 +79,29 @@ def test_text_ids_few_rows_and_none(spark):
     assert L.cluster_single(df.limit(0), "v", "key").count() == 0
     with pytest.raises(ValueError):
         cluster_agglomerative(df, "v", linkage="single")
+
+
+def test_tables_written_do_not_grow_with_the_rows(spark, monkeypatch):
+    """Trees of cells leave few edges to join: no rounds over all rows."""
+    calls = []
+    monkeypatch.setattr(L, "written", lambda df, f=L.written: (calls.append(1), f(df))[1])
+    ids, x = points(500, seed=3)
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, x array<double>")
+    got = [tuple(r) for r in L.single_forest(vectors, 1.5, pivots=12)[0].select("lo", "hi").collect()]
+    assert sorted(got) == sorted(w[:2] for w in forest_by_hand(ids, x, 1.5))
+    assert len(calls) <= 6
+
+
+def test_many_edges_are_thinned_out_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(L, "HELD", 40)
+    ids, x = points(200, seed=4)
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, x array<double>")
+    forest, trees = L.single_forest(vectors, 0.9, pivots=5)
+    want = forest_by_hand(ids, x, 0.9)
+    assert sorted(tuple(r) for r in forest.select("lo", "hi").collect()) == sorted(w[:2] for w in want)
+    root = {r["id"]: r["root"] for r in trees.collect()}
+    mine, label = {}, labels(ids, want)
+    assert len(root) == len(ids)
+    for i, r in root.items():
+        assert mine.setdefault(r, label[i]) == label[i]
+    assert len(mine) == len(set(label.values()))
