@@ -12,13 +12,12 @@ def frame(spark, n=3000, d=4):
     y = (x[:, 0] > 20) * 1.0 + (x[:, 1] > 30)
     rows = [(v.tolist(), float(t)) for v, t in zip(x, y)]
     return spark.createDataFrame(rows, "x array<double>, label double").select(
-        array_to_vector("x").alias("features"), "label"), x, y
+        array_to_vector("x").alias("features"), "label")
 
 
 def test_extra_trees_write_plain_rows(spark, monkeypatch):
     """No value of the written table holds a batch: readers take thousands of values at once."""
     kept = []
     monkeypatch.setattr(TR, "written", lambda df, f=TR.written: (kept.append(f(df)), kept[-1])[1])
-    data, _x, _y = frame(spark)
-    TR.fit_extra_trees(data, True, n_estimators=2, max_depth=2)
+    TR.fit_extra_trees(frame(spark), True, n_estimators=2, max_depth=2)
     assert kept and all(k.count() == 3000 for k in kept)
